@@ -1,0 +1,6 @@
+"""No streaming operator belongs to this library's scope.
+
+Rolling windows are row based over stored panels, so every operator is a batch
+job. The scalar functions in ``seriesloom.functions`` are plain columns and work
+on streaming DataFrames unchanged.
+"""
