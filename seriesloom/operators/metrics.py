@@ -89,7 +89,7 @@ def fold_summary(
     """Means plus a ``folds`` struct with one array per metric, in fold order."""
     arrays = F.struct(
         *[
-            F.transform(F.array_sort(F.collect_list(F.struct("fold", m))), lambda x, m=m: x[m]).alias(m)
+            F.transform(F.array_sort(F.collect_list(F.struct("fold", m))), lambda x: x[m]).alias(m)
             for m in metrics
         ]
     )

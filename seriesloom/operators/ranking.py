@@ -60,9 +60,9 @@ def rank_lists(
     first = cleaned.groupBy("model", "feature").agg(F.min(pos).alias(pos))
     ranked = rank_in_buckets(
         first, keys=["model"], bucket=floor_div(F.col(pos), BUCKET_ROWS), order=[pos],
-        position="__rank", size="__size",
+        position="__place", size="__size",
     )
-    return ranked.select("model", "feature", (F.col("__rank") + 1).cast("int").alias("rank"))
+    return ranked.select("model", "feature", (F.col("__place") + 1).cast("int").alias("rank"))
 
 
 def metric_table(
