@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK_ROWS, over_chunks
-from .folds import N_SPLITS, _per_horizon, segment, test_rows
+from .folds import N_SPLITS, per_horizon, segment, test_rows
 
 SEASON = 24
 
@@ -49,7 +49,7 @@ def train_means(
     not repeated per fold.
     """
     keys = [*series, "horizon"]
-    placed = _per_horizon(df, horizons, splits, spare).withColumn("segment", segment(splits))
+    placed = per_horizon(df, horizons, splits, spare).withColumn("segment", segment(splits))
     sums = placed.groupBy(*keys, "segment").agg(
         F.sum(target).alias("total"), F.count(target).alias("values")
     )

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import floor_div
 from .chunks import CHUNK_ROWS, over_chunks
 
 # Default horizons in hours (1, 7, 14, 31 days) and split counts.
@@ -22,7 +21,7 @@ BLOCK_ROWS = 168
 N_BLOCKS = 10
 
 
-def _per_horizon(df: DataFrame, horizons: Sequence[int], splits: int, spare: int) -> DataFrame:
+def per_horizon(df: DataFrame, horizons: Sequence[int], splits: int, spare: int) -> DataFrame:
     """One copy per horizon the series is long enough for: n > h (splits + spare)."""
     fits = F.col("n") > F.col("horizon") * (splits + spare)
     values = F.array(*[F.lit(int(h)) for h in horizons])
@@ -41,7 +40,7 @@ def test_rows(
     latest = df.where(F.col("pos") >= F.col("n") - max(horizons) * splits)
     offset = F.col("pos") - fold_start(splits)
     return (
-        _per_horizon(latest, horizons, splits, spare)
+        per_horizon(latest, horizons, splits, spare)
         .where(offset >= 0)
         .withColumn("fold", F.floor(offset / F.col("horizon")).cast("int"))
     )
@@ -70,7 +69,7 @@ def fold_table(
     start = fold_start(splits) + F.col("fold") * F.col("horizon")
     position = F.col("pos")
     return (
-        _per_horizon(df, horizons, splits, spare)
+        per_horizon(df, horizons, splits, spare)
         .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
         .where(position < start + F.col("horizon"))
         .withColumn("role", F.when(position < start, F.lit("train")).otherwise(F.lit("test")))
@@ -153,9 +152,3 @@ def segment(splits: int) -> Column:
     """-1 before the first test row, then the fold that tests the row."""
     offset = F.col("pos") - fold_start(splits)
     return F.greatest(F.floor(offset / F.col("horizon")), F.lit(-1)).cast("int")
-
-
-__all__ = [
-    "BLOCK_ROWS", "HORIZONS", "N_BLOCKS", "N_SPLITS", "block_rows", "floor_div", "fold_bounds",
-    "fold_start", "fold_table", "holdout", "lookback_windows", "segment", "test_rows",
-]

@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from ..functions.calendar import calendar_columns, season_columns, season_name
 from ..functions.numeric import to_number
 from ..functions.time import DAY, truncate
+from ..operators.backtest import block_backtest, walk_forward
 from ..operators.baselines import baseline_predictions
 from ..operators.chunks import forward_fill
 from ..operators.comparison import diebold_mariano, dm_summary, wide_predictions
 from ..operators.decompose import seasonal_decompose
 from ..operators.features import add_families, feature_table
 from ..operators.folds import block_rows, fold_bounds, fold_table, holdout, lookback_windows
+from ..operators.forecasters import (
+    CrossValidatedBoosting,
+    GradientBoosting,
+    RandomSearch,
+    WindowRegression,
+    seasonal_autoregression,
+)
 from ..operators.grid import duplicate_report, head_and_tail, keep_first, last_hours, last_rows, regularise
+from ..operators.importance import permutation_importance, top_importance, window_importance
+from ..operators.imputation import ForestSettings, impute_forest
 from ..operators.merge import merge_blocks, merge_forecasts, side_by_side, union_rankings
 from ..operators.metrics import (
     accuracy,
@@ -31,7 +41,6 @@ from ..operators.metrics import (
 from ..operators.peaks import best_peak_models, month_view, peak_metrics, peak_thresholds
 from ..operators.positions import with_positions
 from ..operators.profile import (
-    columns_to_drop,
     constant_columns,
     correlated_pairs,
     drop_correlated,
@@ -39,7 +48,6 @@ from ..operators.profile import (
     numeric_summary,
 )
 from ..operators.ranking import (
-    feature_columns,
     fuse,
     metric_table,
     model_weights,
@@ -533,4 +541,96 @@ def adf_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(adf(orders_panel(spark, sf_dir, by_priority=True), "price", step_seconds=DAY))
 
 
-__all__ = ["REGISTRY", "columns_to_drop", "feature_columns"]
+# ---- models ------------------------------------------------------------------------------------
+#
+# Small forests and few rounds: the sizes are parameters of the operators, the rows
+# are all rows of the panel.
+
+_MODEL_FEATURES = [
+    "hour", "day_of_week", "sin24", "cos24", "price_roll24_mean", "price_roll24_std",
+    "d_price_1h", "d_price_24h", "std_6h", "price_over_load", "import_share",
+]
+
+
+def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows with positions, stored."""
+    rows = feature_table(events_panel(spark, sf_dir), drop_incomplete=False)
+    wanted = rows.select("series_id", "ts", "price", *_MODEL_FEATURES).dropna("any")
+    return materialise(with_positions(materialise(wanted)))
+
+
+@register
+def impute_with_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = regularise(events_panel(spark, sf_dir)).withColumn("hour", F.hour("ts").cast("double"))
+    small = ForestSettings(num_trees=5, max_depth=5, target_depth=5, max_iter=2)
+    numbers = ["hour", "load", "wind", "solar", "net_import", "total_gen"]
+    return impute_forest(panel, "price", columns=numbers, settings=small)
+
+
+@register
+def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = {"GBR": GradientBoosting(max_rounds=6, learning_rate=0.3)}
+    return walk_forward(
+        _model_rows(spark, sf_dir), models, "price", _MODEL_FEATURES, [24], 2
+    )
+
+
+@register
+def boosted_cv_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    search = {"stepSize": 0.3, "maxDepth": 3, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.6"}
+    model = CrossValidatedBoosting(max_rounds=5, patience=3, folds=2, search=search, final=search)
+    return walk_forward(
+        _model_rows(spark, sf_dir), {"XGB": model}, "price", _MODEL_FEATURES, [24], 1
+    )
+
+
+@register
+def block_backtest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block backtest of a fitted model; predictions per block."""
+    models = {"window": WindowRegression(lookback=6)}
+    return block_backtest(
+        _model_rows(spark, sf_dir), models, "price", _MODEL_FEATURES, block=24, blocks=2
+    )
+
+
+@register
+def linear_ar_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events_positions(spark, sf_dir)
+    plain = seasonal_autoregression(rows, "price", [24, 72], 3, name="SARIMA")
+    more = seasonal_autoregression(rows, "price", [24, 72], 3, name="SARIMAX", exogenous=["load"])
+    return plain.unionByName(more)
+
+
+@register
+def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = {"maxIter": (2, 4), "stepSize": (0.1, 0.3), "maxDepth": (2, 3)}
+    search = RandomSearch(grid=grid, draws=2, splits=2, horizon=24)
+    found = search.scores(_model_rows(spark, sf_dir), "price", _MODEL_FEATURES)
+    rows = [(i, *[float(p[k]) for k in grid], score) for i, (p, score) in enumerate(found)]
+    return spark.createDataFrame(rows, "draw int, maxIter double, stepSize double, maxDepth double, MAE double")
+
+
+@register
+def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = GradientBoosting(max_rounds=4, learning_rate=0.3)
+    found = permutation_importance(
+        _model_rows(spark, sf_dir), model, "price", _MODEL_FEATURES, repeats=3
+    )
+    return top_importance(found)
+
+
+@register
+def perm_importance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = GradientBoosting(max_rounds=3, learning_rate=0.3)
+    found = permutation_importance(
+        _model_rows(spark, sf_dir), model, "price", _MODEL_FEATURES, window=None, repeats=2
+    )
+    return top_importance(found)
+
+
+@register
+def perm_importance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _model_rows(spark, sf_dir)
+    model = WindowRegression(lookback=6)
+    fitted = model.fit(rows.where(F.col("pos") < F.col("n") - 168), "price", _MODEL_FEATURES)
+    return window_importance(fitted, rows, "price", _MODEL_FEATURES, context=model.context)
