@@ -82,18 +82,18 @@ RAW_ROLES = Roles(
     total_generation="sumaryczna_generacja_JGxx",
 )
 
-# File names the consolidation looks for, and list columns per file.
-MERGE_HORIZONS = {24: "24h", 168: "168h", 336: "336h", 744: "744h"}
-FORECAST_FILES = ("forecasts_ML_h{h}_hours.csv", "forecasts_DP_h{h}_hours.csv")
-BLOCK_FILES = ("recursive_blocks_h168x10_ML.csv", "recursive_blocks_h168x10_DP.csv")
-RANKING_FILES = ("ranking_models_ML.csv", "ranking_models_DP.csv")
-IMPORTANCE_FILES = {
-    "feature_importance_Tide,Seq2Seq,AutoML.csv": ("Seq2Seq", "TiDE", "AutoML"),
-    "feature_importance_transformer.csv": ("transformer",),
-    "feature_importance_xgb.csv": ("xgb",),
-    "feature_importance_sarimax.csv": ("sarimax",),
-    "feature_importance_gbr.csv": ("gbr",),
-}
+@dataclass(frozen=True)
+class ConsolidationInputs:
+    """Files to consolidate, relative to the job's folder.
+
+    ``forecasts`` maps an output label to a pair of forecast files, ``importance``
+    a file to the prefixes of its list columns, in output order.
+    """
+
+    forecasts: dict[str, tuple[str, str]] = field(default_factory=dict)
+    blocks: dict[str, tuple[str, str]] = field(default_factory=dict)
+    importance: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    rankings: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -262,37 +262,43 @@ def merged_blocks(spark: SparkSession, left: str, right: str) -> DataFrame | Non
     return merge_blocks(*ready)
 
 
-def merged_importance(spark: SparkSession, folder: str) -> DataFrame | None:
+def merged_importance(
+    spark: SparkSession, folder: str, files: dict[str, tuple[str, ...]]
+) -> DataFrame | None:
     """Importance files side by side; missing files are skipped."""
     frames = []
-    for name, models in IMPORTANCE_FILES.items():
+    for name, prefixes in files.items():
         lists = _optional(spark, f"{folder}/{name}", position=True)
         if lists is None:
             continue
-        wanted = [f"{m}_{kind}" for m in models for kind in ("feature", "importance")]
+        wanted = [f"{p}_{kind}" for p in prefixes for kind in ("feature", "importance")]
         lists = coerce_columns(lists, [c for c in wanted if c.endswith("_importance")])
         frames.append(lists.select("pos", *[c for c in wanted if c in lists.columns]))
     return side_by_side(frames) if frames else None
 
 
-def consolidate_job(spark: SparkSession, folder: str, out: str) -> list[str]:
-    """Merge forecasts, importances, blocks and rankings; returns the tables written."""
+def consolidate_job(
+    spark: SparkSession, folder: str, inputs: ConsolidationInputs, out: str
+) -> list[str]:
+    """Merge forecasts, importances, blocks and rankings; returns the tables written.
+
+    An output whose inputs are missing is skipped with a warning.
+    """
     done = []
 
-    def save(df: DataFrame | None, name: str) -> None:
+    def save(df: DataFrame | None, name: str, *order: str) -> None:
         if df is not None:
-            write_report(df, f"{out}/{name}")
+            write_report(df.orderBy(*order) if order else df, f"{out}/{name}")
             done.append(name)
 
-    for h, label in MERGE_HORIZONS.items():
-        merged = merged_forecasts(spark, *[f"{folder}/{f.format(h=h)}" for f in FORECAST_FILES])
-        save(merged.orderBy("timestamp") if merged is not None else None, f"forecasts_{label}")
-    wide = merged_importance(spark, folder)
+    for label, pair in inputs.forecasts.items():
+        save(merged_forecasts(spark, *[f"{folder}/{f}" for f in pair]), f"forecasts_{label}", "timestamp")
+    wide = merged_importance(spark, folder, inputs.importance)
     save(wide.orderBy("pos").drop("pos") if wide is not None else None, "feature_importance")
-    blocks = merged_blocks(spark, *[f"{folder}/{f}" for f in BLOCK_FILES])
-    save(blocks.orderBy("timestamp") if blocks is not None else None, "recursive_blocks_h168x10")
-    rankings = [_optional(spark, f"{folder}/{f}") for f in RANKING_FILES]
-    if None not in rankings:
+    for label, pair in inputs.blocks.items():
+        save(merged_blocks(spark, *[f"{folder}/{f}" for f in pair]), label, "timestamp")
+    rankings = [_optional(spark, f"{folder}/{f}") for f in inputs.rankings]
+    if rankings and None not in rankings:
         save(sort_rankings(union_rankings(rankings)), "ranking_models")
     return done
 
@@ -368,7 +374,7 @@ def evaluation_job(spark: SparkSession, folder: str, stem: str, out: str) -> dic
 
 
 __all__ = [
-    "FeatureJob", "RAW_ROLES", "backtest_job", "build_features", "consolidate_job",
+    "ConsolidationInputs", "FeatureJob", "RAW_ROLES", "backtest_job", "build_features", "consolidate_job",
     "default_models", "evaluate_wide", "evaluation_job", "feature_job", "fuse_rankings", "kfold_job",
     "merged_blocks", "merged_forecasts", "merged_importance", "ranking_job",
 ]

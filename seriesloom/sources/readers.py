@@ -157,7 +157,8 @@ def read_smart_csv(
     names = [clean_header(c) for c in next(csv.reader([header], delimiter=separator), [])]
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
     schema = T.StructType([*fields, T.StructField(REJECT, T.StringType())])
-    raw = spark.read.csv(
+    # With pruning the parser would not see that a line has too many fields.
+    raw = spark.read.option("columnPruning", "false").csv(
         path, schema=schema, sep=separator, header=True, enforceSchema=True,
         mode="PERMISSIVE", columnNameOfCorruptRecord=REJECT,
         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
@@ -170,8 +171,10 @@ def read_smart_csv(
     good = raw.where(F.col(REJECT).isNull()).select(
         *[F.trim(f"c{i}").alias(n) for i, n in enumerate(names)], *extra
     )
-    bad = raw.where(F.col(REJECT).isNotNull()).select(*[f"c{i}" for i in range(len(names))], REJECT)
-    bad = bad.select(F.col(REJECT).alias("line"))
+    # The empty suffix keeps a data column in the read: Spark refuses to scan a CSV
+    # for the raw line alone.
+    suffix = F.substring(F.coalesce("c0", F.lit("")), 1, 0) if names else F.lit("")
+    bad = raw.where(F.col(REJECT).isNotNull()).select(F.concat(REJECT, suffix).alias("line"))
     return (infer_numbers(good) if typed else good), bad
 
 
