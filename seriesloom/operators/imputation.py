@@ -26,6 +26,7 @@ class ForestSettings:
     min_leaf: int = 2
     max_iter: int = 10
     tolerance: float = 1e-3
+    store_every: int = 4
     seed: int = 0
 
 
@@ -64,16 +65,17 @@ def impute_forest(
     """Fill the numeric columns from each other, then the target from them.
 
     Columns start at their medians; a round refits every incomplete column on the
-    others, the least incomplete first, and its result is stored so that lineage
-    and plans do not grow with the rounds. Rounds end early once no imputed value
+    others, the least incomplete first. The table is stored after every
+    ``store_every`` columns, so a fit recomputes at most that many earlier
+    predictions and plans do not grow. Rounds end early once no imputed value
     moves by more than ``tolerance`` times the largest value.
     """
     s = settings
     df = nan_to_null(df)
     names = [c for c in (columns or numeric_columns(df)) if c != target]
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in [*names, target]]).first()
-    empty = df.agg(*[F.count(c).alias(c) for c in names]).first() if names else {}
-    names = [c for c in names if empty[c] > 0]
+    missing = [F.count_if(F.col(c).isNull()).alias(c) for c in [*names, target]]
+    counts = df.agg(F.count(F.lit(1)).alias("__rows"), *missing).first()
+    names = [c for c in names if counts[c] < counts["__rows"]]  # a column without any value cannot help
     holes = sorted((c for c in names if counts[c] > 0), key=lambda c: counts[c])
     marks = {f"__null_{c}": F.col(c).isNull() for c in [*holes, target]}
     out = df.withColumns(marks)
@@ -84,10 +86,11 @@ def impute_forest(
         for turn in range(s.max_iter if len(names) > 1 else 0):
             before = {f"__was_{c}": F.col(c) for c in holes}
             step = out.withColumns(before)
-            for c in holes:
+            for at, c in enumerate(holes, start=1):
                 others = [x for x in names if x != c]
                 step = _refit(step, c, others, f"__null_{c}", s.max_depth, s.seed + turn, s)
-            step = materialise(step)
+                if at % s.store_every == 0 or at == len(holes):
+                    step = materialise(step)
             moved = step.agg(
                 F.greatest(F.lit(0.0), *[F.max(F.abs(F.col(c) - F.col(f"__was_{c}"))) for c in holes]).alias("d"),
                 F.greatest(F.lit(0.0), *[F.max(F.abs(c)) for c in holes]).alias("m"),

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_DIRS: dict[str, str] = {}  # by application, local masters only
+
+
 def local_session(cpus: int = 8, app: str = "seriesloom") -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
     return (
@@ -30,14 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a folder of its own: on a cluster a
     machine-local folder would not be visible to the other executors.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", "")
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="seriesloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="seriesloom-")
+    return _LOCAL_DIRS[app]
 
 
 def materialise(df: DataFrame) -> DataFrame:

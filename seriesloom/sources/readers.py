@@ -6,7 +6,8 @@ import csv
 import logging
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,7 +83,7 @@ def read_table(
             log.warning("unsupported suffix '%s': %s", suffix, path)
             return empty_table(spark)
         return coerce_time(nan_to_null(raw), datetime_column)[0]
-    except (AnalysisException, KeyError) as problem:
+    except (PySparkException, Py4JJavaError, KeyError) as problem:
         log.warning("cannot read %s: %s", path, problem)
         return empty_table(spark)
 
