@@ -226,12 +226,18 @@ def feature_table(
     step_seconds: int = 3600,
     bucket_rows: int = CHUNK_ROWS,
     drop_incomplete: bool = True,
+    fill_rolled: bool | None = None,
 ) -> DataFrame:
     """Calendar, season, lag, ratio, rolling and shape features of a panel.
 
     Frames count rows, as in a plain row shift; put the panel through
-    ``regularise`` first when frames should be true hours.
+    ``regularise`` first when frames should be true hours. Rolling columns are
+    filled forward; without NULL targets only the first rows of a series lack them
+    and nothing can be filled, so the step is left out. ``fill_rolled=None`` finds
+    out with a scan that stored tables answer from their file statistics.
     """
+    if fill_rolled is None and roles.target in panel.columns:
+        fill_rolled = not panel.where(F.col(roles.target).isNull()).limit(1).isEmpty()
     positioned = with_positions(
         panel, series=series, ts=ts, step_seconds=step_seconds, bucket_rows=bucket_rows
     )
@@ -239,7 +245,7 @@ def feature_table(
         positioned, roles=roles, window=window, series=series, chunk_rows=bucket_rows
     )
     rolled = [c for c in out.columns if c.startswith(f"{roles.target}_roll")]
-    if rolled:
+    if rolled and fill_rolled:
         out = forward_fill(out, rolled, series=series, chunk_rows=bucket_rows)
     out = out.withColumns(calendar_columns(ts) | season_columns(ts)).drop("pos", "n")
     return out.dropna("any") if drop_incomplete else out

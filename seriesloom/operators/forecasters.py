@@ -25,7 +25,7 @@ from ..functions.time import floor_div
 from .chunks import CHUNK_ROWS
 from .folds import per_horizon, holdout, lookback_windows
 from .positions import attach_balanced
-from .scaling import moments, standardise
+from .scaling import Moments, moments, standardise, standardised, unstandardise
 
 # Lags of the seasonal autoregression, its season and history cap.
 AR_LAGS = (1, 2, 24, 25, 168)
@@ -248,18 +248,18 @@ def _flat(window: str):
 @dataclass(frozen=True)
 class FittedWindows:
     model: object
-    scale: dict
+    scale: Moments
     features: tuple[str, ...]
     lookback: int
 
     def predict(self, rows: DataFrame, series: Sequence[str] = ("series_id",)) -> DataFrame:
         s = self.scale
-        scaled = {f"__{c}": (F.col(c) - s[f"{c}_mean"]) / s[f"{c}_scale"] for c in self.features}
+        scaled = {f"__{c}": standardised(c, s) for c in self.features}
         windows = lookback_windows(
             rows.withColumns(scaled), [f"__{c}" for c in self.features], self.lookback, series=series
         )
         scored = self.model.transform(windows.withColumn("__x", _flat("window")))
-        z = F.col("__z") * s["__y_scale"] + s["__y_mean"]
+        z = unstandardise("__z", *s["__y"])
         return scored.withColumn("yhat", inverse_signed_log1p(z)).drop(
             "__x", "__z", "window", "hours", "weekdays", *scaled
         )
@@ -289,7 +289,7 @@ class WindowRegression:
         model = LinearRegression(
             featuresCol="__x", labelCol="__y", predictionCol="__z", regParam=self.ridge
         ).fit(ready)
-        return FittedWindows(model, scale.first().asDict(), tuple(features), self.lookback)
+        return FittedWindows(model, scale, tuple(features), self.lookback)
 
 
 # ---- seasonal autoregression per series ------------------------------------------

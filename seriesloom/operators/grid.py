@@ -93,8 +93,12 @@ def duplicate_report(df: DataFrame, *, keys: Sequence[str], preview: int = 5) ->
     first = doubled.orderBy(*keys).limit(preview).agg(
         F.concat_ws(", ", F.array_sort(F.collect_list(label))).alias("first_keys")
     )
-    # Both sides are single-row global aggregates.
-    return totals.join(F.broadcast(first)).withColumn("duplicate_columns", F.lit(names).cast("long"))
+    return totals.select(
+        "duplicate_rows",
+        "duplicate_keys",
+        first.scalar().alias("first_keys"),
+        F.lit(names).cast("long").alias("duplicate_columns"),
+    )
 
 
 def last_hours(

@@ -64,11 +64,13 @@ def _with_trial(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def _error_growth(scored: DataFrame, base: DataFrame, target: str, by: Sequence[str]) -> DataFrame:
     mae = F.avg(F.abs(F.col(target) - F.col("yhat")))
-    before = base.groupBy(*by).agg(mae.alias("__base"))
     after = scored.groupBy(*by, "feature", "repeat").agg(mae.alias("__mae"))
     mean = after.groupBy(*by, "feature").agg(F.avg("__mae").alias("__mean"))
-    # The baseline has one row per ``by`` key, or a single row.
-    joined = mean.join(before, list(by)) if by else mean.join(F.broadcast(before))
+    if by:
+        before = base.groupBy(*by).agg(mae.alias("__base"))
+        joined = mean.join(before, list(by))
+    else:
+        joined = mean.withColumn("__base", base.agg(mae).scalar())
     return joined.select(*by, "feature", (F.col("__mean") - F.col("__base")).alias("importance"))
 
 

@@ -35,7 +35,7 @@ def exact_quantiles(
     names, say), so the bracket table may be broadcast. Otherwise the join is
     salted by value, so a hot key spreads over many tasks.
     """
-    keys = list(keys)
+    keys, qs = list(keys), sorted(float(q) for q in qs)
     values = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
     margin = 4.0 / accuracy
     low = [max(0.0, q - margin) for q in qs]
@@ -46,46 +46,60 @@ def exact_quantiles(
         F.max("__v").alias("__max"),
         F.percentile_approx("__v", low + high, accuracy).alias("__s"),
     )
-    entries = []
     # In a small group the margin is less than a rank: take all of its values.
     small = F.col("n") <= 2 * accuracy
-    for i, q in enumerate(qs):
+    edges = {}
+    for i in range(len(qs)):
         lo = F.when(small | F.lit(low[i] == 0.0), F.col("__min")).otherwise(F.col("__s")[i])
-        hi = F.when(small | F.lit(high[i] == 1.0), F.col("__max")).otherwise(
-            F.col("__s")[len(qs) + i]
-        )
-        entries.append(F.struct(F.lit(float(q)).alias("q"), lo.alias("lo"), hi.alias("hi")))
-    brackets = sketch.select(*keys, "n", F.explode(F.array(*entries)).alias("b")).select(
-        *keys,
-        "n",
-        F.col("b.q").alias("q"),
-        F.col("b.lo").alias("__lo"),
-        F.col("b.hi").alias("__hi"),
-        ((F.col("n") - 1) * F.col("b.q")).alias("__r"),
-    )
+        hi = F.when(small | F.lit(high[i] == 1.0), F.col("__max"))
+        edges |= {f"__lo{i}": lo, f"__hi{i}": hi.otherwise(F.col("__s")[len(qs) + i])}
+    brackets = sketch.select(*keys, "n", *[c.alias(name) for name, c in edges.items()])
     if few_keys:
         bracketed = values.join(F.broadcast(brackets), keys)
     else:
         salt = F.pmod(F.xxhash64("__v"), F.lit(SALTS))
         bracketed = attach_balanced(values, brackets, keys=keys, bucket=salt)
-    # Values below the bracket collapse into one row per key: the NULL value.
-    inside = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
-    group = [*keys, "q", "n", "__r"]
-    counted = (
-        bracketed.where(F.col("__v") <= F.col("__hi"))
-        .groupBy(*group, inside.alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+    # Values outside all brackets collapse into one row per key and region, where the
+    # region is the number of brackets that start at or below the value.
+    v = F.col("__v")
+    region, inside = F.lit(0), F.lit(False)
+    for i in range(len(qs)):
+        region = region + (v >= F.col(f"__lo{i}")).cast("int")
+        inside = inside | ((v >= F.col(f"__lo{i}")) & (v <= F.col(f"__hi{i}")))
+    counted = bracketed.groupBy(
+        *keys, "n", *edges, region.alias("__region"), F.when(inside, v).alias("__v")
+    ).agg(F.count(F.lit(1)).alias("__c"))
+    entries = [
+        F.struct(
+            F.lit(q).alias("q"),
+            F.lit(i).alias("i"),
+            F.col(f"__lo{i}").alias("lo"),
+            F.col(f"__hi{i}").alias("hi"),
+        )
+        for i, q in enumerate(qs)
+    ]
+    spread = counted.select(
+        *keys, "n", "__region", "__v", "__c", F.explode(F.array(*entries)).alias("b")
+    )
+    below = F.when(v.isNull(), F.col("__region") <= F.col("b.i")).otherwise(v < F.col("b.lo"))
+    within = (v >= F.col("b.lo")) & (v <= F.col("b.hi"))
+    group = [*keys, "q", "n"]
+    # Per quantile: the values of its bracket, and one NULL row that counts all below.
+    placed = (
+        spread.where(below | within)
+        .select(*keys, F.col("b.q").alias("q"), "n", F.when(within, v).alias("__v"), "__c")
+        .groupBy(*group, "__v")
+        .agg(F.sum("__c").alias("__c"))
     )
     order = Window.partitionBy(*keys, "q").orderBy(F.col("__v").asc_nulls_first())
     upto = F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("__upto", upto)
+    r = (F.col("n") - 1) * F.col("q")
 
     def order_statistic(rank):
         holds = (F.col("__upto") - F.col("__c") <= rank) & (rank < F.col("__upto"))
         return F.max(F.when(holds, F.col("__v")))
 
-    r = F.col("__r")
-    found = ranked.groupBy(*group).agg(
+    found = placed.withColumn("__upto", upto).groupBy(*group).agg(
         order_statistic(F.floor(r)).alias("__a"), order_statistic(F.ceil(r)).alias("__b")
     )
     missed = F.col("__a").isNull() | F.col("__b").isNull()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import to_number
 from ..functions.text import canonical_model, clean_label
 from ..functions.time import floor_div
+from ..session import materialise
 from .positions import BUCKET_ROWS, rank_in_buckets
 
 # Constant of reciprocal rank fusion, plot size, metric rounding.
@@ -119,14 +120,13 @@ def fuse(ranks: DataFrame, weights: DataFrame) -> DataFrame:
     """Borda, weighted Borda, reciprocal rank and rank statistics per feature.
 
     Every feature has at most one rank per model, so the groups are as small as
-    the model list. Score ranges are single-row aggregates, joined by broadcast.
+    the model list. Maxima and score ranges are scalar subqueries.
     """
-    scale = ranks.agg(
-        F.max("rank").alias("__top"), F.count_distinct("model").alias("__models")
-    )
+    top = ranks.agg(F.max("rank")).scalar()
+    models = ranks.agg(F.count_distinct("model")).scalar()
     placed = (
         ranks.join(F.broadcast(weights), ["model"], "left")  # a row per model
-        .join(F.broadcast(scale))
+        .withColumns({"__top": top, "__models": models})
         .withColumn("w", F.coalesce("w", 1 / F.col("__models")))
     )
     points = F.col("__top") + 1 - F.col("rank")
@@ -139,16 +139,13 @@ def fuse(ranks: DataFrame, weights: DataFrame) -> DataFrame:
         F.count_distinct("model").alias("models_count"),
         (F.count_distinct("model") / F.first("__models")).alias("models_frac"),
     )
-    ranges = scores.agg(
-        *[f(c).alias(f"__{name}_{c}") for c in ("borda", "wborda", "rrf") for name, f in (("lo", F.min), ("hi", F.max))]
-    )
-    out = scores.join(F.broadcast(ranges))
-    out = out.withColumns(
-        {f"{c}_norm": _scaled(c, f"__lo_{c}", f"__hi_{c}") for c in ("borda", "wborda", "rrf")}
-    )
-    return out.withColumn("final_score", (F.col("wborda_norm") + F.col("rrf_norm")) / 2).drop(
-        *ranges.columns
-    )
+    scores = materialise(scores)  # a row per feature, read again for the score ranges
+    fused = ("borda", "wborda", "rrf")
+    span = F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in fused])
+    out = scores.withColumn("__span", scores.agg(span).scalar())
+    out = out.withColumns({f"{c}_norm": _scaled(c, f"__span.{c}.lo", f"__span.{c}.hi") for c in fused})
+    score = (F.col("wborda_norm") + F.col("rrf_norm")) / 2
+    return out.withColumn("final_score", score).drop("__span")
 
 
 def top_features(fused: DataFrame, top: int = TOP_FEATURES) -> DataFrame:

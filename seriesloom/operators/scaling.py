@@ -11,26 +11,35 @@ from ..functions.numeric import inverse_signed_log1p, signed_log1p
 from ..functions.time import as_column
 
 
-def moments(df: DataFrame, columns: Sequence[str], *, train: Column | None = None) -> DataFrame:
-    """One row with ``<c>_mean`` and ``<c>_scale``; a constant column has scale 1."""
+Moments = dict[str, tuple[float, float]]
+
+
+def moments(df: DataFrame, columns: Sequence[str], *, train: Column | None = None) -> Moments:
+    """Mean and scale of each column over the training rows; a constant column has scale 1.
+
+    One aggregate row reaches the driver, so applying the scaling needs no join.
+    """
     rows = df if train is None else df.where(train)
     out = []
     for c in columns:
         std = F.stddev_pop(c)
-        out.append(F.avg(c).alias(f"{c}_mean"))
-        out.append(F.when(std > 0, std).otherwise(1.0).alias(f"{c}_scale"))
-    return rows.agg(*out)
+        out += [F.avg(c), F.when(std > 0, std).otherwise(1.0)]
+    row = rows.agg(*out).first()
+    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
+
+
+def standardised(c: str, fitted: Moments) -> Column:
+    mean, scale = fitted[c]
+    return (F.col(c) - F.lit(mean)) / F.lit(scale)
 
 
-def standardise(df: DataFrame, columns: Sequence[str], fitted: DataFrame) -> DataFrame:
-    """Replace columns by their z-scores; ``fitted`` is the single row of ``moments``."""
-    joined = df.join(F.broadcast(fitted))
-    scaled = {c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_scale") for c in columns}
-    return joined.withColumns(scaled).drop(*fitted.columns)
+def standardise(df: DataFrame, columns: Sequence[str], fitted: Moments) -> DataFrame:
+    """Replace columns by their z-scores."""
+    return df.withColumns({c: standardised(c, fitted) for c in columns})
 
 
-def unstandardise(c, mean, scale) -> Column:
-    return as_column(c) * as_column(scale) + as_column(mean)
+def unstandardise(c, mean: float, scale: float) -> Column:
+    return as_column(c) * F.lit(scale) + F.lit(mean)
 
 
 def scale_signed_log(
@@ -39,9 +48,6 @@ def scale_signed_log(
     """Signed log, z-score with training moments, and the value restored from it."""
     logged = df.withColumn("__log", signed_log1p(column))
     fitted = moments(logged, ["__log"], train=train)
-    joined = logged.join(F.broadcast(fitted))  # a single row
-    z = (F.col("__log") - F.col("__log_mean")) / F.col("__log_scale")
-    back = inverse_signed_log1p(unstandardise(out, "__log_mean", "__log_scale"))
-    return joined.withColumn(out, z).withColumn("restored", back).drop(
-        "__log", "__log_mean", "__log_scale"
-    )
+    back = inverse_signed_log1p(unstandardise(out, *fitted["__log"]))
+    scored = logged.withColumn(out, standardised("__log", fitted))
+    return scored.withColumn("restored", back).drop("__log")

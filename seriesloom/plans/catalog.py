@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, season_columns, season_name
 from ..functions.numeric import to_number
+from ..functions.text import BOM
 from ..functions.time import DAY, truncate
 from ..operators.backtest import block_backtest, walk_forward
 from ..operators.baselines import baseline_predictions
@@ -57,8 +59,10 @@ from ..operators.ranking import (
 )
 from ..operators.scaling import scale_signed_log
 from ..operators.stationarity import adf, kpss
-from ..session import materialise
-from ..sources.readers import coerce_time
+from ..session import materialise, shared_dir
+from ..sources.files import resolve_predictions
+from ..sources.readers import coerce_time, read_importance_lists, read_model_table, read_predictions
+from ..sources.writers import write_complete, write_forecasts, write_summary
 from .inputs import (
     BASELINES,
     events_panel,
@@ -133,6 +137,57 @@ def parse_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/seriesloom/{uuid.uuid4().hex}/{name}"
+
+
+@register
+def forecast_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts written as CSV, found by their stem and read back."""
+    wide = tidy(wide_predictions(events_predictions(spark, sf_dir), BASELINES))
+    path = _scratch(spark, "run_DP.csv")
+    write_forecasts(wide.withColumnRenamed("y", "Observed"), path)
+    found = resolve_predictions(spark, path.rsplit("/", 1)[0], "run")
+    return tidy(read_predictions(spark, found, keys=["series_id"]))
+
+
+@register
+def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parquet sink that keeps complete rows, read back."""
+    path = _scratch(spark, "table")
+    write_complete(regularise(events_panel(spark, sf_dir)), path)
+    return tidy(spark.read.parquet(path))
+
+
+@register
+def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model input on its grid, filled forward, constant columns removed."""
+    path = _scratch(spark, "table")
+    panel = events_panel(spark, sf_dir).withColumn("unit", F.lit(1.0))
+    panel.withColumnRenamed("ts", "timestamp").write.parquet(path)
+    return tidy(read_model_table(spark, path, "price", series=["series_id"]))
+
+
+@register
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked lists side by side in a file with semicolons and marked headers, read back."""
+    path = _scratch(spark, "lists.csv")
+    lists_side_by_side(spark, sf_dir).coalesce(1).orderBy("pos").drop("pos").withColumnRenamed(
+        "click_feature", f"{BOM}click_feature"
+    ).write.option("header", True).option("sep", ";").csv(path)
+    return rank_lists(read_importance_lists(spark, path))
+
+
+@register
+def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold summaries written as JSON and read back, a row per fold."""
+    per_fold = accuracy(events_predictions(spark, sf_dir), ["series_id", "model", "fold"], null_safe=True)
+    path = _scratch(spark, "summary")
+    write_summary(fold_summary(per_fold, ["series_id", "model"]), path)
+    back = spark.read.json(path)
+    return tidy(back.select("series_id", "model", "MAE", F.posexplode("folds.RMSE").alias("fold", "RMSE")))
+
+
 # ---- features -------------------------------------------------------------------
 
 
@@ -183,6 +238,16 @@ def shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _family(spark, sf_dir, ["shape"], ["skew_24h", "kurt_24h"])
 
 
+@register
+def hourly_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling and shape features on the full grid, so that frames are true hours."""
+    grid = with_positions(materialise(regularise(events_panel(spark, sf_dir))))
+    out = add_families(grid, ["rolling", "volatility", "shape"])
+    names = [c for c in out.columns if c.startswith("price_roll") or c in (
+        "d_price_1h", "d_price_24h", "std_6h", "std_24h", "skew_24h", "kurt_24h")]
+    return tidy(out.select("series_id", "ts", *names))
+
+
 @register
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole feature table of the hourly panel, complete rows only."""

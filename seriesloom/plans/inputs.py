@@ -95,4 +95,4 @@ def user_lists(spark: SparkSession, sf_dir: str, top: int = 20) -> DataFrame:
     order = Window.partitionBy("model").orderBy(F.col("importance").desc(), F.col("feature").cast("long"))
     # The rank filter reaches the map side, so a task sends ``top`` rows per model.
     ranked = sums.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= top)
-    return ranked.select("model", "pos", "feature", "importance")
+    return materialise(ranked.select("model", "pos", "feature", "importance"))

@@ -64,7 +64,7 @@ from ..sources.readers import (
     read_predictions,
     read_smart_csv,
 )
-from ..sources.writers import write_complete, write_forecasts, write_report, write_summary
+from ..sources.writers import write_complete, write_forecasts, write_report, write_summary, write_table
 
 log = logging.getLogger(__name__)
 
@@ -194,7 +194,7 @@ def backtest_job(
     wide = wide_predictions(tail, labels).withColumnRenamed("y", "Observed")
     write_forecasts(wide, f"{folder}/recursive_blocks_h{block}x{blocks}")
     pooled = pooled_ranking(tail)
-    write_report(pooled.orderBy("series_id", "rank"), f"{folder}/ranking_recursive_blocks")
+    write_table(pooled.orderBy("series_id", "rank"), f"{folder}/ranking_recursive_blocks")
     for name, model in models.items():
         grown = permutation_importance(rows, model, target, names, repeats=importance_repeats)
         write_report(top_importance(grown, TOP), f"{folder}/feature_importance_{name.lower()}")
@@ -206,7 +206,7 @@ def backtest_job(
     ranking = materialise(
         scores.unionByName(blocks_row).withColumnRenamed("horizon", "HorizonHours")
     )
-    write_report(sort_rankings(ranking), f"{folder}/ranking_models")
+    write_table(sort_rankings(ranking), f"{folder}/ranking_models")
     return ranking
 
 
@@ -286,17 +286,20 @@ def consolidate_job(
     """
     done = []
 
-    def save(df: DataFrame | None, name: str, *order: str) -> None:
+    def save(df: DataFrame | None, name: str, write=write_report) -> None:
         if df is not None:
-            write_report(df.orderBy(*order) if order else df, f"{out}/{name}")
+            write(df, f"{out}/{name}")
             done.append(name)
 
+    def by_time(df: DataFrame, path: str) -> None:
+        write_table(df.orderBy("timestamp"), path)
+
     for label, pair in inputs.forecasts.items():
-        save(merged_forecasts(spark, *[f"{folder}/{f}" for f in pair]), f"forecasts_{label}", "timestamp")
+        save(merged_forecasts(spark, *[f"{folder}/{f}" for f in pair]), f"forecasts_{label}", by_time)
     wide = merged_importance(spark, folder, inputs.importance)
     save(wide.orderBy("pos").drop("pos") if wide is not None else None, "feature_importance")
     for label, pair in inputs.blocks.items():
-        save(merged_blocks(spark, *[f"{folder}/{f}" for f in pair]), label, "timestamp")
+        save(merged_blocks(spark, *[f"{folder}/{f}" for f in pair]), label, by_time)
     rankings = [_optional(spark, f"{folder}/{f}") for f in inputs.rankings]
     if rankings and None not in rankings:
         save(sort_rankings(union_rankings(rankings)), "ranking_models")
@@ -315,7 +318,11 @@ def fuse_rankings(
 ) -> tuple[DataFrame, DataFrame]:
     """Ranks per model and fused scores per feature from importance lists."""
     ranks = materialise(rank_lists(lists, aliases=aliases, rank_by=rank_by))
-    metrics = metric_table(rankings, metric=metric, horizon=horizon) if rankings is not None else None
+    metrics = None
+    if rankings is not None:
+        metrics = metric_table(rankings, metric=metric, horizon=horizon)
+        if metrics.isEmpty():
+            raise ValueError(f"no ranking rows for horizon {horizon}")
     weights = model_weights(ranks.select("model"), metrics, metric=metric, renormalise=renormalise)
     return ranks, fuse(ranks, weights)
 
@@ -329,11 +336,13 @@ def ranking_job(
         rankings = read_smart_csv(spark, metrics_path)[0]
     lists = read_importance_lists(spark, lists_path)
     ranks, fused = fuse_rankings(lists, rankings)
+    models = [r["model"] for r in ranks.select("model").distinct().orderBy("model").collect()]
+    if len(models) < 2:
+        raise ValueError(f"need the lists of two models, have {models}")
     fused = materialise(fused)
     write_report(
         fused.orderBy(F.col("final_score").desc(), "feature"), f"{out}/feature_ranking_aggregated", bom=True
     )
-    models = [r["model"] for r in ranks.select("model").distinct().orderBy("model").collect()]
     write_report(rank_heatmap(ranks, top_features(fused), models), f"{out}/heatmap_ranks")
     return fused
 
@@ -359,17 +368,22 @@ def evaluate_wide(
     }
 
 
-def evaluation_job(spark: SparkSession, folder: str, stem: str, out: str) -> dict[str, DataFrame]:
-    """Evaluate the forecast file that ``stem`` names and write its tables."""
-    wide = read_predictions(spark, resolve_predictions(spark, folder, stem))
+def evaluation_job(
+    spark: SparkSession, folder: str, stem: str, out: str, *, keys: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """Evaluate the forecast file that ``stem`` names and write its tables.
+
+    ``keys=['series_id']`` evaluates each series of a panel file on its own.
+    """
+    wide = read_predictions(spark, resolve_predictions(spark, folder, stem), keys=keys)
     models = covered_models(wide)
     if not models:
         raise ValueError("no model column has enough values")
     tables = evaluate_wide(wide, models)
-    write_report(tables["peak_metrics"].orderBy("series_id", F.col("q").desc(), "model"), f"{out}/peak_metrics_{stem}")
-    write_report(tables["dm_raw"].orderBy("series_id", "pair", "loss"), f"{out}/dm_raw_{stem}")
-    write_report(sorted_summary(tables["dm_summary"]), f"{out}/dm_summary_{stem}")
-    write_report(tables["month_view"].orderBy("series_id", "ts", "place"), f"{out}/month_view_{stem}")
+    write_table(tables["peak_metrics"].orderBy("series_id", F.col("q").desc(), "model"), f"{out}/peak_metrics_{stem}")
+    write_table(tables["dm_raw"].orderBy("series_id", "pair", "loss"), f"{out}/dm_raw_{stem}")
+    write_table(sorted_summary(tables["dm_summary"]), f"{out}/dm_summary_{stem}")
+    write_table(tables["month_view"].orderBy("series_id", "ts", "place"), f"{out}/month_view_{stem}")
     return tables
 
 

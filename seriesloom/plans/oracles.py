@@ -274,6 +274,10 @@ condemned AS (
   WHERE member <> 1 GROUP BY col)"""
 
 
+def filled(c: str) -> str:
+    return f"last_value({c} IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts) AS {c}"
+
+
 def missing_sql(columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS missing, "
@@ -368,6 +372,32 @@ def oracle_sql() -> dict[str, str]:
             WHERE event_id % 50 <> 0 AND event_id % 37 <> 0""",
         "parse_numeric": """SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN value END AS number,
             regexp_extract(props, '(\\d+)', 1)::DOUBLE AS k FROM events""",
+        "forecast_files": tidied(
+            """SELECT ts AS timestamp, series_id, max(y) AS Observed, max(yhat) FILTER (model = 'persistence') AS persistence,
+              max(yhat) FILTER (model = 'seasonal_naive') AS seasonal_naive,
+              max(yhat) FILTER (model = 'mean24') AS mean24 FROM pred GROUP BY series_id, ts""",
+            "Observed persistence seasonal_naive mean24", E72,
+        ),
+        "complete_rows": f"WITH {PANEL} SELECT * FROM panel WHERE wind IS NOT NULL AND solar IS NOT NULL",
+        "model_table": tidied(
+            f"""SELECT series_id, ts, price, load, {filled('wind')}, {filled('solar')}, net_import, up_reserve,
+              down_reserve, total_gen FROM panel""",
+            "price load wind solar net_import up_reserve down_reserve total_gen", PANEL,
+        ),
+        "list_files": f"""WITH {USERS} SELECT model, feature, pos::INTEGER AS rank FROM lists
+            WHERE model = 'click' OR (model = 'error' AND pos <= 12) OR (model = 'view' AND pos <= 7)""",
+        "summary_files": tidied(
+            f"""SELECT series_id, model, avg(MAE) OVER w AS MAE, fold, RMSE
+              FROM (SELECT series_id, model, fold, {STRICT} FROM pred GROUP BY ALL)
+              WINDOW w AS (PARTITION BY series_id, model)""",
+            "MAE RMSE", E72,
+        ),
+        "hourly_frames": tidied(
+            f"SELECT series_id, ts, {ROLLING}, {VOLATILITY}, {SHAPE} FROM hours {W}",
+            f"{ROLLING_NAMES} {VOLATILITY_NAMES} {SHAPE_NAMES}",
+            f"""{PANEL}, {GRID}, hours AS (SELECT g.series_id, g.ts, p.price FROM grid g
+              LEFT JOIN panel p ON p.series_id = g.series_id AND p.ts = g.ts)""",
+        ),
         "calendar_season": tidied(
             f"""SELECT o_orderkey, ts, {CALENDAR}, CASE WHEN month(ts) IN (12, 1, 2) THEN 'winter'
               WHEN month(ts) <= 5 THEN 'spring' WHEN month(ts) <= 8 THEN 'summer' ELSE 'autumn' END AS season

@@ -200,9 +200,14 @@ def parse_timestamps(df: DataFrame, column: str = "timestamp") -> DataFrame:
 
 
 def read_predictions(
-    spark: SparkSession, path: str, *, ts: str = "timestamp", observed: str = "Observed"
+    spark: SparkSession,
+    path: str,
+    *,
+    ts: str = "timestamp",
+    observed: str = "Observed",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Wide forecast file: time and target required, everything else numeric or NULL."""
+    """Wide forecast file: time and target required, everything else but ``keys`` numeric or NULL."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
     suffix = suffix_of(path)
@@ -215,7 +220,7 @@ def read_predictions(
         raise ValueError("input must be .csv or .parquet")
     if ts not in raw.columns or observed not in raw.columns:
         raise ValueError(f"need columns '{ts}' and '{observed}', have {raw.columns}")
-    numbers = {c: F.col(c).try_cast("double") for c in raw.columns if c != ts}
+    numbers = {c: F.col(c).try_cast("double") for c in raw.columns if c not in (ts, *keys)}
     out = nan_to_null(raw.withColumn(ts, parse_time(F.col(ts))).withColumns(numbers))
     return out.dropna(subset=[ts, observed])
 

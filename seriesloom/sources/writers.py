@@ -62,8 +62,16 @@ def write_forecasts(
     (out.partitionBy(*partition_by) if partition_by else out).csv(path)
 
 
+def write_table(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
+    """CSV of any size; an ordered input gives part files in that order."""
+    df.write.mode(mode).option("header", True).csv(path)
+
+
 def write_report(df: DataFrame, path: str, *, bom: bool = False, mode: str = "errorifexists") -> None:
-    """Small report as one sorted CSV part; with ``bom`` the first header carries the mark."""
+    """Report as one CSV part, for tables of a row per model or feature.
+
+    With ``bom`` the first header carries a byte order mark.
+    """
     shown = df.withColumnRenamed(df.columns[0], BOM + df.columns[0]) if bom else df
     shown.coalesce(1).write.mode(mode).option("header", True).csv(path)
 
