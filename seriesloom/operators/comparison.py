@@ -123,7 +123,7 @@ def diebold_mariano(
             F.lit(a).alias("a"),
             F.lit(b).alias("b"),
             ((F.col(f"__s{place[a, loss]}") - F.col(f"__s{place[b, loss]}")) / F.col("n")).alias("mean"),
-            (F.col(f"__t{i}") / (F.col("n") * F.col("n"))).alias("var"),
+            (F.col(f"__t{i}") / F.col("n") / F.col("n")).alias("var"),
             (
                 (F.col(f"__k{models.index(a)}") == F.col("n"))
                 & (F.col(f"__k{models.index(b)}") == F.col("n"))

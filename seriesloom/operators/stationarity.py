@@ -1,6 +1,6 @@
 """KPSS and augmented Dickey–Fuller tests per series, as distributed sums.
 
-Neither test gathers a series: KPSS needs weighted lag products and partial sums,
+Neither test gathers a series: KPSS needs a few lag products and partial sums,
 which chunked windows give, and the Dickey–Fuller regression needs only the
 cross-product matrix of lagged values, which is summed over chunks and solved once
 per series.
@@ -20,10 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import nan_to_null
 from ..functions.time import HOUR, floor_div
 from ..session import materialise
 from .chunks import CHUNK_ROWS, over_chunks, spread_chunks
-from .positions import attach_balanced, with_positions
+from .positions import with_positions
 
 MIN_ROWS = 100
 
@@ -75,8 +76,7 @@ def kpss(
 ) -> DataFrame:
     """``n, lags, kpss, kpss_p`` of the level-stationarity test, series of ``least`` rows or more.
 
-    Two numbers reach the driver: the longest series and the largest lag chosen,
-    which bound the window frames.
+    One number reaches the driver: the longest series, which bounds a window frame.
     """
     keys = list(series)
     complete = df.select(*keys, ts, F.col(column).alias("__y")).where("__y IS NOT NULL")
@@ -85,7 +85,7 @@ def kpss(
         sums={"__sum": F.col("__y")},
     ).where(F.col("n") >= least)
     rows = rows.withColumn("__e", F.col("__y") - F.col("__sum") / F.col("n")).drop("__y", "__sum")
-    rows = materialise(rows)  # read by four jobs below
+    rows = materialise(rows)  # read by both stages below
     longest = rows.agg(F.max("n")).first()[0] or 1
     cover = F.floor(F.pow(F.col("n").cast("double"), F.lit(2.0 / 9.0))).cast("int")
     cover_max = int(longest ** (2.0 / 9.0)) + 1
@@ -101,51 +101,50 @@ def kpss(
     n = F.col("n").cast("double")
     s0 = F.col("__g0") / n + F.col("__g1") * 2 / n
     s1 = F.col("__g2") * 2 / n
-    ratio = s1 / s0
+    ratio = s1 / F.nullif(s0, F.lit(0.0))  # NULL for a constant series
     width = F.lit(1.1447) * F.pow(ratio * ratio, F.lit(1.0 / 3.0))
     lags = F.least(F.floor(width * F.pow(n, F.lit(1.0 / 3.0))), F.col("n") - 1).cast("int")
     chosen = stage.select(*keys, lags.alias("lags"))
-    lag_max = chosen.agg(F.max("lags")).first()[0] or 1
-    placed = attach_balanced(
-        rows, chosen, keys=keys, bucket=floor_div(F.col("pos"), chunk_rows)
-    )
-    bartlett = _lag_products(
-        placed,
-        {"lagged": lambda k: 1 - k / (F.col("lags") + 1)},
-        F.col("lags"),
-        lag_max,
-        keys,
-        chunk_rows,
-    )
-    # Partial sums: local running sums per chunk, then chunk offsets on the small table.
-    cut = bartlett.withColumn("__chunk", floor_div(F.col("pos"), chunk_rows))
-    running = (
-        Window.partitionBy(*keys, "__chunk")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    cut = cut.withColumn("__c", F.sum("__e").over(running))
-    chunks = cut.groupBy(*keys, "__chunk").agg(
+    sums = _partial_sums(rows, chosen, keys, chunk_rows)
+    # With Bartlett weights the long-run variance is the mean square of all sums of
+    # lags + 1 neighbours (rows outside the series count as zero), so differences of
+    # partial sums replace the lag products. The last partial sum is zero.
+    reach = F.col("lags") + 1
+    past = sums.select(*keys, (F.col("pos") + reach).alias("pos"), F.col("__s").alias("__past"))
+    joined = sums.join(past, [*keys, "pos"], "left")
+    gap = F.col("__s") - F.coalesce("__past", F.lit(0.0))
+    runs_out = (F.col("pos") >= F.col("n") - reach) & (F.col("pos") < F.col("n") - 1)
+    square = F.col("__s") * F.col("__s")
+    totals = joined.groupBy(*keys).agg(
         F.any_value("n").alias("n"),
         F.any_value("lags").alias("lags"),
-        F.count(F.lit(1)).alias("__m"),
-        F.sum("__e").alias("__se"),
-        F.sum("__c").alias("__sc"),
-        F.sum(F.col("__c") * F.col("__c")).alias("__sc2"),
-        F.sum(F.col("__e") * (F.col("__e") + 2 * F.col("lagged"))).alias("__lr"),
+        F.sum(square).alias("__eta"),
+        F.sum(gap * gap + F.when(runs_out, square).otherwise(0.0)).alias("__runs"),
     )
+    stat = F.col("__eta") / (n * n) / (F.nullif("__runs", F.lit(0.0)) / reach / n)
+    return totals.select(*keys, "n", "lags", stat.alias("kpss"), kpss_p_value(stat).alias("kpss_p"))
+
+
+def _partial_sums(rows: DataFrame, chosen: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
+    """``pos, n, lags, __s`` with the running sum of ``__e``; stored, as it is read twice.
+
+    Sums run inside chunks; the sum of all earlier chunks comes from a table with a
+    row per chunk, which also brings the lags of the series.
+    """
+    cut = rows.withColumn("__chunk", floor_div(F.col("pos"), chunk_rows))
+    inside = Window.partitionBy(*keys, "__chunk").orderBy("pos")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("__se").over(before), F.lit(0.0))
-    chunks = chunks.withColumn("__o", offset)
-    o = F.col("__o")
-    totals = chunks.groupBy(*keys).agg(
-        F.any_value("n").alias("n"),
-        F.any_value("lags").alias("lags"),
-        F.sum(F.col("__m") * o * o + 2 * o * F.col("__sc") + F.col("__sc2")).alias("__eta"),
-        F.sum("__lr").alias("__lr"),
+    offsets = (
+        cut.groupBy(*keys, "__chunk")
+        .agg(F.sum("__e").alias("__total"))
+        .withColumn("__offset", F.coalesce(F.sum("__total").over(before), F.lit(0.0)))
+        .join(chosen, keys)
+        .select(*keys, "__chunk", "__offset", "lags")
     )
-    stat = F.col("__eta") / (n * n) / (F.col("__lr") / n)
-    return totals.select(*keys, "n", "lags", stat.alias("kpss"), kpss_p_value(stat).alias("kpss_p"))
+    local = cut.withColumn("__c", F.sum("__e").over(upto))
+    total = local.join(offsets, [*keys, "__chunk"]).withColumn("__s", F.col("__c") + F.col("__offset"))
+    return materialise(total.select(*keys, "pos", "n", "lags", "__s"))
 
 
 def kpss_p_value(stat: Column) -> Column:
@@ -285,7 +284,7 @@ def adf(
         keep = {s: [pdf[s].iloc[0]] for s in keys}
         return pd.DataFrame({**keep, "n": n, "adf": stat, "adf_p": p, "used_lag": lag, "nobs": nobs})
 
-    return (
-        cells.unionByName(head).unionByName(sizes).groupBy(*keys)
-        .applyInPandas(solve, f"{prefix}, n long, adf double, adf_p double, used_lag int, nobs long")
+    solved = cells.unionByName(head).unionByName(sizes).groupBy(*keys).applyInPandas(
+        solve, f"{prefix}, n long, adf double, adf_p double, used_lag int, nobs long"
     )
+    return nan_to_null(solved)

@@ -183,8 +183,9 @@ def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold summaries written as JSON and read back, a row per fold."""
     per_fold = accuracy(events_predictions(spark, sf_dir), ["series_id", "model", "fold"], null_safe=True)
     path = _scratch(spark, "summary")
-    write_summary(fold_summary(per_fold, ["series_id", "model"]), path)
-    back = spark.read.json(path)
+    summary = fold_summary(per_fold, ["series_id", "model"])
+    write_summary(summary, path)
+    back = spark.read.schema(summary.schema).json(path)
     return tidy(back.select("series_id", "model", "MAE", F.posexplode("folds.RMSE").alias("fold", "RMSE")))
 
 

@@ -174,6 +174,13 @@ def test_stationarity_matches_brute_force(spark, chunk_rows):
     assert a["s1"].kpss_p < a["s0"].kpss_p and b["s1"].adf_p > b["s0"].adf_p
 
 
+def test_stationarity_of_a_constant_series_is_null(spark):
+    pdf = panel(series=1, hours=150, gap=0).assign(price=3.0)
+    df = spark_panel(spark, pdf)
+    assert kpss(df, "price").first().kpss is None
+    assert adf(df, "price").first().adf is None
+
+
 def test_dickey_fuller_p_values():
     # Published 1, 5 and 10 percent points of the constant case.
     assert adf_p_value(-3.43) == pytest.approx(0.01, abs=2e-3)
