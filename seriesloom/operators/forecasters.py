@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import inverse_signed_log1p, numeric_columns, signed_log1p
 from ..functions.time import floor_div
+from ..session import ensure_checkpoints
 from .chunks import CHUNK_ROWS
 from .folds import per_horizon, holdout, lookback_windows
 from .positions import attach_balanced
@@ -111,6 +112,7 @@ class GradientBoosting:
         )
 
     def fit(self, train: DataFrame, target: str, features: Sequence[str]) -> FittedTrees:
+        ensure_checkpoints(train.sparkSession)
         rows = holdout(_series_shares(train), self.validation)
         ready = _assembled(rows, features).select("__x", F.col(target).cast("double"), "role")
         first = self._estimator(target, self.max_rounds).fit(ready.where("role = 'train'"))
@@ -162,6 +164,7 @@ class CrossValidatedBoosting:
 
     def fit(self, train: DataFrame, target: str, features: Sequence[str]) -> FittedTrees:
         part = F.floor(F.col("pos") * (self.folds + 1) / F.col("n")).cast("int")
+        ensure_checkpoints(train.sparkSession)
         rows = _series_shares(train).withColumn("part", part)
         ready = _assembled(rows, features).select("__x", F.col(target).cast("double"), "part")
         with ThreadPoolExecutor(self.parallel) as pool:
@@ -226,6 +229,7 @@ class RandomSearch:
 
     def scores(self, train: DataFrame, target: str, features: Sequence[str]) -> list[tuple[dict, float]]:
         """Mean validation error of each drawn setting; fits run side by side."""
+        ensure_checkpoints(train.sparkSession)
         rows = _series_shares(train)
         ready = _assembled(rows, features).select("__x", F.col(target).cast("double"), "pos", "n")
         drawn = self.settings()

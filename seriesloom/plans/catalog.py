@@ -521,7 +521,8 @@ def dm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = wide_predictions(events_predictions(spark, sf_dir), BASELINES)
     # A copy of a model has no loss difference: its pair is not testable.
     wide = wide.withColumn("copy24", F.col("mean24"))
-    return tidy(diebold_mariano(wide, [*BASELINES, "copy24"]))
+    tests = diebold_mariano(wide, [*BASELINES, "copy24"])
+    return tidy(tests.withColumns({c: F.col(c).cast("double") for c in ("n", "nw_lags")}))
 
 
 @register
@@ -568,7 +569,9 @@ def heatmap_of_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = user_lists(spark, sf_dir)
     ranks = materialise(rank_lists(lists))
     fused = fuse(ranks, model_weights(ranks.select("model")))
-    return rank_heatmap(ranks, top_features(fused.withColumn("final_score", F.round("final_score", 9))), EVENT_TYPES)
+    top = top_features(fused.withColumn("final_score", F.round("final_score", 9)))
+    cells = rank_heatmap(ranks, top, EVENT_TYPES)
+    return cells.withColumns({m: F.col(m).cast("double") for m in EVENT_TYPES})
 
 
 @register

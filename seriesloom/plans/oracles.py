@@ -159,8 +159,8 @@ raw AS (
   FROM stats s JOIN cov USING (series_id, a, b, loss)),
 corrected AS (SELECT *, dm_raw * sqrt((n + 1 - 2 * {h} + {h} * ({h} - 1) / n) / n) AS dm FROM raw),
 tests AS (
-  SELECT series_id, a || ' vs ' || b AS pair, loss, CASE WHEN dm IS NOT NULL THEN n END AS n,
-    {h}::INTEGER AS h, CASE WHEN dm IS NOT NULL THEN nw_lags END AS nw_lags, dm_raw, dm,
+  SELECT series_id, a || ' vs ' || b AS pair, loss, CASE WHEN dm IS NOT NULL THEN n::DOUBLE END AS n,
+    {h}::INTEGER AS h, CASE WHEN dm IS NOT NULL THEN nw_lags::DOUBLE END AS nw_lags, dm_raw, dm,
     CASE WHEN dm IS NOT NULL THEN {p_norm} END AS p_norm,
     CASE WHEN dm IS NOT NULL THEN {p_t} END AS p_t,
     CASE WHEN dm IS NOT NULL THEN mean_diff END AS mean_diff,
@@ -566,7 +566,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "dm_compact": tidied(
             """SELECT series_id, pair, loss, better, mean_diff, dm, p_t, CASE WHEN p_t < 0.001 THEN '***'
-              WHEN p_t < 0.01 THEN '**' WHEN p_t < 0.05 THEN '*' ELSE '' END AS sig, n, nw_lags FROM tests""",
+              WHEN p_t < 0.01 THEN '**' WHEN p_t < 0.05 THEN '*' ELSE '' END AS sig, n::BIGINT AS n, nw_lags::INTEGER AS nw_lags FROM tests""",
             "mean_diff dm p_t",
             f"{E72}, wide_models AS (SELECT * FROM pred), {dm(['persistence', 'seasonal_naive', 'mean24'])}",
         ),
@@ -583,7 +583,7 @@ def oracle_sql() -> dict[str, str]:
               SELECT DISTINCT model, 1.0::DOUBLE / 5 AS w FROM lists), {fusion('equal_')}
             SELECT feature, """
         + ", ".join(
-            f"(min(rank) FILTER (model = '{m}'))::INTEGER AS {m}"
+            f"(min(rank) FILTER (model = '{m}'))::DOUBLE AS {m}"
             for m in ("click", "error", "purchase", "signup", "view")
         )
         + """ FROM ranks WHERE feature IN (

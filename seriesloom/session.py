@@ -55,3 +55,10 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/seriesloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Let long boosting runs cut their lineage in the shared folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_dir(spark)}/seriesloom/checkpoints")
