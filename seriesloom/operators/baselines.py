@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .chunks import CHUNK_ROWS, over_chunks
 from .folds import N_SPLITS, per_horizon, segment, test_rows
 
@@ -100,6 +101,8 @@ def baseline_predictions(
     The first two read the observed previous rows, so at every horizon they are
     one-step and one-season forecasts; ``mean24`` sees training rows only.
     """
+    narrow = positioned.select(*series, ts, target, "pos", "n")
+    positioned = materialise(narrow)  # read for the lags and for the means
     lagged = with_naive_lags(positioned, target, series=series, chunk_rows=chunk_rows)
     tested = test_rows(lagged, horizons, splits, spare=spare)
     means = train_means(positioned, target, horizons, splits, series=series, spare=spare)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .chunks import CHUNK_ROWS, over_chunks
 
 PERIOD = 168
@@ -43,14 +44,13 @@ def seasonal_decompose(
     rows = over_chunks(
         long_enough, trend, series=series, before=half, after=half, chunk_rows=chunk_rows
     ).withColumn("__place", F.pmod(F.col("pos"), F.lit(period)))
+    rows = materialise(rows)  # read again for the seasonal means
     keys = list(series)
     gap = F.col(column) - F.col("trend")
     places = rows.groupBy(*keys, "__place").agg(F.avg(gap).alias("__mean"))
-    # ``period`` rows per series.
-    level = places.groupBy(*keys).agg(F.avg("__mean").alias("__level"))
-    season = places.join(level, keys).select(
-        *keys, "__place", (F.col("__mean") - F.col("__level")).alias("seasonal")
-    )
+    # ``period`` rows per series, so a window over the series is small here.
+    level = F.avg("__mean").over(Window.partitionBy(*keys))
+    season = places.select(*keys, "__place", (F.col("__mean") - level).alias("seasonal"))
     return (
         rows.join(season, [*keys, "__place"])
         .withColumn("resid", F.col(column) - F.col("trend") - F.col("seasonal"))

@@ -126,6 +126,6 @@ def last_rows(df: DataFrame, rows: int) -> DataFrame:
 
 def head_and_tail(df: DataFrame, rows: int = 5) -> DataFrame:
     """First and last rows of each series of a positioned panel, labelled."""
-    head = df.where(F.col("pos") < rows).withColumn("part", F.lit("head"))
-    tail = df.where(F.col("pos") >= F.col("n") - rows).withColumn("part", F.lit("tail"))
-    return head.unionByName(tail)
+    head, tail = F.col("pos") < rows, F.col("pos") >= F.col("n") - rows
+    labels = F.array_compact(F.array(F.when(head, F.lit("head")), F.when(tail, F.lit("tail"))))
+    return df.where(head | tail).withColumn("part", F.explode(labels))
