@@ -134,7 +134,7 @@ RULES = (
     Rule("prose", 1, "n_words >= 10 and 50 * n_symbols < word_chars and 5 * n_upper < n_letters "
                      "and 20 * n_odd_ends < n_words and n_stops > 0"),
     Rule("original", 1, "n_words >= 20 and 50 * n_repeat_words < n_words and 20 * n_dup_lines < n_lines "
-                        "and 10 * n_symbols < word_chars"),
+                        "and 10 * n_symbols < word_chars and 20 * n_odd_ends < n_words"),
 )
 
 
