@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination, find_benchmark_spans
 from .minhash import near_duplicates
+from .passages import shared_passages
 from .quality_rules import weak_quality
 
 
@@ -30,10 +31,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*base, "base_failed", "kept")
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_decontaminate": op2_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op10_passages": op10_passages,
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
