@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination, find_benchmark_spans
 from .minhash import near_duplicates
+from .mixing import mix_sources
+from .pairwise_quality import score_quality
 from .passages import shared_passages
 from .quality_rules import weak_quality
+from .sharding import shard_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +29,28 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(find_benchmark_spans(documents, _table(spark, sf_dir, "benchmark")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_rows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = weak_quality(_table(spark, sf_dir, "documents"))
     base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return scored.select(*base, "base_failed", "kept")
 
 
+def op9_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +58,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_decontaminate": op2_decontaminate,
+    "op3_mixing": op3_mixing,
+    "op5_sharding": op5_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pairwise_quality": op9_pairwise_quality,
     "op10_passages": op10_passages,
 }
 
