@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination, find_benchmark_spans
+from .html import extract_main_text
+from .language import detect_languages
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .pairwise_quality import score_quality
@@ -41,6 +43,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = detect_languages(documents, documents.where(~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "langs", "shares")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = weak_quality(_table(spark, sf_dir, "documents"))
     base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -59,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_mixing": op3_mixing,
+    "op4_html": op4_html,
     "op5_sharding": op5_sharding,
+    "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
     "op9_pairwise_quality": op9_pairwise_quality,
     "op10_passages": op10_passages,
