@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialise
 from .graph import connected_components
@@ -165,7 +166,8 @@ def _identity(words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def with_node(documents: DataFrame, *, text: str) -> DataFrame:
     """The documents with ``__node``, the hash of their word sequence."""
-    place = documents.columns.index(text)
+    columns = documents.columns
+    place = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,11 +177,9 @@ def with_node(documents: DataFrame, *, text: str) -> DataFrame:
             if nodes:
                 yield pa.record_batch(
                     [*batch.columns, pa.array(signed(np.concatenate(nodes)), mask=missing)],
-                    names=[*documents.columns, "__node"],
+                    names=[*columns, "__node"],
                 )
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*documents.schema.fields, T.StructField("__node", T.LongType())])
     return documents.mapInArrow(run, schema)
 

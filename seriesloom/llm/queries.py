@@ -16,6 +16,7 @@ from .pairwise_quality import score_quality
 from .passages import shared_passages
 from .quality_rules import weak_quality
 from .sharding import shard_rows
+from .tool_calls import format_chat
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,52 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+#: The tools that ``with_calls`` puts into conversations.
+TOOLS = {
+    "lookup": {
+        "type": "object",
+        "required": ["query", "limit"],
+        "properties": {
+            "query": {"type": "string", "minLength": 1},
+            "limit": {"type": "integer", "minimum": 1, "maximum": 6},
+            "after": {"type": "string"},
+        },
+        "additionalProperties": False,
+    }
+}
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """The conversations, with a call in every assistant turn and a result for most calls.
+
+    The table holds no tool calls, so Spark derives them: the query is the text's
+    first 20 characters, the limit its length modulo 7 (0 breaks the schema), every
+    turn from 4 on refers to the call at half its turn if that was an assistant's, and
+    turns divisible by 11 get no result.
+    """
+    call_id = F.concat(F.lit("call_"), F.col("turn").cast("string"))
+    half = F.floor(F.col("turn") / 2).cast("long")
+    arguments = F.struct(
+        F.substring("text", 1, 20).alias("query"),
+        (F.length("text") % 7).alias("limit"),
+        F.when(F.col("turn") >= 4, F.struct(F.concat(F.lit("call_"), half.cast("string")).alias("$ref"))).alias("after"),
+    )
+    call = F.to_json(F.struct(call_id.alias("id"), F.lit("lookup").alias("name"), arguments.alias("arguments")))
+    spoken = F.when(
+        F.col("role") == "assistant", F.concat(F.coalesce("text", F.lit("")), F.lit("\n<tool_call>"), call, F.lit("</tool_call>"))
+    ).otherwise(F.col("text"))
+    result = F.to_json(F.struct(call_id.alias("tool_call_id"), F.struct(F.length("text").alias("n_chars")).alias("content")))
+    asked = conversations.select("conv_id", "turn", "role", spoken.alias("text"))
+    answers = conversations.where((F.col("role") == "assistant") & (F.col("turn") % 11 != 0)).select(
+        "conv_id", "turn", F.lit("tool").alias("role"), result.alias("text")
+    )
+    return asked.unionByName(answers)
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(with_calls(_table(spark, sf_dir, "conversations")), TOOLS)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -74,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_html": op4_html,
     "op5_sharding": op5_sharding,
+    "op6_tool_calls": op6_tool_calls,
     "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
     "op9_pairwise_quality": op9_pairwise_quality,
