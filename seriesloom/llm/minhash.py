@@ -10,8 +10,10 @@ similarity. Only as many darts are looked at as the signature needs, about
 
 Texts with equal word sequences are one node. Nodes that agree in all coordinates
 of a band meet in a bucket; in each bucket the node with most company leads, and
-members are compared with leaders, not with each other, by exact similarity. Buckets
-whose members still lie in different components get more leaders, until none is left.
+members are compared with leaders, not with each other, by exact similarity. Where a
+bucket's members still lie in different components, they are compared with further
+leaders that share a rare shingle with them (prefix and position filter of set joins),
+which loses no link and keeps texts apart that only have common passages in common.
 """
 
 from __future__ import annotations
@@ -221,6 +223,40 @@ def _compare(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def _merge(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """The components ``parts`` (node, part) after the links ``found``, of which only those
+    between different components matter."""
+    joined = (
+        found.join(parts.select(F.col("node").alias("a"), F.col("part").alias("u")), "a")
+        .join(parts.select(F.col("node").alias("b"), F.col("part").alias("v")), "b")
+        .select("u", "v")
+    )
+    merged = connected_components(joined, "u", "v").withColumnRenamed("node", "part")
+    return materialise(parts.join(merged, "part", "left").select("node", F.coalesce("component", "part").alias("part")))
+
+
+def _rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, node, n_shingles, degree, pos, early): the rarest shingles of each node.
+
+    With shingles in order of rarity, two sets of similarity t have a common one among
+    the first n - ceil(t * n) + 1 of each, and in the smaller set (``early``) even among
+    the first n - ceil(2 * t / (1 + t) * n) + 1. A shingle of a single node starts no pair.
+    """
+    tokens = nodes.join(sets, "node").select("node", F.explode("shingles").alias("bucket"))
+    often = tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))
+    n = F.col("n_shingles")
+    first = n - F.ceil(F.lit(similarity) * n - 1e-9) + 1
+    early = n - F.ceil(F.lit(2 * similarity / (1 + similarity)) * n - 1e-9) + 1
+    # The list of a node is as long as its text.
+    ordered = tokens.join(often, "bucket").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("s"))
+    return (
+        ordered.join(nodes, "node")
+        .select("node", "n_shingles", "degree", early.alias("__early"), F.posexplode(F.slice("s", F.lit(1), first.cast("int"))).alias("pos", "t"))
+        .where("t.often > 1")
+        .select(F.col("t.bucket").alias("bucket"), "node", "n_shingles", "degree", "pos", (F.col("pos") < F.col("__early")).alias("early"))
+    )
+
+
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -235,7 +271,7 @@ def near_duplicates(
 
     ``class_id`` is the smallest id among the documents that are linked, directly or
     over others, by equal word sequences or a similarity of at least ``similarity``;
-    ``n_links`` counts the links found between this text and different ones. Words
+    ``n_links`` counts the links to different texts that were needed to join its class. Words
     are those of ``text.ALNUM``. Texts without a word are equal only to equal texts.
     A null text is alone and its own class; a null id never names a class unless the
     class has no other. Ties and repeated rows share their class, each row is
@@ -244,6 +280,7 @@ def near_duplicates(
     Texts of similarity s share a bucket with probability 1 - (1 - s**rows)**bands,
     0.9999 at s = 0.8 with the defaults.
     """
+    spark = documents.sparkSession
     signed_ = materialise(
         signatures(documents, text=text, id_column=id_column, bands=bands, rows=rows, k=shingle)
     )
@@ -263,42 +300,72 @@ def near_duplicates(
     chosen = chosen.join(ids, chosen[id_column].eqNullSafe(ids["first_id"]), "left_semi")
     sets = materialise(_shingle_sets(chosen, text=text, k=shingle).dropDuplicates(["node"]))
 
-    links = None
-    count = 1
+    # Round one: every bucket has one leader, the node with most company.
+    leaders = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n_shingles")).alias("l"))
+    leaders = leaders.select("bucket", F.col("l.node").alias("b"), F.col("l.n_shingles").alias("nb"))
+    small, large = F.least("n_shingles", "nb"), F.greatest("n_shingles", "nb")
+    pairs = (
+        members.join(leaders, "bucket")
+        .where((F.col("node") != F.col("b")) & (small >= F.lit(similarity) * large))
+        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        .distinct()
+    )
+    links = materialise(_compare(pairs, sets, similarity))
+    # ``part`` is the component a node belongs to so far, at first the node itself.
+    parts = _merge(texts.select("node", F.col("node").alias("part")), links)
+    # A bucket is open while its nodes lie in different components. Members of open buckets are
+    # compared by their rarest shingles, which misses no link.
+    members = members.join(parts, "node")
+    open_ = members.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
+    unsettled = materialise(
+        members.join(open_.select("bucket"), "bucket", "left_semi").select("node", "n_shingles", "degree").distinct()
+    )
+    entries = materialise(_rare_shingles(unsettled, sets, similarity))
+    count = 16  # leaders per shingle in a round; they grow, so few rounds settle any group
     while True:
-        order = F.struct("degree", "node")
-        if count == 1:
-            leaders = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n_shingles")).alias("l"))
-            leaders = leaders.select("bucket", F.col("l.node").alias("b"), F.col("l.n_shingles").alias("nb"))
-        else:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy(order.desc()))
-            leaders = members.withColumn("__place", place).where(F.col("__place") <= count)
-            leaders = leaders.select("bucket", F.col("node").alias("b"), F.col("n_shingles").alias("nb"))
-        small, large = F.least("n_shingles", "nb"), F.greatest("n_shingles", "nb")
+        entries = entries.join(parts, "node")
+        # Only a shingle that comes early in the shorter of two sets can be their first common one.
+        open_ = (
+            entries.groupBy("bucket")
+            .agg(F.min("part").alias("x"), F.max("part").alias("y"), F.max("early").alias("any"))
+            .where("x < y and any")
+        )
+        entries = materialise(entries.join(open_.select("bucket"), "bucket"))
+        if entries.isEmpty():
+            break
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "node"))
+        leaders = materialise(
+            entries.where("early").withColumn("__place", place).where(F.col("__place") <= count).select(
+                "bucket", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("pos").alias("pb"),
+                F.col("part").alias("part_b"),
+            )
+        )
+        needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_shingles") + F.col("nb")) - 1e-9)
         pairs = (
-            members.join(leaders, "bucket")
-            .where((F.col("node") != F.col("b")) & (small >= F.lit(similarity) * large))
+            entries.join(leaders, "bucket")
+            .where(
+                (F.col("part") != F.col("part_b")) & (F.col("n_shingles") >= F.col("nb"))
+                & (F.col("nb") >= F.lit(similarity) * F.col("n_shingles"))
+                & (F.col("n_shingles") - F.col("pos") >= needed) & (F.col("nb") - F.col("pb") >= needed)
+            )
             .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
             .distinct()
-        )
-        found = _compare(pairs, sets, similarity)
-        links = materialise((found if links is None else links.union(found)).distinct())
-        parts = materialise(connected_components(links))
-        # A bucket is open while members that have not led lie in different components.
-        rest = members.join(leaders.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti")
-        rest = rest.join(parts, "node", "left").withColumn("__part", F.coalesce("component", "node")).drop("component")
-        open_ = rest.groupBy("bucket").agg(F.min("__part").alias("x"), F.max("__part").alias("y")).where("x < y")
-        members = materialise(rest.join(open_.select("bucket"), "bucket").drop("__part"))
-        if members.isEmpty():
-            break
-        count *= 2
+        )
+        found = materialise(_compare(pairs, sets, similarity))
+        links = links.union(found)
+        parts = _merge(parts, found)
+        led = leaders.select("bucket", F.col("b").alias("node"), F.lit(True).alias("__led"))
+        entries = entries.drop("part").join(led, ["bucket", "node"], "left")
+        entries = entries.withColumn("early", F.col("early") & F.col("__led").isNull()).drop("__led")
+        count *= 16
+    links = links.distinct()
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(
         F.count(F.lit(1)).alias("n_links")
     )
     named = (
-        texts.join(parts, "node", "left")
+        texts.join(parts, "node")
         .join(degree, "node", "left")
-        .select("node", "check", "first_id", F.coalesce("component", "node").alias("component"),
+        .select("node", "check", "first_id", F.col("part").alias("component"),
                 F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
