@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..session import materialise
 from .folds import BLOCK_ROWS, N_BLOCKS, N_SPLITS
 from .forecasters import Forecaster
 
+# What unsuitable data raises. Lost executors, full disks and mistakes in code are not isolated.
+FIT_ERRORS = (ArithmeticError, ValueError, np.linalg.LinAlgError, IllegalArgumentException)
 log = logging.getLogger(__name__)
 
 
@@ -54,7 +58,7 @@ def _one_fold(
         forecast = F.when(~F.isnan("yhat"), F.col("yhat"))
         # Stored inside the guard: prediction errors surface only when rows are computed.
         return materialise(long(fitted.predict(scored).where(tested), forecast, F.lit(None).cast("string")))
-    except Exception as problem:
+    except FIT_ERRORS as problem:
         if not isolate:
             raise
         log.warning("%s, horizon %s, fold %s failed: %s", name, horizon, fold, problem)

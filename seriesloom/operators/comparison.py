@@ -36,8 +36,18 @@ def wide_predictions(
     series: Sequence[str] = ("series_id",),
     ts: str = "ts",
 ) -> DataFrame:
-    """One row per series and timestamp: ``y`` and one column per model."""
-    picked = [F.max(F.when(F.col("model") == m, F.col("yhat"))).alias(m) for m in models]
+    """One row per series and timestamp: ``y`` and one column per model.
+
+    Several forecasts of a model for one timestamp (of more than one horizon, say) are
+    an error; put what tells them apart into ``series``.
+    """
+    clash = F.raise_error(F.lit("several forecasts of a model for one timestamp")).cast("double")
+
+    def only(m: str):
+        mine = F.col("model") == m
+        return F.when(F.count_if(mine) > 1, clash).otherwise(F.max(F.when(mine, F.col("yhat"))))
+
+    picked = [only(m).alias(m) for m in models]
     return predictions.groupBy(*series, ts).agg(F.max("y").alias("y"), *picked)
 
 

@@ -51,8 +51,9 @@ def _refit(df: DataFrame, column: str, features, missing: str, depth: int, seed:
     assembler, forest = _forest(features, column, depth, seed, s)
     ready = assembler.transform(df)
     model = forest.fit(ready.where(~F.col(missing)).select("__x", F.col(column).cast("double")))
-    filled = F.when(F.col(missing), F.col("__p")).otherwise(F.col(column))
-    return model.transform(ready).withColumn(column, filled).drop("__x", "__p")
+    # Only rows that need a prediction go through the forest.
+    filled = model.transform(ready.where(missing)).withColumn(column, F.col("__p")).drop("__x", "__p")
+    return ready.where(~F.col(missing)).drop("__x").unionByName(filled.select(*df.columns))
 
 
 def impute_forest(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_columns
+from ..session import materialise
 from .quantiles import exact_quantiles
 
 # Threshold of a high correlation, quantiles of the summary, and the
@@ -149,39 +150,36 @@ def mean_correlation(pairs: DataFrame) -> DataFrame:
 
 
 def columns_to_drop(
+    pairs: DataFrame,
     names: Sequence[str],
-    corr: dict[tuple[str, str], float],
     *,
     threshold: float = HIGH_CORRELATION,
     protected: Sequence[str] = (),
 ) -> list[str]:
-    """Which columns a correlation matrix condemns.
+    """The columns that a table of pair correlations condemns, in the order of ``names``.
 
-    A column is judged with its earlier partners at or above the threshold. Of
-    that group the member with the highest mean correlation goes, protected ones
-    excepted; the first listed wins ties. If the group holds both price columns of
-    ``KEEP_FIRST_OF``, the second goes instead. Columns already condemned still
-    take part.
+    Each column forms a group with its earlier partners at or above the threshold. A
+    group gives up its unprotected member of highest mean correlation; ties go to the
+    column itself, then to the earliest partner. A group with both price columns of
+    ``KEEP_FIRST_OF`` gives up the second one instead, if unprotected.
     """
-    known = {frozenset(k): v for k, v in corr.items() if v is not None}
-    mean = {}
-    for c in names:
-        own = [v for k, v in known.items() if c in k]
-        mean[c] = (1.0 + sum(own)) / (1 + len(own))
     keep, drop = KEEP_FIRST_OF
-    condemned = set()
-    for at, column in enumerate(names):
-        partners = [p for p in names[:at] if known.get(frozenset((p, column)), 0.0) >= threshold]
-        group = [column, *partners]
-        if not partners:
-            continue
-        if keep in group and drop in group:
-            condemned |= {drop} - set(protected)
-            continue
-        free = [c for c in group if c not in protected]
-        if free:
-            condemned.add(max(free, key=mean.__getitem__))
-    return [c for c in names if c in condemned]
+    place = F.create_map(*[F.lit(v) for i, c in enumerate(names) for v in (c, i)])
+    tied = pairs.where(F.col("corr") >= threshold).select(
+        F.greatest(place[F.col("feature_1")], place[F.col("feature_2")]).alias("group"), F.array("feature_1", "feature_2").alias("members")
+    )
+    groups = tied.select("group", F.explode("members").alias("column_name")).distinct().join(mean_correlation(pairs), "column_name")
+    at = place[F.col("column_name")]
+    free = ~F.col("column_name").isin(list(protected))
+    standing = F.struct("mean_abs_corr", at == F.col("group"), -at)
+    both = F.bool_or(F.col("column_name") == keep) & F.bool_or(F.col("column_name") == drop)
+    given_up = groups.groupBy("group").agg(
+        F.when(both, F.lit(None if drop in protected else drop))
+        .otherwise(F.max_by("column_name", F.when(free, standing)))
+        .alias("out")
+    )
+    out = {r["out"] for r in given_up.where("out IS NOT NULL").distinct().collect()}
+    return [c for c in names if c in out]
 
 
 def drop_correlated(
@@ -191,11 +189,11 @@ def drop_correlated(
     protected: Sequence[str] = (),
     columns: Sequence[str] | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Prune highly correlated columns; only the d(d-1)/2 coefficients reach the driver."""
+    """Prune highly correlated columns; only the condemned names reach the driver."""
     names = list(columns or numeric_columns(df))
     if len(names) < 2:
         return df, []
-    rows = absolute_correlations(df, names).collect()
-    corr = {(r["feature_1"], r["feature_2"]): r["corr"] for r in rows}
-    dropped = columns_to_drop(names, corr, threshold=threshold, protected=protected)
+    dropped = columns_to_drop(
+        materialise(absolute_correlations(df, names)), names, threshold=threshold, protected=protected
+    )
     return df.drop(*dropped), dropped

@@ -87,7 +87,7 @@ def model_weights(
 ) -> DataFrame:
     """``model, w``: inverse-error weights for the models that have a metric.
 
-    Models without one keep ``1/number of models``, so the total may exceed one;
+    A model with several rows counts by its smallest error. Models without one keep ``1/number of models``, so the total may exceed one;
     ``renormalise`` divides by the total. Without metrics all weights are equal.
     """
     every = Window.partitionBy()  # a row per model
@@ -96,7 +96,7 @@ def model_weights(
     if metrics is None:
         return listed.select("model", equal.alias("w"))
     errors = metrics.groupBy("model").agg(
-        F.first(metric).alias("__e"), F.lit(True).alias("__matched")
+        F.min(metric).alias("__e"), F.lit(True).alias("__matched")
     )
     joined = listed.join(errors, ["model"], "left")
     inverse = F.when(F.col("__matched"), F.coalesce(F.when(F.col("__e") != 0, 1 / F.col("__e")), F.lit(0.0)))
@@ -125,7 +125,7 @@ def fuse(ranks: DataFrame, weights: DataFrame) -> DataFrame:
     top = ranks.agg(F.max("rank")).scalar()
     models = ranks.agg(F.count_distinct("model")).scalar()
     placed = (
-        ranks.join(F.broadcast(weights), ["model"], "left")  # a row per model
+        ranks.join(weights, ["model"], "left")
         .withColumns({"__top": top, "__models": models})
         .withColumn("w", F.coalesce("w", 1 / F.col("__models")))
     )

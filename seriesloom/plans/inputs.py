@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,25 +12,27 @@ from ..operators.grid import to_panel
 from ..operators.positions import with_positions
 from ..session import materialise
 
-DIGITS = 6
-# Moves decimal ties off the rounding boundary: means of two-decimal values often
-# lie exactly halfway, where the last bit of a sum would decide the rounding.
-NUDGE = 1.3717421e-7
-LARGE = 1e6
+# Results are shown with about ten significant digits: the order of additions, which Spark does not
+# fix, moves a double by far less. Pairs of an upper bound and the decimals kept below it.
+PRECISION = ((1e2, 8), (1e4, 6), (1e6, 4), (1e8, 2))
 BASELINES = ("persistence", "seasonal_naive", "mean24")
 
 
-def rounded(c):
-    return F.round(c + F.lit(NUDGE), DIGITS)
+def exact_sum(c) -> Column:
+    """Sum as DECIMAL with six places, so that it does not depend on the order of the rows."""
+    return F.sum(c.cast("decimal(20,6)")).cast("double")
 
 
-def presented(c):
-    """``rounded``, but whole numbers beyond a million, where doubles carry fewer decimals."""
-    return F.when(F.abs(c) < LARGE, rounded(c)).otherwise(F.round(c + F.lit(NUDGE * LARGE), 0))
+def presented(c: Column) -> Column:
+    """``c`` at the precision in which results are shown; adding zero turns -0.0 into 0.0."""
+    shown = F.round(c, 0)
+    for bound, decimals in reversed(PRECISION):
+        shown = F.when(F.abs(c) < bound, F.round(c, decimals)).otherwise(shown)
+    return shown + F.lit(0.0)
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Round every double of a result."""
+    """Every double of a result as it is presented."""
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({c: presented(F.col(c)) for c in doubles}) if doubles else df
 
@@ -43,14 +45,14 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly panel of ``events``, a series per event type; scanned once and stored."""
     value, user = F.col("value"), F.col("user_id")
     columns = {
-        "price": rounded(F.avg(value)),
+        "price": exact_sum(value) / F.count(value),
         "load": F.count(F.lit(1)).cast("double"),
-        "wind": rounded(F.sum(F.when(user % 3 == 0, value))),
-        "solar": rounded(F.sum(F.when(user % 3 == 1, value))),
-        "net_import": rounded(F.max(value) - F.min(value)),
+        "wind": exact_sum(F.when(user % 3 == 0, value)),
+        "solar": exact_sum(F.when(user % 3 == 1, value)),
+        "net_import": F.max(value) - F.min(value),
         "up_reserve": F.max(value),
         "down_reserve": F.min(value),
-        "total_gen": rounded(F.sum(value)),
+        "total_gen": exact_sum(value),
     }
     raw = table(spark, sf_dir, "events").select("event_type", "ts", "user_id", "value")
     return materialise(to_panel(raw, series="event_type", ts="ts", columns=columns))
@@ -59,7 +61,7 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders_panel(spark: SparkSession, sf_dir: str, *, by_priority: bool = False) -> DataFrame:
     """Daily panel of ``orders``: one long series, or one per priority."""
     columns = {
-        "price": rounded(F.avg("o_totalprice")),
+        "price": exact_sum(F.col("o_totalprice")) / F.count("o_totalprice"),
         "load": F.count(F.lit(1)).cast("double"),
     }
     key = F.col("o_orderpriority") if by_priority else F.lit("orders")
@@ -90,7 +92,7 @@ def user_lists(spark: SparkSession, sf_dir: str, top: int = 20) -> DataFrame:
     sums = (
         table(spark, sf_dir, "events")
         .groupBy(F.col("event_type").alias("model"), F.col("user_id").cast("string").alias("feature"))
-        .agg(rounded(F.sum("value")).alias("importance"))
+        .agg(exact_sum(F.col("value")).alias("importance"))
     )
     order = Window.partitionBy("model").orderBy(F.col("importance").desc(), F.col("feature").cast("long"))
     # The rank filter reaches the map side, so a task sends ``top`` rows per model.

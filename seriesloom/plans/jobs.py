@@ -63,6 +63,7 @@ from ..sources.readers import (
     read_importance_lists,
     read_predictions,
     read_smart_csv,
+    report_rejected,
 )
 from ..sources.writers import write_complete, write_forecasts, write_report, write_summary, write_table
 
@@ -239,7 +240,9 @@ def _optional(spark: SparkSession, path: str, position: bool = False) -> DataFra
     if not exists(spark, path):
         log.warning("skipped, not found: %s", path)
         return None
-    return read_smart_csv(spark, path, position=position)[0]
+    good, bad = read_smart_csv(spark, path, position=position)
+    report_rejected(path, bad)
+    return good
 
 
 def merged_forecasts(spark: SparkSession, left: str, right: str) -> DataFrame | None:
@@ -333,7 +336,8 @@ def ranking_job(
     """Fuse a merged importance file, weighted by a ranking file when there is one."""
     rankings = None
     if metrics_path and exists(spark, metrics_path):
-        rankings = read_smart_csv(spark, metrics_path)[0]
+        rankings, bad = read_smart_csv(spark, metrics_path)
+        report_rejected(metrics_path, bad)
     lists = read_importance_lists(spark, lists_path)
     ranks, fused = fuse_rankings(lists, rankings)
     models = [r["model"] for r in ranks.select("model").distinct().orderBy("model").collect()]

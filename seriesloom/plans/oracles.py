@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from .inputs import DIGITS, LARGE, NUDGE
+from .inputs import PRECISION
 
-N = f"{NUDGE:.10g}"
 EPS = "1e-9"
 
 
-def r(x: str) -> str:
-    """Rounding as in ``rounded``; adding zero turns -0.0 into 0.0."""
-    return f"(round(({x}) + {N}, {DIGITS}) + 0.0)"
+def total(x: str) -> str:
+    """Sum that does not depend on the order of the rows."""
+    return f"sum(({x})::DECIMAL(20,6))::DOUBLE"
 
 
 def shown(c: str) -> str:
-    """The rounding that ``tidy`` applies."""
-    return f"CASE WHEN abs({c}) < {LARGE:.0f} THEN {r(c)} ELSE round({c} + {NUDGE * LARGE:.10g}, 0) END"
+    """The precision in which results are shown."""
+    steps = " ".join(f"WHEN abs({c}) < {bound:.0f} THEN round({c}, {decimals})" for bound, decimals in PRECISION)
+    return f"(CASE {steps} ELSE round({c}, 0) END + 0.0)"
 
 
 def tidied(sql: str, doubles: str, ctes: str = "") -> str:
@@ -30,17 +30,17 @@ def tidied(sql: str, doubles: str, ctes: str = "") -> str:
 PANEL = f"""
 panel AS (
   SELECT event_type AS series_id, date_trunc('hour', ts) AS ts,
-    {r('avg(value)')} AS price, count(*)::DOUBLE AS load,
-    {r('sum(CASE WHEN user_id % 3 = 0 THEN value END)')} AS wind,
-    {r('sum(CASE WHEN user_id % 3 = 1 THEN value END)')} AS solar,
-    {r('max(value) - min(value)')} AS net_import,
+    {total('value')} / count(value) AS price, count(*)::DOUBLE AS load,
+    {total('CASE WHEN user_id % 3 = 0 THEN value END')} AS wind,
+    {total('CASE WHEN user_id % 3 = 1 THEN value END')} AS solar,
+    max(value) - min(value) AS net_import,
     max(value) AS up_reserve, min(value) AS down_reserve,
-    {r('sum(value)')} AS total_gen
+    {total('value')} AS total_gen
   FROM events GROUP BY 1, 2)"""
 DAILY = f"""
 panel AS (
   SELECT 'orders' AS series_id, o_orderdate::TIMESTAMP AS ts,
-    {r('avg(o_totalprice)')} AS price, count(*)::DOUBLE AS load
+    {total('o_totalprice')} / count(o_totalprice) AS price, count(*)::DOUBLE AS load
   FROM orders GROUP BY 2)"""
 POSITIONS = """
 placed AS (
@@ -169,7 +169,7 @@ tests AS (
 
 
 USERS = f"""
-sums AS (SELECT event_type AS model, user_id, {r('sum(value)')} AS importance FROM events GROUP BY 1, 2),
+sums AS (SELECT event_type AS model, user_id, {total('value')} AS importance FROM events GROUP BY 1, 2),
 lists AS (
   SELECT model, pos, user_id::VARCHAR AS feature, importance FROM (
     SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC, user_id) AS pos FROM sums)
@@ -372,13 +372,15 @@ def oracle_sql() -> dict[str, str]:
             WHERE event_id % 50 <> 0 AND event_id % 37 <> 0""",
         "parse_numeric": """SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN value END AS number,
             regexp_extract(props, '(\\d+)', 1)::DOUBLE AS k FROM events""",
-        "forecast_files": tidied(
-            """SELECT ts AS timestamp, series_id, max(y) AS Observed, max(yhat) FILTER (model = 'persistence') AS persistence,
-              max(yhat) FILTER (model = 'seasonal_naive') AS seasonal_naive,
-              max(yhat) FILTER (model = 'mean24') AS mean24 FROM pred GROUP BY series_id, ts""",
-            "Observed persistence seasonal_naive mean24", E72,
+        # The files hold six decimals, of which the query shows five.
+        "forecast_files": f"""WITH {E72} SELECT ts AS timestamp, series_id, round(round(max(y), 6), 5) AS Observed,
+              round(round(max(yhat) FILTER (model = 'persistence'), 6), 5) AS persistence,
+              round(round(max(yhat) FILTER (model = 'seasonal_naive'), 6), 5) AS seasonal_naive,
+              round(round(max(yhat) FILTER (model = 'mean24'), 6), 5) AS mean24 FROM pred GROUP BY series_id, ts""",
+        "complete_rows": tidied(
+            "SELECT * FROM panel WHERE wind IS NOT NULL AND solar IS NOT NULL",
+            "price load wind solar net_import up_reserve down_reserve total_gen", PANEL,
         ),
-        "complete_rows": f"WITH {PANEL} SELECT * FROM panel WHERE wind IS NOT NULL AND solar IS NOT NULL",
         "model_table": tidied(
             f"""SELECT series_id, ts, price, load, {filled('wind')}, {filled('solar')}, net_import, up_reserve,
               down_reserve, total_gen FROM panel""",
@@ -405,7 +407,7 @@ def oracle_sql() -> dict[str, str]:
             "sin24 cos24 sin168 cos168",
         ),
         "lag_ratios": family(RATIOS, RATIO_NAMES),
-        "rolling_stats": f"{family(ROLLING, ROLLING_NAMES)} WHERE price_roll24_std IS NOT NULL",
+        "rolling_stats": f"{family(ROLLING, ROLLING_NAMES)}",
         "volatility": family(VOLATILITY, VOLATILITY_NAMES),
         "robust_z": family(DEMAND, DEMAND_NAMES),
         "shape": family(SHAPE, SHAPE_NAMES),
@@ -598,9 +600,9 @@ def oracle_sql() -> dict[str, str]:
             "click_importance error_importance view_importance", USERS,
         ),
         "decomposition": tidied(
-            """SELECT series_id, ts, price, trend, seasonal, price - trend - seasonal AS resid
+            """SELECT series_id, ts, price, trend, seasonal, round(price - trend - seasonal, 9) AS resid
               FROM trended JOIN season USING (series_id, place)""",
-            "price trend seasonal resid",
+            "price trend seasonal",
             f"""{PANEL}, {GRID}, filled AS (
               SELECT g.series_id, g.ts, last_value(price IGNORE NULLS) OVER (PARTITION BY g.series_id ORDER BY g.ts
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price,

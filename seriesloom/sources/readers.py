@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from ..operators.chunks import forward_fill
 from ..operators.grid import regularise
 from ..operators.positions import with_positions
 from ..operators.profile import constant_columns
+from ..session import materialise
 from .files import exists, suffix_of
 
 log = logging.getLogger(__name__)
@@ -166,10 +167,12 @@ def read_smart_csv(
     )
     extra = []
     if position:
-        # One small file: partition order is file order, so the id follows the lines.
-        raw = raw.withColumn("pos", F.monotonically_increasing_id())
+        raw = _with_line_numbers(raw)
         extra = ["pos"]
-    good = raw.where(F.col(REJECT).isNull()).select(
+    # Reading a data column along keeps ``good`` countable: Spark refuses to scan a CSV for
+    # the raw line alone.
+    seen = F.coalesce("c0", F.lit("")) >= "" if names else F.lit(True)
+    good = raw.where(F.col(REJECT).isNull() & seen).select(
         *[F.trim(f"c{i}").alias(n) for i, n in enumerate(names)], *extra
     )
     # The empty suffix keeps a data column in the read: Spark refuses to scan a CSV
@@ -179,6 +182,35 @@ def read_smart_csv(
     return (infer_numbers(good) if typed else good), bad
 
 
+def _with_line_numbers(raw: DataFrame) -> DataFrame:
+    """Add ``pos``: the 0-based number of the data line, counted over splits and part files.
+
+    A split is one run of consecutive ids within its partition; splits follow each other
+    by file name and offset. Only a row per split meets in one place. The ids are stored
+    once, so that both uses of them see the same ones.
+    """
+    source = [F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+    lines = materialise(raw.select("*", *source, F.monotonically_increasing_id().alias("__id")))
+    splits = lines.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__size"), F.min("__id").alias("__first"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(
+        "__file", "__block", (F.coalesce(F.sum("__size").over(before), F.lit(0)) - F.col("__first")).alias("__shift")
+    )
+    return (
+        lines.join(offsets, ["__file", "__block"])
+        .withColumn("pos", F.col("__id") + F.col("__shift"))
+        .drop("__file", "__block", "__id", "__shift")
+    )
+
+
+def report_rejected(path: str, bad: DataFrame) -> int:
+    """Number of rejected lines of a file; they are logged, not dropped in silence."""
+    count = bad.count()
+    if count:
+        log.warning("%s: %s lines with a wrong field count rejected, first: %s", path, count, bad.first()["line"])
+    return count
+
+
 def infer_numbers(df: DataFrame) -> DataFrame:
     """Cast text columns to double where every non-empty value is a number."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
@@ -242,7 +274,8 @@ def read_importance_lists(spark: SparkSession, path: str) -> DataFrame:
     """``model, pos, feature`` of a merged importance file, empty labels removed."""
     from ..operators.ranking import unpivot_lists
 
-    good, _ = read_smart_csv(spark, path, position=True)
+    good, bad = read_smart_csv(spark, path, position=True)
+    report_rejected(path, bad)
     return unpivot_lists(good).where("feature IS NOT NULL AND feature != ''")
 
 

@@ -1,3 +1,6 @@
+import math
+import statistics
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -9,33 +12,56 @@ from seriesloom.operators.positions import with_positions
 from .data import collected, panel, spark_panel
 
 
-def brute(g: pd.DataFrame) -> pd.DataFrame:
-    p, load = g.price, g.load
-    roll, l1 = p.rolling(24, min_periods=1), load.shift(1)
-    med = l1.rolling(24, min_periods=6).median()
-    mad = l1.rolling(24, min_periods=6).apply(lambda x: (x - x.median()).abs().median(), raw=False)
-    margin = (g.up_reserve - g.down_reserve).shift(1)
-    return pd.DataFrame(
-        {
-            "price_roll24_mean": roll.mean().shift(1),
-            "price_roll24_std": roll.std().shift(1),
-            "price_roll24_min": roll.min().shift(1),
-            "d_price_1h": p.diff().abs().shift(1).fillna(0),
-            "d_price_24h": p.diff(24).abs().shift(1).fillna(0),
-            "std_6h": p.rolling(6, min_periods=1).std().shift(1).fillna(0),
-            "skew_24h": p.rolling(24, min_periods=6).skew().shift(1),
-            "kurt_24h": p.rolling(24, min_periods=6).kurt().shift(1),
-            "price_over_load": p.shift(1) / (l1 + 1e-9),
-            "price_minus_norm_load": p.shift(1) - (l1 - med) / (mad + 1e-9),
-            "imbalance_ratio": margin / (l1 + 1e-9),
-            "renew_share": (g.wind + g.solar).shift(1) / (g.total_gen.shift(1) + 1e-9),
-        }
-    )
-
-
-def test_families_match_pandas_for_any_chunk_size(spark):
+def brute(rows: list[dict]) -> list[dict]:
+    """The features of one series straight from their definitions, row by row.
+
+    Everything looks at earlier rows only: ``back`` is the row before, ``last`` the
+    up to 24 rows before. None stands for what is not defined.
+    """
+
+    def spread(v, least=2):
+        return statistics.stdev(v) if len(v) >= least else None
+
+    def shape(v):
+        n, mean = len(v), sum(v) / len(v) if v else 0
+        m2, m3, m4 = (sum((x - mean) ** k for x in v) / n if n else 0 for k in (2, 3, 4))
+        if n < 6 or m2 == 0:
+            return None, None
+        skew = m3 / m2**1.5 * math.sqrt(n * (n - 1)) / (n - 2)
+        return skew, ((n + 1) * (m4 / m2**2 - 3) + 6) * (n - 1) / ((n - 2) * (n - 3))
+
+    out = []
+    for i in range(len(rows)):
+        last = [r["price"] for r in rows[max(0, i - 24) : i]]
+        back = rows[i - 1] if i else None
+        loads = [r["load"] for r in rows[max(0, i - 24) : i]]
+        middle = statistics.median(loads) if len(loads) >= 6 else None
+        # The deviations of a window are taken from the median of that same window.
+        deviation = statistics.median([abs(x - middle) for x in loads]) if middle is not None else None
+        skew, kurt = shape(last)
+        base = back["load"] + 1e-9 if back else None
+        out.append(
+            {
+                "price_roll24_mean": sum(last) / len(last) if last else None,
+                "price_roll24_std": spread(last),
+                "price_roll24_min": min(last) if last else None,
+                "d_price_1h": abs(rows[i - 1]["price"] - rows[i - 2]["price"]) if i >= 2 else 0.0,
+                "d_price_24h": abs(rows[i - 1]["price"] - rows[i - 25]["price"]) if i >= 25 else 0.0,
+                "std_6h": spread(last[-6:]) or 0.0,
+                "skew_24h": skew,
+                "kurt_24h": kurt,
+                "price_over_load": back["price"] / base if back else None,
+                "price_minus_norm_load": back["price"] - (back["load"] - middle) / (deviation + 1e-9) if middle is not None else None,
+                "imbalance_ratio": (back["up_reserve"] - back["down_reserve"]) / base if back else None,
+                "renew_share": (back["wind"] + back["solar"]) / (back["total_gen"] + 1e-9) if back else None,
+            }
+        )
+    return out
+
+
+def test_families_match_their_definitions_for_any_chunk_size(spark):
     pdf = panel().sort_values(["series_id", "ts"]).reset_index(drop=True)
-    want = pd.concat([brute(g) for _, g in pdf.groupby("series_id")]).reset_index(drop=True)
+    want = pd.DataFrame([f for _, g in pdf.groupby("series_id") for f in brute(g.to_dict("records"))]).astype(float)
     for chunk in (40, 4096):
         df = with_positions(spark_panel(spark, pdf), bucket_rows=chunk)
         got = collected(add_families(df, chunk_rows=chunk), "series_id", "ts")

@@ -65,17 +65,21 @@ def test_correlations_match_pandas(wide):
     }
 
 
-def test_pruning_rule(wide):
+def test_pruning_rule(spark, wide):
     _, df = wide
     kept, dropped = drop_correlated(df.select("a", "b", "c", "d"), protected=["a"])
     assert "a" in kept.columns and "c" in kept.columns and len(dropped) >= 1
     # The pair rule keeps the first price column and stops there.
     corr = {("fixing_i_price", "fixing_ii_price"): 0.99, ("fixing_i_price", "x"): 0.1, ("fixing_ii_price", "x"): 0.2}
     names = ["fixing_i_price", "fixing_ii_price", "x"]
-    assert columns_to_drop(names, corr) == ["fixing_ii_price"]
-    assert columns_to_drop(names, corr, protected=["fixing_ii_price"]) == []
+    def condemned(corr, names, **options):
+        rows = [(a, b, v) for (a, b), v in corr.items()]
+        return columns_to_drop(spark.createDataFrame(rows, "feature_1 string, feature_2 string, corr double"), names, **options)
+
+    assert condemned(corr, names) == ["fixing_ii_price"]
+    assert condemned(corr, names, protected=["fixing_ii_price"]) == []
     # Ties go to the judged column, which is listed first in its group.
-    assert columns_to_drop(["p", "q"], {("p", "q"): 1.0}) == ["q"]
+    assert condemned({("p", "q"): 1.0}, ["p", "q"]) == ["q"]
 
 
 @settings(max_examples=8, deadline=None)
