@@ -131,6 +131,10 @@ def mix_sources(
     count = totals.count()
     if count > MAX_SOURCES or 2 * count > period:
         raise ValueError(f"{count} sources; at most {min(MAX_SOURCES, period // 2)} fit a period of {period}")
+    added = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "in_mix")
+    if not count:
+        nothing = {c: F.lit(None).cast("long") for c in added[:4]} | {"in_mix": F.lit(False)}
+        return documents.withColumns(nothing).where(F.lit(False))
     if weights is None:
         weighed = totals.select("source_key", F.pow(F.col("rows").cast("double"), F.lit(temper)).alias("weight"))
     else:
@@ -159,7 +163,7 @@ def mix_sources(
     )
     full = full.withColumn("__row", F.row_number().over(order) - 1)
     offsets = offsets.withColumnsRenamed({"source_key": "__key", "range": "__range"})
-    end = ends.first()["mix_end"] if count else 0
+    end = ends.first()["mix_end"]
     share = plan.select(F.col("source_key").alias("__key"), F.col("share").alias("__share")).distinct()
     cycle = plan.select(
         F.col("source_key").alias("__key"), F.col("turn").alias("__turn"),
@@ -168,15 +172,15 @@ def mix_sources(
     block = F.floor((F.col("__row") + F.col("__offset")) / block_rows)
     placed = (
         full.join(offsets, ["__key", "__range"])
-        .withColumn("mix_block", block)
+        .withColumn("__block", block)
         .join(share, "__key")
-        .withColumn("__turn", (F.col("mix_block") % F.col("__share")).cast("int"))
-        .withColumn("__cycle", F.floor(F.col("mix_block") / F.col("__share")) * period)
+        .withColumn("__turn", (F.col("__block") % F.col("__share")).cast("int"))
+        .withColumn("__cycle", F.floor(F.col("__block") / F.col("__share")) * period)
         .join(cycle, ["__key", "__turn"])
     )
     return placed.select(
-        *documents.columns,
-        F.col("mix_block").cast("long").alias("mix_block"),
+        *[c for c in documents.columns if c not in added],
+        F.col("__block").cast("long").alias("mix_block"),
         (F.col("__cycle") + F.col("__release")).cast("long").alias("mix_release"),
         (F.col("__cycle") + F.col("__deadline")).cast("long").alias("mix_deadline"),
         (F.col("__cycle") + F.col("__slot")).cast("long").alias("mix_slot"),
@@ -186,4 +190,5 @@ def mix_sources(
 
 def documents_in_mix(documents: DataFrame, **options) -> DataFrame:
     """The documents of the mix, in the columns of the input."""
-    return mix_sources(documents, **options).where("in_mix").select(*documents.columns)
+    mixed = mix_sources(documents, **options).where("in_mix")
+    return mixed.select(*[c for c in documents.columns if c in mixed.columns])
