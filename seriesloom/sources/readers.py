@@ -169,16 +169,13 @@ def read_smart_csv(
     if position:
         raw = _with_line_numbers(raw)
         extra = ["pos"]
-    # Reading a data column along keeps ``good`` countable: Spark refuses to scan a CSV for
-    # the raw line alone.
+    # Reading a data column along keeps both tables countable: Spark refuses to scan a CSV
+    # for the raw line alone.
     seen = F.coalesce("c0", F.lit("")) >= "" if names else F.lit(True)
     good = raw.where(F.col(REJECT).isNull() & seen).select(
         *[F.trim(f"c{i}").alias(n) for i, n in enumerate(names)], *extra
     )
-    # The empty suffix keeps a data column in the read: Spark refuses to scan a CSV
-    # for the raw line alone.
-    suffix = F.substring(F.coalesce("c0", F.lit("")), 1, 0) if names else F.lit("")
-    bad = raw.where(F.col(REJECT).isNotNull()).select(F.concat(REJECT, suffix).alias("line"))
+    bad = raw.where(F.col(REJECT).isNotNull() & seen).select(F.col(REJECT).alias("line"))
     return (infer_numbers(good) if typed else good), bad
 
 

@@ -136,3 +136,22 @@ def test_writers(spark, tmp_path):
     assert json.loads(parts(tmp_path / "j", "json"))["folds"]["MAE"] == [1.0, 2.0]
     assert df.select(iso_time("ts").alias("t")).first().t == "2024-01-01T01:00:00"
     assert df.where(F.col("y").isNull()).count() == 1
+
+
+def test_line_numbers_run_over_splits_and_part_files(spark, tmp_path):
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    for part in range(2):
+        lines = [f"f{part}_{i},{i}" for i in range(3000)]
+        lines[7] = "a,b,c"
+        put(folder / f"part-{part}.csv", "name,n\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        good, bad = read_smart_csv(spark, str(folder), position=True)
+        rows = good.orderBy("pos").collect()
+        assert good.rdd.getNumPartitions() > 4 and good.count() == 5998 and bad.count() == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(p * 3000 + i, f"f{p}_{i}") for p in range(2) for i in range(3000) if i != 7]
+    assert [(r.pos, r.name) for r in rows] == want
