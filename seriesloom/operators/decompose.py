@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.time import floor_div
 from ..session import materialise
 from .chunks import CHUNK_ROWS, over_chunks
+from .positions import attach_balanced
 
 PERIOD = 168
 
@@ -52,7 +54,7 @@ def seasonal_decompose(
     level = F.avg("__mean").over(Window.partitionBy(*keys))
     season = places.select(*keys, "__place", (F.col("__mean") - level).alias("seasonal"))
     return (
-        rows.join(season, [*keys, "__place"])
+        attach_balanced(rows, season, keys=[*keys, "__place"], bucket=floor_div(F.col("pos"), chunk_rows))
         .withColumn("resid", F.col(column) - F.col("trend") - F.col("seasonal"))
         .drop("__place")
     )

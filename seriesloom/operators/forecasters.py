@@ -1,7 +1,7 @@
 """Forecasting models behind one protocol.
 
-Tree and window models are one global Spark ML fit over all series. The seasonal
-autoregression is a small solve per series and fold on at most ``cap`` rows.
+Tree and window models are one global Spark ML fit over all series; the autoregression
+of single series is in ``autoregression``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -24,15 +23,10 @@ from ..functions.numeric import inverse_signed_log1p, numeric_columns, signed_lo
 from ..functions.time import floor_div
 from ..session import ensure_checkpoints
 from .chunks import CHUNK_ROWS
-from .folds import per_horizon, holdout, lookback_windows
+from .folds import holdout, lookback_windows
 from .positions import attach_balanced
 from .scaling import Moments, moments, standardise, standardised, unstandardise
 
-# Lags of the seasonal autoregression, its season and history cap.
-AR_LAGS = (1, 2, 24, 25, 168)
-AR_SEASON = 24
-AR_CAP = 8000
-
 # Columns the exogenous autoregression leaves out by default.
 EXOGENOUS_BLACKLIST = (
     "co2_objetosc", "gaz_objetosc", "season_summer", "hour", "month", "season_spring",
@@ -294,102 +288,3 @@ class WindowRegression:
             featuresCol="__x", labelCol="__y", predictionCol="__z", regParam=self.ridge
         ).fit(ready)
         return FittedWindows(model, scale, tuple(features), self.lookback)
-
-
-# ---- seasonal autoregression per series ------------------------------------------
-
-
-def autoregress(
-    y: np.ndarray, x: np.ndarray, steps_x: np.ndarray, lags: Sequence[int], season: int
-) -> np.ndarray:
-    """Forecast ``len(steps_x)`` steps after ``y``.
-
-    Least squares of the seasonal difference on its own lags and on the seasonal
-    difference of the exogenous columns; forecasts feed the later steps.
-    """
-    z = y[season:] - y[:-season]
-    u = x[season:] - x[:-season]
-    usable = [k for k in lags if 3 * k < len(z)] or [1]
-    top = max(usable)
-    rows = np.arange(top, len(z))
-    design = np.column_stack([np.ones(rows.size), *[z[rows - k] for k in usable], u[rows]])
-    weights, *_ = np.linalg.lstsq(design, z[rows], rcond=None)
-    ahead = np.vstack([x, steps_x])
-    shift = ahead[len(x) :] - ahead[len(x) - season : len(ahead) - season]
-    drift = weights[0] + shift @ weights[1 + len(usable) :]
-    own = weights[1 : 1 + len(usable)]
-    values, gaps = list(y), list(z)
-    for step in range(len(steps_x)):
-        gap = drift[step] + sum(w * gaps[-k] for w, k in zip(own, usable))
-        gaps.append(gap)
-        values.append(values[-season] + gap)
-    return np.array(values[len(y) :])
-
-
-def _forecast_fold(pdf: pd.DataFrame, exogenous: Sequence[str], lags, season: int) -> pd.DataFrame:
-    """One series and fold; a failed solve or a short history falls back to a mean."""
-    pdf = pdf.sort_values("pos")
-    train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
-    y = train["y"].to_numpy(float)
-    tail = y[-24:]
-    known = tail[~np.isnan(tail)]
-    if not known.size:
-        known = y[~np.isnan(y)]
-    fallback = float(known.mean()) if known.size else np.nan
-    error = None
-    try:
-        if len(y) < 2 * season:
-            raise ValueError("history shorter than two seasons")
-        x = train[list(exogenous)].to_numpy(float)
-        path = autoregress(y, x, test[list(exogenous)].to_numpy(float), lags, season)
-        if not np.isfinite(path).all():
-            raise ValueError("forecast is not finite")
-    except (ValueError, np.linalg.LinAlgError) as problem:
-        path, error = np.full(len(test), fallback), str(problem)
-    return test.assign(yhat=path, error=error)
-
-
-def seasonal_autoregression(
-    positioned: DataFrame,
-    target: str,
-    horizons: Sequence[int],
-    splits: int,
-    *,
-    exogenous: Sequence[str] = (),
-    name: str = "linear_ar",
-    ts: str = "ts",
-    lags: Sequence[int] = AR_LAGS,
-    season: int = AR_SEASON,
-    cap: int = AR_CAP,
-    spare: int = 1,
-) -> DataFrame:
-    """Long predictions of the seasonal autoregression for every horizon and fold.
-
-    A group is one series and fold with at most ``cap`` training rows and one
-    horizon of test rows, whatever the length of the series. Without ``exogenous``
-    only the target's past is used.
-    """
-    position, h = F.col("pos"), F.col("horizon")
-    start = F.col("n") - h * (splits - F.col("fold"))
-    picked = positioned.select(
-        "series_id", ts, "pos", "n", F.col(target).cast("double").alias("y"),
-        *[F.col(c).cast("double").alias(c) for c in exogenous],
-    )
-    oldest = F.col("n") - max(horizons) * splits - cap
-    rows = (
-        per_horizon(picked.where(position >= oldest), horizons, splits, spare)
-        .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-        .where((position >= start - cap) & (position < start + h))
-        .withColumn("role", F.when(position < start, "train").otherwise("test"))
-    )
-    kind = positioned.schema["series_id"].dataType.simpleString()
-    time = positioned.schema[ts].dataType.simpleString()
-    schema = f"series_id {kind}, horizon int, fold int, `{ts}` {time}, y double, yhat double, error string"
-    columns = ["series_id", "horizon", "fold", ts, "y", "yhat", "error"]
-    solved = rows.groupBy("series_id", "horizon", "fold").applyInPandas(
-        lambda pdf: _forecast_fold(pdf, exogenous, lags, season)[columns], schema
-    )
-    clean = F.when(~F.isnan("yhat"), F.col("yhat"))
-    return solved.select(
-        "series_id", "horizon", "fold", ts, F.lit(name).alias("model"), "y", clean.alias("yhat"), "error"
-    )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import attach_by_series
+
 METRICS = ("MAE", "RMSE", "MAPE", "RMSLE", "R2")
 
 # Floors used by the two metric flavours.
@@ -148,14 +150,11 @@ def common_timestamps(
 ) -> DataFrame:
     """Keep timestamps that all ``models`` forecast; series without any stay whole."""
     keys = list(series)
-    shared = (
-        predictions.groupBy(*keys, ts)
-        .agg(F.count_distinct("model").alias("__models"))
-        .where(F.col("__models") == models)
-    )
-    kept = predictions.join(shared.select(*keys, ts), [*keys, ts], "left_semi")
-    whole = predictions.join(shared.select(*keys).distinct(), keys, "left_anti")
-    return kept.unionByName(whole)
+    hours = predictions.groupBy(*keys, ts).agg((F.count_distinct("model") == models).alias("__full"))
+    some = hours.groupBy(*keys).agg(F.bool_or("__full").alias("__some"))
+    flagged = attach_by_series(hours, some, series=keys, ts=ts)
+    kept = flagged.where(F.col("__full") | ~F.col("__some")).select(*keys, ts)
+    return predictions.join(kept, [*keys, ts], "left_semi")
 
 
 def last_fold(predictions: DataFrame, splits: int) -> DataFrame:

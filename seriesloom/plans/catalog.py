@@ -12,19 +12,19 @@ from ..functions.calendar import calendar_columns, season_columns, season_name
 from ..functions.numeric import to_number
 from ..functions.text import BOM
 from ..functions.time import DAY, truncate
+from ..operators.autoregression import seasonal_autoregression
 from ..operators.backtest import block_backtest, walk_forward
 from ..operators.baselines import baseline_predictions
 from ..operators.chunks import forward_fill
 from ..operators.comparison import diebold_mariano, dm_summary, wide_predictions
 from ..operators.decompose import seasonal_decompose
 from ..operators.features import add_families, feature_table
-from ..operators.folds import block_rows, fold_bounds, fold_table, holdout, lookback_windows
+from ..operators.folds import HORIZONS, N_SPLITS, block_rows, fold_bounds, fold_table, holdout, lookback_windows
 from ..operators.forecasters import (
     CrossValidatedBoosting,
     GradientBoosting,
     RandomSearch,
     WindowRegression,
-    seasonal_autoregression,
 )
 from ..operators.grid import duplicate_report, head_and_tail, keep_first, last_hours, last_rows, regularise
 from ..operators.importance import permutation_importance, top_importance, window_importance
@@ -516,7 +516,7 @@ def peak_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def month_peaks_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events_predictions(spark, sf_dir)
     best = best_peak_models(_peaks(found), q=0.95)
-    return tidy(month_view(found, best, hours=24 * 7))
+    return tidy(month_view(found, best))
 
 
 @register
@@ -667,9 +667,10 @@ def block_backtest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def linear_ar_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events_positions(spark, sf_dir)
-    plain = seasonal_autoregression(rows, "price", [24, 72], 3, name="SARIMA")
-    more = seasonal_autoregression(rows, "price", [24, 72], 3, name="SARIMAX", exogenous=["load"])
+    rows = materialise(events_positions(spark, sf_dir))
+    horizons = [72, *HORIZONS]  # short tables have no room for the long ones
+    plain = seasonal_autoregression(rows, "price", horizons, N_SPLITS, name="SARIMA")
+    more = seasonal_autoregression(rows, "price", horizons, N_SPLITS, name="SARIMAX", exogenous=["load"])
     return plain.unionByName(more)
 
 

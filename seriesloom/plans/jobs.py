@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import calendar_columns, season_columns
 from ..operators.backtest import block_backtest, walk_forward
 from ..operators.baselines import to_long
+from ..operators.autoregression import seasonal_autoregression
 from ..operators.chunks import CHUNK_ROWS, forward_fill
 from ..operators.comparison import diebold_mariano, dm_summary, sorted_summary, wide_predictions
 from ..operators.features import Roles, add_families
@@ -22,7 +23,6 @@ from ..operators.forecasters import (
     Forecaster,
     GradientBoosting,
     exogenous_columns,
-    seasonal_autoregression,
 )
 from ..operators.grid import keep_first
 from ..operators.importance import TOP, permutation_importance, top_importance

@@ -557,7 +557,7 @@ def oracle_sql() -> dict[str, str]:
               SELECT *, max(ts) OVER (PARTITION BY series_id) AS last FROM pred)
               JOIN (SELECT series_id, model, threshold, row_number() OVER (PARTITION BY series_id
                 ORDER BY recall_peak DESC NULLS LAST, WMAE NULLS LAST, model) AS place FROM peaks WHERE q = 0.95)
-              USING (series_id, model) WHERE place <= 2 AND ts > last - INTERVAL 168 HOUR""",
+              USING (series_id, model) WHERE place <= 2 AND ts > last - INTERVAL 744 HOUR""",
             "y yhat", f"{E72}, {PEAKS}",
         ),
         "dm_pairs": tidied(

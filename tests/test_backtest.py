@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from seriesloom.operators.autoregression import roll_out, seasonal_autoregression
 from seriesloom.operators.backtest import block_backtest, walk_forward
 from seriesloom.operators.baselines import baseline_predictions
 from seriesloom.operators.folds import (
@@ -18,9 +19,7 @@ from seriesloom.operators.forecasters import (
     GradientBoosting,
     RandomSearch,
     WindowRegression,
-    autoregress,
     exogenous_columns,
-    seasonal_autoregression,
 )
 from seriesloom.operators.importance import permutation_importance, top_importance, window_importance
 from seriesloom.operators.metrics import (
@@ -158,27 +157,48 @@ def test_prediction_reports(placed):
     assert len(kept[kept.series_id == "s1"]) == fewer.where("series_id = 's1'").count()
 
 
-def test_autoregression_recovers_a_seasonal_pattern():
+def test_roll_out_continues_a_seasonal_pattern():
     t = np.arange(400)
     y = 10 + np.sin(2 * np.pi * t / 24) + 0.01 * t
-    none = np.zeros((400, 0))
-    got = autoregress(y[:350], none[:350], none[350:], (1, 2, 24, 25, 168), 24)
-    np.testing.assert_allclose(got, y[350:], atol=1e-3)
+    got = roll_out(np.array([0.0, 1.0]), y[:350], np.zeros((400, 0)), 50, (1,), 24)
+    np.testing.assert_allclose(got, y[350:], atol=1e-9)
 
 
 def test_seasonal_autoregression_groups_and_fallback(placed):
-    got = seasonal_autoregression(placed, "price", [24], 2, exogenous=["load"]).toPandas()
+    got = seasonal_autoregression(placed, "price", [24], 2, exogenous=["load"], lags=(1, 2, 24)).toPandas()
     assert len(got) == 2 * 2 * 24 and got.yhat.notna().all() and got.error.isna().all()
-    capped = seasonal_autoregression(placed, "price", [24], 2, cap=30).toPandas()
+    short = seasonal_autoregression(placed, "price", [24], 2, lags=(1, 235)).toPandas()
     whole = collected(placed, "series_id", "pos")
-    for (s, fold), g in capped.groupby(["series_id", "fold"]):
+    for (s, fold), g in short.groupby(["series_id", "fold"]):
         y = whole[whole.series_id == s].price.to_numpy()
         start = len(y) - 24 * (2 - fold)
         assert g.error.notna().all()
         np.testing.assert_allclose(g.yhat, y[start - 24 : start].mean())
 
 
-FEATURES = ["hour", "lag1", "load"]
+def test_seasonal_autoregression_uses_the_whole_history(spark):
+    """Equal to a solve on all rows of 20000, whose older half behaves differently."""
+    n, h, splits, lags, season = 20_000, 24, 2, (1, 24), 24
+    rng = np.random.default_rng(4)
+    x, noise = rng.normal(size=n), rng.normal(size=n)
+    y = 5 * x + np.convolve(noise, [1, 0.6, 0.3])[:n]
+    y[: n // 2] = -3 * x[: n // 2] + noise[: n // 2]
+    frame = pd.DataFrame({"series_id": "a", "pos": np.arange(n), "n": n, "price": y, "load": x})
+    df = spark.createDataFrame(frame).withColumn("ts", F.timestamp_seconds(F.col("pos") * 3600))
+    got = seasonal_autoregression(df, "price", [h, 48], splits, exogenous=["load"], lags=lags, season=season)
+    got = got.where(f"horizon = {h}").orderBy("ts").toPandas()
+    z, u = y[season:] - y[:-season], x[season:] - x[:-season]
+    for fold in range(splits):
+        start = n - h * (splits - fold)
+        at = np.arange(max(lags), start - season)
+        design = np.column_stack([np.ones(len(at)), *[z[at - k] for k in lags], u[at]])
+        w = np.linalg.lstsq(design, z[at], rcond=None)[0]
+        path = list(y[:start])
+        for i in range(start, start + h):
+            gaps = [path[i - k] - path[i - k - season] for k in lags]
+            path.append(path[i - season] + w[0] + np.dot(w[1:3], gaps) + w[3] * (x[i] - x[i - season]))
+        np.testing.assert_allclose(got[got.fold == fold].yhat, path[start:], rtol=1e-6, atol=1e-6)
+    assert got.error.isna().all() and len(got) == splits * h
 
 
 @pytest.fixture(scope="module")
