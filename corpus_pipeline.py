@@ -39,10 +39,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix: sources at the tempered weights, without repetition.
+    """All documents in mixed order, with ``mix_slot``: sources at the tempered weights.
 
-    What a large source has beyond its weight is left out; the mix ends where the
-    first source cannot fill its place.
+    A source that is used up leaves the schedule and the others go on.
     """
     return documents_in_mix(docs)
 

@@ -1,16 +1,25 @@
-"""Mixing sources to target weights as a Pfair schedule of blocks.
-
-A source with weight w and blocks 1, 2, 3, … releases block i at (i - 1) / w and has
-to be served by i / w. Serving, in every slot, the released block with the earliest
-deadline keeps each source within less than one block of its share at every moment.
-Weights are rounded to multiples of 1 / ``period``. After ``period`` slots every
-source has then had exactly its share, so the schedule repeats, and only one period
-has to be worked out slot by slot; the place of every other block follows from it by
-division. All of it is DataFrame expressions.
+"""Mixing sources to target weights, block by block, as a tree of exact splits.
+
+The sources hang in a Huffman tree of their weights. A node that has had n slots gives
+its left child round(n * weight of the child / weight of the node) of them and the
+right child the rest, so every slot goes to one source, the target weights hold
+without a period or a least share, and the distance from them does not grow with the
+input: it is at most half a block for each node between root and source, times the
+source's part of that node, less than 1.7 blocks in any Huffman tree. The slot of any block
+follows from the integers on its path by divisions, without a schedule that is worked out slot by slot.
+
+A source whose blocks are used up leaves: from the next slot on a new tree of the
+remaining weights holds. So the order covers every document.
+
+``period_schedule`` works out a repeating Pfair schedule for callers that want one: a
+source with weight w and blocks 1, 2, 3, … releases block i at (i - 1) / w and has to
+be served by i / w; the earliest deadline is served first. Its weights are multiples
+of 1 / ``period``.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,6 +102,67 @@ def _serve(state: Column, slot: Column, release, deadline) -> Column:
     )
 
 
+def split_paths(weights: list[int]) -> list[list[tuple[int, int, int]]]:
+    """For each weight the splits from its leaf up to the root of a Huffman tree.
+
+    A split is (weight of the node, weight of the child on the path, 1 if that is the left one).
+    """
+    heap = [(w, i, [i]) for i, w in enumerate(weights)]
+    paths: list[list[tuple[int, int, int]]] = [[] for _ in weights]
+    heapq.heapify(heap)
+    number = len(weights)
+    while len(heap) > 1:
+        (v, _, small), (w, _, large) = heapq.heappop(heap), heapq.heappop(heap)
+        for i in small:
+            paths[i].append((v + w, v, 0))
+        for i in large:
+            paths[i].append((v + w, w, 1))
+        heapq.heappush(heap, (v + w, number, small + large))
+        number += 1
+    return paths
+
+
+def slot_of(block: int, path: list[tuple[int, int, int]]) -> int:
+    """Slot of a source's block, both from 0."""
+    for node, child, left in path:
+        block = (node * (2 * block + 1) - left) // (2 * child)
+    return block
+
+
+def blocks_before(slot: int, path: list[tuple[int, int, int]]) -> int:
+    """Blocks of a source in the slots before ``slot``."""
+    for node, child, left in reversed(path):
+        slot = (2 * slot * child + node - 1 + left) // (2 * node)
+    return slot
+
+
+def phases(sizes: list[int], weights: list[float]) -> list[tuple[int, int, int, int, float, list[tuple[int, int, int]]]]:
+    """(source, first block, end block, first slot, weight, path) of each source in each phase.
+
+    A phase ends with the slot that uses up a source; the weights of a phase sum to 1.
+    """
+    left, used, start, out = list(sizes), [0] * len(sizes), 0, []
+    while any(left):
+        active = [i for i, n in enumerate(left) if n and weights[i] > 0]
+        if not active:  # sources of weight 0 come after all others
+            active = [i for i, n in enumerate(left) if n]
+            weights = [1.0] * len(sizes)
+        total = sum(weights[i] for i in active)
+        # Products with block numbers stay below 2 ** 63.
+        scale = min(1 << 40, (1 << 60) // (sum(left) + 1))
+        whole = [max(1, round(weights[i] / total * scale)) for i in active]
+        paths = split_paths(whole)
+        length = min(slot_of(left[i] - 1, path) for i, path in zip(active, paths, strict=True)) + 1
+        for i, path in zip(active, paths, strict=True):
+            taken = blocks_before(length, path)
+            if taken:
+                out.append((i, used[i], used[i] + taken, start, weights[i] / total, path))
+            used[i] += taken
+            left[i] -= taken
+        start += length
+    return out
+
+
 def mix_sources(
     documents: DataFrame,
     *,
@@ -111,13 +181,15 @@ def mix_sources(
     a source are put in the order of the MD5 of their id (then id, then the text's MD5 if there
     is a text column) and cut
     into blocks of ``block_rows``; the last block may be shorter. Added columns:
-    ``mix_block`` (from 0 within the source), ``mix_release``, ``mix_deadline``,
-    ``mix_slot`` (of the block) and ``in_mix``: whether the slot comes before the first
-    slot that some source cannot fill, so that over these rows every source is within
-    a block of its weight. Rows beyond it are returned as well, with ``in_mix`` false.
+    ``mix_block`` (from 0 within the source), ``mix_release`` and ``mix_deadline`` (first
+    slot and end of the block's turn by the exact weight), ``mix_slot`` (of the block) and
+    ``in_mix``: whether all sources still take part, so that over these rows every source
+    is at its target weight. A used-up source leaves and the others go on at their
+    remaining weights, with ``in_mix`` false. The slots of a table run from 0 without gaps.
 
     A null source is a source of its own. Sources missing from given ``weights`` raise
-    an error, as do more than MAX_SOURCES sources or a period below twice their number.
+    an error, as do negative or infinite weights and more than MAX_SOURCES sources or half
+    of ``period``, which bounds the sources and nothing else. Sources of weight 0 come last.
     Repeated rows take places of their own; ties are only between equal rows. An
     empty table gives an empty result.
     """
@@ -145,14 +217,17 @@ def mix_sources(
             "source_key",
             F.coalesce("weight", F.raise_error(F.concat(F.lit("no weight for source "), F.col("source_key")))).alias("weight"),
         )
-    plan = materialise(period_schedule(integer_shares(weighed, period), period))
-    # First slot that a source would need beyond its blocks; the earliest of them ends the mix.
-    blocks = totals.select("source_key", F.ceil(F.col("rows") / block_rows).alias("blocks"))
-    ends = (
-        plan.join(blocks, "source_key")
-        .where(F.col("turn") == F.col("blocks") % F.col("share"))
-        .select((F.floor(F.col("blocks") / F.col("share")) * period + F.col("slot")).alias("first_missing"))
-        .agg(F.coalesce(F.min("first_missing"), F.lit(0)).alias("mix_end"))
+    # At most MAX_SOURCES rows.
+    known = totals.select("source_key", F.ceil(F.col("rows") / block_rows).alias("blocks")).join(weighed, "source_key")
+    known = sorted((r["source_key"], r["blocks"], r["weight"]) for r in known.collect())
+    if not all(0 <= w < float("inf") for _, _, w in known):
+        raise ValueError("weights must be finite and not negative")
+    turns = phases([n for _, n, _ in known], [w for _, _, w in known])
+    end = min((start for _, _, _, start, _, _ in turns if start), default=sum(n for _, n, _ in known))
+    plan = documents.sparkSession.createDataFrame(
+        [(known[i][0], *rest) for i, *rest in turns],
+        "__key string, __first long, __stop long, __start long, __weight double, "
+        "__path array<struct<node: long, child: long, left: long>>",
     )
     before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("source_key", "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__offset"))
@@ -163,32 +238,28 @@ def mix_sources(
     )
     full = full.withColumn("__row", F.row_number().over(order) - 1)
     offsets = offsets.withColumnsRenamed({"source_key": "__key", "range": "__range"})
-    end = ends.first()["mix_end"]
-    share = plan.select(F.col("source_key").alias("__key"), F.col("share").alias("__share")).distinct()
-    cycle = plan.select(
-        F.col("source_key").alias("__key"), F.col("turn").alias("__turn"),
-        F.col("release").alias("__release"), F.col("deadline").alias("__deadline"), F.col("slot").alias("__slot"),
-    )
-    block = F.floor((F.col("__row") + F.col("__offset")) / block_rows)
-    placed = (
-        full.join(offsets, ["__key", "__range"])
-        .withColumn("__block", block)
-        .join(share, "__key")
-        .withColumn("__turn", (F.col("__block") % F.col("__share")).cast("int"))
-        .withColumn("__cycle", F.floor(F.col("__block") / F.col("__share")) * period)
-        .join(cycle, ["__key", "__turn"])
+    place = F.floor((F.col("__row") + F.col("__offset")) / block_rows).cast("long")
+    turn = F.col("__block") - F.col("__first")
+    slot = F.aggregate(
+        "__path", turn, lambda n, x: F.call_function("div", x["node"] * (2 * n + 1) - x["left"], 2 * x["child"])
+    )
+    placed = full.join(offsets, ["__key", "__range"]).withColumn("__block", place)
+    placed = placed.join(
+        F.broadcast(plan.withColumnRenamed("__key", "__of")),
+        (F.col("__key") == F.col("__of")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__stop")),
     )
     return placed.select(
         *[c for c in documents.columns if c not in added],
-        F.col("__block").cast("long").alias("mix_block"),
-        (F.col("__cycle") + F.col("__release")).cast("long").alias("mix_release"),
-        (F.col("__cycle") + F.col("__deadline")).cast("long").alias("mix_deadline"),
-        (F.col("__cycle") + F.col("__slot")).cast("long").alias("mix_slot"),
-        (F.col("__cycle") + F.col("__slot") < F.lit(end)).alias("in_mix"),
+        F.col("__block").alias("mix_block"),
+        (F.col("__start") + F.floor(turn / F.col("__weight"))).cast("long").alias("mix_release"),
+        (F.col("__start") + F.ceil((turn + 1) / F.col("__weight"))).cast("long").alias("mix_deadline"),
+        (F.col("__start") + slot).alias("mix_slot"),
+        (F.col("__start") + slot < end).alias("in_mix"),
     )
 
 
 def documents_in_mix(documents: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, in the columns of the input."""
-    mixed = mix_sources(documents, **options).where("in_mix")
-    return mixed.select(*[c for c in documents.columns if c in mixed.columns])
+    """All documents in mixed order: the columns of the input and ``mix_slot``, sorted by it."""
+    mixed = mix_sources(documents, **options)
+    kept = [c for c in documents.columns if c in mixed.columns]
+    return mixed.select(*kept, "mix_slot").orderBy("mix_slot")

@@ -15,7 +15,7 @@ from seriesloom.llm.graph import connected_components
 from seriesloom.llm.html import extract_main_text
 from seriesloom.llm.language import detect_languages
 from seriesloom.llm.minhash import dart_signature, keep_first_of_class, near_duplicates
-from seriesloom.llm.mixing import integer_shares, mix_sources, period_schedule
+from seriesloom.llm.mixing import documents_in_mix, integer_shares, mix_sources, period_schedule
 from seriesloom.llm.pairwise_quality import score_quality
 from seriesloom.llm.passages import chains, remove_repeated_passages, shared_passages
 from seriesloom.llm.quality_rules import weak_quality
@@ -154,6 +154,20 @@ def test_mixing_stays_within_a_block_of_the_weights(spark, awkward, empty):
         mix_sources(awkward, period=3)
 
 
+def test_a_used_up_source_leaves_the_mix(spark):
+    sizes = {"hot": 900, "b": 200, "c": 120, "tiny": 3}
+    df = spark.createDataFrame([(f"{k}{i}", k) for k, n in sizes.items() for i in range(n)], "doc_id string, source string")
+    got = documents_in_mix(df).toPandas()
+    assert sorted(got.doc_id) == sorted(r.doc_id for r in df.collect())
+    slots = mix_sources(df).toPandas().groupby("source").mix_slot.unique().map(set)
+    assert sorted(s for own in slots for s in own) == list(range(225 + 50 + 30 + 1))
+    # "tiny" is gone after its block: the others stay at the square roots of their sizes until "b" or "c" is used up.
+    total = sum(sizes[k] ** 0.5 for k in ("hot", "b", "c"))
+    begin, stop = max(slots["tiny"]) + 1, min(max(slots["b"]), max(slots["c"]))
+    for k in ("hot", "b", "c"):
+        assert abs(sum(begin <= s < stop for s in slots[k]) - (stop - begin) * sizes[k] ** 0.5 / total) < 1.7
+
+
 def test_shards_are_even_and_keep_equal_texts(spark, awkward, empty):
     df = spark.range(400).select("id", F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") < 150, "hot").otherwise(F.floor(F.col("id") / 3).cast("string"))).alias("text"))
     got = shard_rows(df, shards=7).toPandas()
