@@ -168,6 +168,19 @@ def test_a_used_up_source_leaves_the_mix(spark):
         assert abs(sum(begin <= s < stop for s in slots[k]) - (stop - begin) * sizes[k] ** 0.5 / total) < 1.7
 
 
+def test_mixing_does_not_drift_from_the_given_weights(spark):
+    weights = {"hot": 1 / 3} | {f"s{i}": 2 / 60 for i in range(20)} | {"rare": 0.00001}
+    rows = [(f"{k}{i}", k) for k, w in weights.items() for i in range(round(12_000 * w) + 1)]
+    df = spark.createDataFrame(rows, "doc_id string, source string")
+    got = mix_sources(df, weights=weights, block_rows=1).toPandas().sort_values("mix_slot")
+    assert list(got.mix_slot) == list(range(len(rows)))
+    got = got[got.in_mix]
+    assert len(got) > 11_000
+    for k, w in weights.items():
+        share = w / sum(weights.values()) * np.arange(1, len(got) + 1)
+        assert np.abs((got.source == k).cumsum() - share).max() < 1.7
+
+
 def test_shards_are_even_and_keep_equal_texts(spark, awkward, empty):
     df = spark.range(400).select("id", F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") < 150, "hot").otherwise(F.floor(F.col("id") / 3).cast("string"))).alias("text"))
     got = shard_rows(df, shards=7).toPandas()
