@@ -279,6 +279,15 @@ def test_passages_with_many_changed_words(spark):
     assert by[0] == 40 and by[1] >= 39 and by[2] >= 34
 
 
+def test_only_the_smallest_id_keeps_a_passage(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 70).rstrip(".")
+    rows = [(i, " ".join([prose(rng, 40), passage, prose(rng, 40)])) for i in range(30)]
+    left = {r.doc_id: r.text for r in remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[0] == rows[0][1]
+    assert all(75 <= len(left[i].split()) <= 85 for i in range(1, 30))
+
+
 def test_chains_respect_order_and_gaps():
     line = [(i, i + 100) for i in range(0, 80, 8)]
     noise = [(40, 5), (41, 900)]
