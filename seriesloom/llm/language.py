@@ -3,7 +3,7 @@
 Spark counts letter trigrams per language over all training texts. A word then has a
 likelihood under each language, the product over its trigrams, and a text is taken as
 drawn word by word from a mixture of languages. EM estimates the proportions; the set
-of languages is the one with the best likelihood after a penalty per language.
+of languages, of any size, is the one with the best likelihood after a penalty per language.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ BUCKETS = 1 << 15
 MAX_LANGUAGES = 200
 LETTERS = byte_class(b"abcdefghijklmnopqrstuvwxyz")
 _CLEAN = np.where(LETTERS, np.arange(256), 32).astype(np.uint64)
-SET_SIZE, ROUNDS, SMOOTHING, PENALTY = 3, 8, 0.5, 1.0
+ROUNDS, SMOOTHING, PENALTY = 8, 0.5, 1.0
 
 
 def _trigrams(words) -> np.ndarray:
@@ -127,17 +127,25 @@ def infer(model: LanguageModel, words) -> tuple[np.ndarray, np.ndarray]:
     full, _ = _em(p, owner, first, np.tile(model.prior, (len(texts), 1)), ROUNDS)
     order = np.argsort(-full, axis=1, kind="stable")
     best = np.full(len(texts), -np.inf)
-    for size in range(1, min(SET_SIZE, m) + 1):
-        mask = np.zeros_like(full, dtype=bool)
-        np.put_along_axis(mask, order[:, :size], True, axis=1)
-        start = full * mask
+    for size in range(1, m + 1):
+        penalty = PENALTY * (size - 1) * (np.log(counts + 1) + 2)
+        # No word's likelihood exceeds 1 here, so a text at or above this bound is settled for all larger sets.
+        open_ = -penalty > best
+        if not open_.any():
+            break
+        own, n_own = full[open_], counts[open_]
+        at = np.cumsum(n_own) - n_own
+        mask = np.zeros_like(own, dtype=bool)
+        np.put_along_axis(mask, order[open_, :size], True, axis=1)
+        start = own * mask
         start /= start.sum(axis=1, keepdims=True)
-        share, each = _em(p, owner, first, start, 0 if size == 1 else ROUNDS // 2)
-        value = np.add.reduceat(each, first) - PENALTY * (size - 1) * (np.log(counts + 1) + 2)
-        better = value > best
-        best = np.where(better, value, best)
-        rows = texts[better]
-        shares[rows], chosen[rows] = share[better], mask[better]
+        q = p if open_.all() else p[open_[owner]]
+        share, each = _em(q, np.repeat(np.arange(len(n_own)), n_own), at, start, 0 if size == 1 else ROUNDS // 2)
+        value = np.add.reduceat(each, at) - penalty[open_]
+        better = value > best[open_]
+        won = np.flatnonzero(open_)[better]
+        best[won] = value[better]
+        shares[texts[won]], chosen[texts[won]] = share[better], mask[better]
     return shares, chosen
 
 

@@ -210,6 +210,20 @@ def test_languages(spark, awkward, empty):
     assert {r.lang_pred for r in detect_languages(ask, empty).collect()} == {"und"}
 
 
+def test_a_text_of_four_languages(spark):
+    rng = random.Random(9)
+    letters = {"q": "abcdef", "r": "ghijkl", "s": "mnopqr", "t": "stuvwx"}
+
+    def words(k, n):
+        return " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(n))
+
+    train = spark.createDataFrame([(i, words(k, 60), k) for i, k in enumerate("qrst" * 10)], "doc_id long, text string, lang string")
+    ask = spark.createDataFrame([(1, " ".join(words(k, n) for k, n in zip("qrst", (40, 30, 20, 10)))), (2, words("q", 50))], "doc_id long, text string")
+    got = {r.doc_id: r for r in detect_languages(ask, train).collect()}
+    assert got[1].langs == ["q", "r", "s", "t"] and np.allclose(got[1].shares, [0.4, 0.3, 0.2, 0.1], atol=0.03)
+    assert got[2].langs == ["q"]
+
+
 def test_quality_rules_count_as_plain_loops_do(spark, awkward, empty):
     rng = random.Random(6)
     line = prose(rng, 8)
