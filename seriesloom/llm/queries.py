@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination, find_benchmark_spans
 from .html import extract_main_text
 from .language import detect_languages
+from .merkle import fold, manifest_with_audit, path_digest
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .oracles import TOPK, VARIANTS, merkle_sql
 from .pairwise_quality import score_quality
 from .passages import shared_passages
 from .quality_rules import weak_quality
 from .sharding import shard_rows
 from .tool_calls import format_chat
+from .topk import nearest
+from .variants import spelling_variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +119,26 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    audit = manifest_with_audit(documents, F.when(altered, lowered))
+    folded = audit.select(
+        "doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"),
+        fold(F.col("audited"), F.col("path")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_decontaminate": op2_decontaminate,
@@ -126,12 +150,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pairwise_quality": op9_pairwise_quality,
     "op10_passages": op10_passages,
+    "op11_merkle": op11_merkle,
+    "op12_topk": op12_topk,
+    "op13_variants": op13_variants,
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op11_merkle": merkle_sql(),
+    "op12_topk": TOPK,
+    "op13_variants": VARIANTS,
     "op2_decontaminate": rf"""
 WITH b AS (
     SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark WHERE text IS NOT NULL
