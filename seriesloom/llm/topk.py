@@ -61,7 +61,7 @@ class Block:
     """A block of queries and how far their thresholds are known.
 
     ``groups`` has the places and vectors of the queries of each length. The k-th score
-    lies in the bracket of ``BINS * width`` from ``low`` on, and is the ``need``-th highest
+    lies in the bracket of ``bins * width`` from ``low`` on, and is the ``need``-th highest
     in it. Once ``low`` is that score, ``ties`` says which queries have more rows with it
     than ``need``, and ``oldest`` is the last id that they take.
     """
@@ -70,6 +70,8 @@ class Block:
     groups: dict[int, tuple[np.ndarray, np.ndarray]]
     k: int
     bound: int
+    bins: int = BINS
+    cells: int = CELLS
     low: np.ndarray = field(default=None)
     need: np.ndarray = field(default=None)
     ties: np.ndarray = field(default=None)
@@ -89,7 +91,7 @@ class Block:
                 continue
             places, queries = self.groups[vectors.shape[1]]
             queries = queries.astype(self.kind)
-            step = max(1, CELLS // len(places))
+            step = max(1, self.cells // len(places))
             for begin in range(0, len(ids), step):
                 some = ids[begin : begin + step]
                 found = queries @ vectors[begin : begin + step].astype(self.kind).T
@@ -111,19 +113,20 @@ def _histograms(batches, block: Block, keys: Callable, low: np.ndarray, need: np
         for places, key in keys(batch):
             inside = key >= low[places]
             places, key = places[inside], (key[inside] - low[places[inside]]) // np.uint64(width)
-            inside = key < BINS
-            code, count = np.unique(places[inside] * BINS + key[inside].astype(np.int64), return_counts=True)
+            inside = key < block.bins
+            code, count = np.unique(places[inside] * block.bins + key[inside].astype(np.int64), return_counts=True)
             codes.append(code)
             counts.append(count)
             held += len(code)
-            if held > CELLS:
+            if held > block.cells:
                 code, count = _counted(codes, counts)
                 codes, counts, held = [code], [count], 0
     code, count = _counted(codes, counts)
     for begin in range(0, len(code), 1 << 16):
         some = code[begin : begin + (1 << 16)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some // BINS), pa.array(need[some // BINS]), pa.array(some % BINS), pa.array(count[begin : begin + (1 << 16)])],
+            [pa.array(some // block.bins), pa.array(need[some // block.bins]), pa.array(some % block.bins),
+             pa.array(count[begin : begin + (1 << 16)])],
             ["place", "need", "bin", "rows"],
         )
 
@@ -134,8 +137,8 @@ def _select(vectors: DataFrame, block: Block, keys: Callable, need: np.ndarray,
     context = vectors.sparkSession.sparkContext
     low, rows = np.zeros(len(need), np.uint64), np.zeros(len(need), np.int64)
     width = 1
-    while width * BINS <= top:
-        width *= BINS
+    while width * block.bins <= top:
+        width *= block.bins
     while True:
         state = context.broadcast((block, low, need, width))
 
@@ -145,7 +148,7 @@ def _select(vectors: DataFrame, block: Block, keys: Callable, need: np.ndarray,
 
         counted = vectors.mapInArrow(count, "place long, need long, bin long, rows long")
         summed = counted.groupBy("place", "need", "bin").agg(F.sum("rows").alias("rows"))
-        # At most BINS rows a query.
+        # At most ``bins`` rows a query.
         down = Window.partitionBy("place").orderBy(F.desc("bin"))
         running = summed.withColumn("upto", F.sum("rows").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         reached = F.struct(F.col("upto") >= F.col("need"), F.when(F.col("upto") >= F.col("need"), F.col("bin")).otherwise(-F.col("bin")))
@@ -159,7 +162,7 @@ def _select(vectors: DataFrame, block: Block, keys: Callable, need: np.ndarray,
         need[at] -= (found["upto"] - found["rows"]).to_numpy()
         if width == 1:
             return low, need, rows
-        width //= BINS
+        width //= block.bins
 
 
 def _score_keys(block: Block, batch: pa.RecordBatch):
@@ -212,7 +215,7 @@ def _extent(batches):
     yield pa.RecordBatch.from_pydict({"norm": [norm], "least": [least], "last": [last], "size": [size]})
 
 
-def _block_of(rows: list, k: int, bound: int) -> Block:
+def _block_of(rows: list, **state) -> Block:
     """Queries as collected, in order of their places."""
     ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
     sizes = np.array([len(r["vector"]) // 8 for r in rows])
@@ -221,7 +224,7 @@ def _block_of(rows: list, k: int, bound: int) -> Block:
         places = np.flatnonzero(sizes == size)
         flat = b"".join(bytes(rows[p]["vector"]) for p in places)
         groups[int(size)] = (places, np.frombuffer(flat, dtype=np.float64).reshape(len(places), size))
-    return Block(ids, groups, k, bound)
+    return Block(ids, groups, **state)
 
 
 def _queries(batches):
@@ -239,6 +242,8 @@ def nearest(
     id_column: str = "vec_id",
     vector: str = "embedding",
     block_queries: int = BLOCK_QUERIES,
+    bins: int = BINS,
+    cells: int = CELLS,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` rows of highest inner product, of every query.
 
@@ -271,7 +276,7 @@ def nearest(
     parts = []
     for begin in range(0, total, step):
         held = queries.where((F.col("at") >= begin) & (F.col("at") < begin + step)).orderBy("at").collect()
-        block = _block_of(held, k, bound)
+        block = _block_of(held, k=k, bound=bound, bins=bins, cells=cells)
         wanted = np.full(len(block.ids), k, dtype=np.int64)
         key, block.need, found = _select(rows, block, _score_keys, wanted, 2 * bound)
         block.low = key.astype(np.int64) - bound
