@@ -99,3 +99,38 @@ def forward_fill(
     return joined.withColumns(
         {c: F.coalesce(F.col(c), F.col(f"__carry_{i}")) for i, c in enumerate(columns)}
     ).drop("__chunk", *[f"__carry_{i}" for i in range(len(columns))])
+
+
+def running_sums(
+    df: DataFrame,
+    columns: Sequence[str],
+    *,
+    series: Sequence[str] = ("series_id",),
+    pos: str = "pos",
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Replace each column by its sum over the series up to the row (NULL counts as zero).
+
+    Sums run inside chunks; the sums of all earlier chunks come from a table with a row
+    per chunk.
+    """
+    keys, number = list(series), range(len(columns))
+    cut = df.withColumn("__chunk", floor_div(F.col(pos), chunk_rows))
+    values = [F.coalesce(F.col(c), F.lit(0.0)) for c in columns]
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        cut.groupBy(*keys, "__chunk")
+        .agg(*[F.sum(v).alias(f"__total_{i}") for i, v in enumerate(values)])
+        .select(
+            *keys, "__chunk",
+            *[F.coalesce(F.sum(f"__total_{i}").over(before), F.lit(0.0)).alias(f"__offset_{i}") for i in number],
+        )
+    )
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(pos)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.withColumns({c: F.sum(v).over(upto) for c, v in zip(columns, values, strict=True)})
+    return (
+        local.join(offsets, [*keys, "__chunk"])
+        .withColumns({c: F.col(c) + F.col(f"__offset_{i}") for i, c in enumerate(columns)})
+        .drop("__chunk", *[f"__offset_{i}" for i in number])
+    )

@@ -1,9 +1,11 @@
 """Diebold–Mariano tests of all model pairs with Newey–West variances.
 
-The losses of a timestamp stay together in one wide row, so no pair is ever
-shuffled: lagged losses come from one chunked window over arrays, the long-run
-variance terms of all pairs are formed inside the row, and only their sums leave
-the map side.
+The losses of a timestamp stay together in one wide row, so no pair is ever shuffled.
+With Bartlett weights the long-run variance is the mean square of all sums of
+``lags + 1`` neighbours, rows outside the series counting as zero. Such a sum is the
+difference of two running sums, and the one of a pair of models is the difference of the
+models' own. So a row needs one other row however many lags there are, and only the sums
+of squares of the pairs leave the map side.
 """
 
 from __future__ import annotations
@@ -11,18 +13,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import (
     newey_west_lags,
-    newey_west_lags_of,
     normal_two_sided,
     significance_stars,
     student_two_sided,
 )
 from ..functions.time import HOUR
-from .chunks import CHUNK_ROWS, over_chunks
+from ..session import materialise
+from .chunks import CHUNK_ROWS, running_sums
 from .positions import with_positions
 
 LOSSES = ("MAE", "MSE")
@@ -51,17 +53,18 @@ def wide_predictions(
     return predictions.groupBy(*series, ts).agg(F.max("y").alias("y"), *picked)
 
 
-def longest_series(df: DataFrame, series: Sequence[str] = ("series_id",)) -> int:
-    """Rows of the longest series; one number to the driver."""
-    counts = df.groupBy(*series).agg(F.count(F.lit(1)).alias("c"))
-    return counts.agg(F.max("c")).first()[0] or 0
-
-
 def _loss(y: str, model: str, loss: str):
     e = F.col(y) - F.col(model)
     return F.abs(e) if loss == "MAE" else e * e
 
 
+def _lags(n: Column, h: int, lags: int | None, auto_lags: bool) -> Column:
+    """Lags of the long-run variance: given, by the rule on the sample size, or h - 1."""
+    if lags is not None:
+        return F.lit(max(0, lags))
+    return newey_west_lags(n) if auto_lags else F.lit(max(0, h - 1))
+
+
 def diebold_mariano(
     wide: DataFrame,
     models: Sequence[str],
@@ -71,61 +74,59 @@ def diebold_mariano(
     ts: str = "ts",
     step_seconds: int = HOUR,
     h: int = 1,
-    max_lags: int | None = None,
+    lags: int | None = None,
+    auto_lags: bool = True,
+    corrected: bool = True,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """A row per series, pair (in the order of ``models``) and loss.
 
-    Rows without a target are left out; a NULL forecast, fewer than two models or
-    a variance that is not positive gives a NULL row with ``better = 'NA'``.
-    ``max_lags`` saves the one small job that finds the longest series.
+    The variance covers floor(4 (n/100)^(2/9)) lags, ``lags`` if given, or h - 1 without
+    ``auto_lags``. ``corrected`` applies the small-sample factor; without it the statistic
+    is the raw one and has no Student p-value. Rows without a target are left out; a NULL
+    forecast or a variance that is not positive gives a NULL row with ``better = 'NA'``.
+    Series of fewer than five rows have no tests; fewer than two models are an error.
     """
-    scored = wide.where(F.col(y).isNotNull())
-    if max_lags is None:
-        max_lags = newey_west_lags_of(longest_series(scored, series))
-    max_lags = max(1, max_lags)
+    if len(models) < 2:
+        raise ValueError("pairwise tests need two models")
+    keys = list(series)
     cells = [(m, loss) for loss in LOSSES for m in models]
     place = {cell: i for i, cell in enumerate(cells)}
     sums = {f"__s{i}": _loss(y, m, loss) for i, (m, loss) in enumerate(cells)}
     sums |= {f"__k{j}": F.col(m).isNotNull().cast("long") for j, m in enumerate(models)}
     rows = with_positions(
-        scored.select(*series, ts, y, *models),
-        series=series, ts=ts, step_seconds=step_seconds, bucket_rows=chunk_rows, sums=sums,
-    )
-    means = {cell: F.col(f"__s{i}") / F.col("n") for cell, i in place.items()}
-    centred = F.array(*[_loss(y, m, loss) - means[m, loss] for m, loss in cells])
-    rows = rows.withColumn("__dev", centred).withColumn("__lags", newey_west_lags("n"))
-
-    def gather(w):
-        return {"__past": F.collect_list("__dev").over(w.rowsBetween(-max_lags, -1))}
-
-    rows = over_chunks(rows, gather, series=series, before=max_lags, chunk_rows=chunk_rows)
-    # Bartlett-weighted sum of the earlier deviations, elementwise over the cells.
-    size = F.size("__past")
-    weighted = F.aggregate(
-        F.sequence(F.lit(0), F.lit(max_lags)),
-        F.transform("__dev", lambda x: F.lit(0.0)),
-        lambda acc, k: F.when((k < 1) | (k > F.least(F.col("__lags"), size)), acc).otherwise(
-            F.zip_with(
-                acc,
-                F.element_at("__past", F.when(k < 1, F.lit(-1)).otherwise(-k)),
-                lambda a, b: a + (1 - k / (F.col("__lags") + 1)) * b,
-            )
-        ),
-    )
-    rows = rows.withColumn("__lagged", weighted)
+        wide.where(F.col(y).isNotNull()).select(*keys, ts, y, *models),
+        series=keys, ts=ts, step_seconds=step_seconds, bucket_rows=chunk_rows, sums=sums,
+    ).where(F.col("n") >= MIN_ROWS)
+    deviations = [f"__d{i}" for i in range(len(cells))]
+    rows = rows.select(
+        *keys, "pos", "n", _lags(F.col("n"), h, lags, auto_lags).alias("__lags"),
+        F.when(F.col("pos") == 0, F.struct(*sums)).alias("__of_series"),
+        *[(_loss(y, m, loss) - F.col(f"__s{i}") / F.col("n")).alias(f"__d{i}") for i, (m, loss) in enumerate(cells)],
+    )
+    rows = running_sums(rows, deviations, series=keys, chunk_rows=chunk_rows)
+    sizes = F.array(*deviations).alias("__sum")
+    rows = materialise(rows.select(*keys, "pos", "n", "__lags", "__of_series", sizes))  # joined with itself
+    reach = F.col("__lags") + 1
+    past = rows.select(*keys, (F.col("pos") + reach).alias("pos"), F.col("__sum").alias("__past"))
+    joined = rows.join(past, [*keys, "pos"], "left")
+    # The sums that run out of the series at its end; the last running sum is zero.
+    runs_out = (F.col("pos") >= F.col("n") - reach) & (F.col("pos") < F.col("n") - 1)
     pairs = [(a, b, loss) for a, b in combinations(models, 2) for loss in LOSSES]
 
     def term(a, b, loss):
         i, j = place[a, loss], place[b, loss]
-        d = F.col("__dev")[i] - F.col("__dev")[j]
-        return d * (d + 2 * (F.col("__lagged")[i] - F.col("__lagged")[j]))
-
-    keep = ["n", "__lags", *[f"__s{i}" for i in range(len(cells))], *[f"__k{j}" for j in range(len(models))]]
-    totals = rows.groupBy(*series).agg(
-        *[F.any_value(c).alias(c) for c in keep],
+        now = F.col("__sum")[i] - F.col("__sum")[j]
+        gap = now - F.coalesce(F.col("__past")[i] - F.col("__past")[j], F.lit(0.0))
+        return gap * gap + F.when(runs_out, now * now).otherwise(0.0)
+
+    totals = joined.groupBy(*keys).agg(
+        F.any_value("n").alias("n"),
+        F.any_value("__lags").alias("__lags"),
+        F.any_value("__of_series", True).alias("__of_series"),
         *[F.sum(term(*p)).alias(f"__t{i}") for i, p in enumerate(pairs)],
     )
+    totals = totals.select(*keys, "n", "__lags", "__of_series.*", *[f"__t{i}" for i in range(len(pairs))])
     entries = [
         F.struct(
             F.lit(f"{a} vs {b}").alias("pair"),
@@ -133,7 +134,7 @@ def diebold_mariano(
             F.lit(a).alias("a"),
             F.lit(b).alias("b"),
             ((F.col(f"__s{place[a, loss]}") - F.col(f"__s{place[b, loss]}")) / F.col("n")).alias("mean"),
-            (F.col(f"__t{i}") / F.col("n") / F.col("n")).alias("var"),
+            (F.col(f"__t{i}") / reach / F.col("n") / F.col("n")).alias("var"),
             (
                 (F.col(f"__k{models.index(a)}") == F.col("n"))
                 & (F.col(f"__k{models.index(b)}") == F.col("n"))
@@ -141,12 +142,10 @@ def diebold_mariano(
         )
         for i, (a, b, loss) in enumerate(pairs)
     ]
-    flat = totals.where(F.col("n") >= MIN_ROWS).select(
-        *series, "n", "__lags", F.explode(F.array(*entries)).alias("p")
-    )
+    flat = totals.select(*keys, "n", "__lags", F.explode(F.array(*entries)).alias("p"))
     n, usable = F.col("n"), F.col("p.full") & (F.col("p.var") > 0)
     raw = F.col("p.mean") / F.sqrt("p.var")
-    kappa = F.sqrt((n + 1 - 2 * h + F.lit(h * (h - 1)) / n) / n)
+    kappa = F.sqrt((n + 1 - 2 * h + F.lit(h * (h - 1)) / n) / n) if corrected else F.lit(1.0)
     out = flat.select(
         *series,
         F.col("p.pair").alias("pair"),
@@ -162,9 +161,8 @@ def diebold_mariano(
         .otherwise(F.col("p.b"))
         .alias("better"),
     )
-    return out.withColumns(
-        {"p_norm": normal_two_sided("dm"), "p_t": student_two_sided("dm", F.col("n") - 1)}
-    )
+    student = student_two_sided("dm", F.col("n") - 1) if corrected else F.lit(None).cast("double")
+    return out.withColumns({"p_norm": normal_two_sided("dm"), "p_t": student})
 
 
 def dm_summary(tests: DataFrame, *, series: Sequence[str] = ("series_id",)) -> DataFrame:

@@ -62,6 +62,34 @@ def test_diebold_mariano_matches_brute_force(spark, forecasts, chunk_rows):
         assert r.p_norm == pytest.approx(math.erfc(abs(dm) / math.sqrt(2)))
 
 
+def plain_variance(d, lags):
+    c, n = d - d.mean(), len(d)
+    return c @ c / n + sum(2 * (1 - k / (lags + 1)) * (c[k:] @ c[:-k]) / n for k in range(1, min(lags, n - 1) + 1))
+
+
+@pytest.mark.parametrize(
+    ("options", "lags", "h"),
+    [
+        ({"lags": 0}, 0, 1), ({"lags": 9}, 9, 1), ({"lags": 400}, 400, 1), ({"auto_lags": False, "h": 4}, 3, 4),
+        ({"auto_lags": False}, 0, 1), ({"lags": 2, "h": 3, "auto_lags": False}, 2, 3), ({"lags": 5, "corrected": False}, 5, 1),
+    ],
+)
+def test_diebold_mariano_options(spark, forecasts, options, lags, h):
+    df = spark.createDataFrame(forecasts).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    found = diebold_mariano(df, ["A", "B"], chunk_rows=50, **options)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    n = len(forecasts)
+    for r in found.collect():
+        f = np.abs if r.loss == "MAE" else np.square
+        d = f((forecasts.y - forecasts.A).to_numpy()) - f((forecasts.y - forecasts.B).to_numpy())
+        raw = d.mean() / math.sqrt(plain_variance(d, lags) / n)
+        factor = math.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n) if options.get("corrected", True) else 1.0
+        assert (r.dm_raw, r.dm) == pytest.approx((raw, raw * factor)) and (r.nw_lags, r.h) == (lags, h)
+        assert (r.p_t is None) == (not options.get("corrected", True)) and r.p_norm is not None
+    with pytest.raises(ValueError):
+        diebold_mariano(df, ["A"])
+
+
 def test_too_short_series_have_no_tests(spark, forecasts):
     df = spark.createDataFrame(forecasts.head(4)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert diebold_mariano(df, ["A", "B"]).count() == 0
@@ -137,7 +165,7 @@ def brute_kpss(y):
     return lags, (np.cumsum(e) ** 2).sum() / n**2 / (s / n)
 
 
-def brute_adf(y):
+def brute_adf(y, fixed=None):
     n, d = len(y), np.diff(y)
     top = math.ceil(12 * (n / 100) ** 0.25)
 
@@ -149,7 +177,7 @@ def brute_adf(y):
         spread = math.sqrt(ssr / (t.size - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
         return t.size * math.log(ssr / t.size) + 2 * x.shape[1], b[1] / spread
 
-    lag = min(range(top + 1), key=lambda k: fit(k, top + 1)[0])
+    lag = fixed if fixed is not None else min(range(top + 1), key=lambda k: fit(k, top + 1)[0])
     return lag, fit(lag, lag + 1)[1]
 
 
@@ -174,6 +202,17 @@ def test_stationarity_matches_brute_force(spark, chunk_rows):
     assert a["s1"].kpss_p < a["s0"].kpss_p and b["s1"].adf_p > b["s0"].adf_p
 
 
+@pytest.mark.parametrize("lags", [0, 1, 7])
+@pytest.mark.parametrize("chunk_rows", [60, 4096])
+def test_dickey_fuller_with_a_given_lag(spark, lags, chunk_rows):
+    pdf = panel(series=2, hours=300, gap=0)
+    pdf["price"] = pdf.price.cumsum() + 1e6
+    for r in adf(spark_panel(spark, pdf), "price", lags=lags, chunk_rows=chunk_rows).collect():
+        y = pdf[pdf.series_id == r.series_id].price.to_numpy()
+        assert (r.used_lag, r.adf) == (lags, pytest.approx(brute_adf(y, lags)[1], rel=1e-6))
+        assert r.nobs == len(y) - 1 - lags
+
+
 def test_stationarity_of_a_constant_series_is_null(spark):
     pdf = panel(series=1, hours=150, gap=0).assign(price=3.0)
     df = spark_panel(spark, pdf)
