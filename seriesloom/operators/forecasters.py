@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import inverse_signed_log1p, numeric_columns, signed_log1p
 from ..functions.time import floor_div
-from ..session import ensure_checkpoints
+from ..session import ensure_checkpoints, materialise
+from .boosting import Booster, boost
 from .chunks import CHUNK_ROWS
 from .folds import holdout, lookback_windows
 from .positions import attach_balanced
@@ -40,8 +41,8 @@ def exogenous_columns(df: DataFrame, target: str, blacklist: Sequence[str] = ())
 
 
 class Fitted(Protocol):
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with a column ``yhat``."""
+    def predict(self, rows: DataFrame, series: Sequence[str] = ("series_id",)) -> DataFrame:
+        """``rows`` with a column ``yhat``; ``series`` are the columns that tell rows of one past apart."""
 
 
 class Forecaster(Protocol):
@@ -56,10 +57,13 @@ class Forecaster(Protocol):
 class FittedTrees:
     model: object
     features: tuple[str, ...]
+    base: float | None = None  # of models that predict the part above it in ``__above``
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        ready = _assembled(rows, self.features, "keep")
-        return self.model.transform(ready).drop("__x")
+    def predict(self, rows: DataFrame, series: Sequence[str] = ("series_id",)) -> DataFrame:
+        scored = self.model.transform(_assembled(rows, self.features, "keep")).drop("__x")
+        if self.base is None:
+            return scored
+        return scored.withColumn("yhat", F.lit(self.base) + F.col("__above")).drop("__above")
 
 
 def _assembled(rows: DataFrame, features: Sequence[str], invalid: str = "skip") -> DataFrame:
@@ -81,13 +85,53 @@ def _series_shares(train: DataFrame) -> DataFrame:
     return attach_balanced(train.drop("n"), sizes, keys=["series_id"], bucket=bucket)
 
 
+@dataclass(frozen=True)
+class FittedPlane:
+    weights: dict[str, float]
+    base: float
+
+    def predict(self, rows: DataFrame, series: Sequence[str] = ("series_id",)) -> DataFrame:
+        parts = [F.lit(w) * F.col(c).cast("double") for c, w in self.weights.items()]
+        return rows.withColumn("yhat", sum(parts, F.lit(self.base)))
+
+
+@dataclass(frozen=True)
+class LeastSquares:
+    """Linear regression on the features of the same row, from one row of covariances."""
+
+    context: int = 0
+
+    def fit(self, train: DataFrame, target: str, features: Sequence[str]) -> FittedPlane:
+        names = [*features, target]
+        rows = train.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)]).dropna("any")
+        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+        found = rows.agg(
+            *[F.avg(c).alias(c) for c in rows.columns],
+            *[F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs],
+        ).first()
+        if found["v0"] is None:
+            raise ValueError("no training rows")
+        spread = np.zeros((len(names), len(names)))
+        for i, j in pairs:
+            spread[i, j] = spread[j, i] = found[f"c{i}_{j}"]
+        weights, *_ = np.linalg.lstsq(spread[:-1, :-1], spread[:-1, -1], rcond=1e-12)
+        base = found[f"v{len(names) - 1}"] - sum(w * found[f"v{i}"] for i, w in enumerate(weights))
+        return FittedPlane(dict(zip(features, map(float, weights), strict=True)), float(base))
+
+
+def _tree_of(**params) -> dict:
+    """Settings of a boosting round's tree."""
+    return {k: v for k, v in params.items() if k != "stepSize"}
+
+
 @dataclass(frozen=True)
 class GradientBoosting:
     """Boosted trees; the number of rounds minimises the error on the last rows.
 
     A first fit leaves out the last ``validation`` of each series, the mean
     absolute error after every round picks the number of trees, and a second fit
-    uses all rows.
+    uses all rows. The first fit trains ``max_rounds``, or until the error has not
+    fallen for ``patience`` rounds.
     """
 
     max_rounds: int = 1500
@@ -96,31 +140,37 @@ class GradientBoosting:
     depth: int = 4
     subsample: float = 0.8
     min_leaf: int = 15
+    patience: int | None = None
     seed: int = 42
     context: int = 0
 
-    def _estimator(self, target: str, rounds: int) -> GBTRegressor:
-        return _boosted(
-            target, rounds, self.seed, stepSize=self.learning_rate, maxDepth=self.depth,
-            subsamplingRate=self.subsample, minInstancesPerNode=self.min_leaf,
-        )
+    def _booster(self, rows: DataFrame) -> Booster:
+        return Booster(
+            rows, rate=self.learning_rate, seed=self.seed, maxDepth=self.depth,
+            subsamplingRate=self.subsample, minInstancesPerNode=self.min_leaf, featureSubsetStrategy="all",
+        )
 
     def fit(self, train: DataFrame, target: str, features: Sequence[str]) -> FittedTrees:
         ensure_checkpoints(train.sparkSession)
         rows = holdout(_series_shares(train), self.validation)
-        ready = _assembled(rows, features).select("__x", F.col(target).cast("double"), "role")
-        first = self._estimator(target, self.max_rounds).fit(ready.where("role = 'train'"))
-        errors = first.evaluateEachIteration(ready.where("role = 'valid'"), "absolute")
-        best = int(np.argmin(errors)) + 1
-        return FittedTrees(self._estimator(target, best).fit(ready), tuple(features))
+        ready = materialise(
+            _assembled(rows, features).select(
+                "__x", F.col(target).cast("double").alias("__y"), (F.col("role") == "valid").alias("__valid")
+            )
+        )
+        best = boost([self._booster(ready)], self.max_rounds, self.patience)
+        last = self._booster(ready.drop("__valid"))
+        boost([last], best, None)
+        return FittedTrees(last.model(best), tuple(features), last.base)
 
 
 @dataclass(frozen=True)
 class CrossValidatedBoosting:
     """Boosted trees; the number of rounds comes from cross-validation with patience.
 
-    The folds are ordered in time, so a fold never validates on rows older than
-    its training rows.
+    The folds are ordered in time, so a fold never validates on rows older than its
+    training rows. They advance together, a round at a time, and stop when their mean
+    error has not fallen for ``patience`` rounds.
     """
 
     max_rounds: int = 5000
@@ -137,35 +187,27 @@ class CrossValidatedBoosting:
         }
     )
     seed: int = 42
-    parallel: int = 3
     context: int = 0
 
-    def _curve(self, ready: DataFrame, target: str, fold: int) -> list[float]:
-        """Validation error after each round of the fold that trains on parts 0..fold."""
-        train, valid = ready.where(F.col("part") <= fold), ready.where(F.col("part") == fold + 1)
-        model = _boosted(target, self.max_rounds, self.seed, **self.search).fit(train)
-        return model.evaluateEachIteration(valid, "absolute")
-
-    def best_rounds(self, curves: Sequence[Sequence[float]]) -> int:
-        mean = np.mean([c[: min(map(len, curves))] for c in curves], axis=0)
-        best = 0
-        for i, value in enumerate(mean):
-            if value < mean[best]:
-                best = i
-            elif i - best >= self.patience:
-                break
-        return best + 1
+    def _booster(self, rows: DataFrame, params: dict) -> Booster:
+        return Booster(rows, rate=params["stepSize"], seed=self.seed, **_tree_of(**params))
 
     def fit(self, train: DataFrame, target: str, features: Sequence[str]) -> FittedTrees:
         part = F.floor(F.col("pos") * (self.folds + 1) / F.col("n")).cast("int")
         ensure_checkpoints(train.sparkSession)
         rows = _series_shares(train).withColumn("part", part)
-        ready = _assembled(rows, features).select("__x", F.col(target).cast("double"), "part")
-        with ThreadPoolExecutor(self.parallel) as pool:
-            curves = list(pool.map(lambda f: self._curve(ready, target, f), range(self.folds)))
-        rounds = self.best_rounds(curves)
-        model = _boosted(target, rounds, self.seed, **self.final).fit(ready)
-        return FittedTrees(model, tuple(features))
+        ready = materialise(_assembled(rows, features).select("__x", F.col(target).cast("double").alias("__y"), "part"))
+        # Fold i trains on parts 0..i and validates on the next.
+        folds = [
+            self._booster(
+                ready.where(F.col("part") <= i + 1).withColumn("__valid", F.col("part") == i + 1), self.search
+            )
+            for i in range(self.folds)
+        ]
+        rounds = boost(folds, self.max_rounds, self.patience)
+        last = self._booster(ready, self.final)
+        boost([last], rounds, None)
+        return FittedTrees(last.model(rounds), tuple(features), last.base)
 
 
 # Search grids of the two boosting models.

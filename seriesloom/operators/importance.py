@@ -7,59 +7,49 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.permute import round_keys, shuffled_place
 from ..session import materialise
 from .forecasters import Fitted, Forecaster
-from .positions import rank_in_buckets
 
 # Window, repeats and list length of an importance report.
 WINDOW_ROWS = 168
 MIN_WINDOW = 24
 REPEATS = 10
 TOP = 20
-HASH_BUCKETS = 4096
 
 
-def _shuffled_values(
-    valid: DataFrame, features: Sequence[str], repeats: int, seed: int, whole: bool
+def with_donors(
+    valid: DataFrame, features: Sequence[str], repeats: int, seed: int = 42, size: str = "size"
 ) -> DataFrame:
-    """Per row an array of (feature, repeat, shuffled value).
+    """The rows with ``__donors``: for each repeat the features of the row that a permutation sends here.
 
-    The value for a row comes from the row whose place in the hash order equals
-    this row's place in time. Only narrow rows are shuffled; the wide rows meet
-    the result by their own unique position.
+    ``valid`` has a ``place`` (0-based, without gaps) in a series and its ``size``. All
+    features of a repeat follow one permutation, a keyed bijection of places, so nothing
+    is sorted and a row is sent once per repeat however many features there are.
     """
-    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
-    long = valid.select("series_id", "place", F.explode(entries).alias("e")).select(
-        "series_id", "place", "e.feature", "e.value"
-    )
-    trials = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
-    marked = long.withColumn("repeat", trials)
-    marked = marked.withColumn("__h", F.xxhash64(F.lit(seed), "feature", "repeat", "series_id", "place"))
-    keys = ["series_id", "feature", "repeat"]
-    if whole:
-        # Unbounded groups: rank inside hash ranges, which are even by nature.
-        width = 2**64 // HASH_BUCKETS
-        span = F.floor(F.col("__h").cast("decimal(20,0)") / F.lit(width)).cast("long")
-        ranked = rank_in_buckets(
-            marked, keys=keys, bucket=span, order=["__h", "place"], position="__to", size="__size"
-        )
-    else:
-        order = Window.partitionBy(*keys).orderBy("__h", "place")
-        ranked = marked.withColumn("__to", (F.row_number().over(order) - 1).cast("long"))
-    moved = ranked.select("series_id", F.col("__to").alias("place"), "feature", "repeat", "value")
-    return moved.groupBy("series_id", "place").agg(
-        F.collect_list(F.struct("feature", "repeat", "value")).alias("__trials")
+    trials = [
+        F.struct(F.lit(r).alias("repeat"), shuffled_place(F.col("place"), F.col(size), round_keys(seed, r)).alias("to"))
+        for r in range(1, repeats + 1)
+    ]
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    sent = valid.select("series_id", F.explode(F.array(*trials)).alias("t"), values.alias("values")).select(
+        "series_id", F.col("t.to").alias("place"), F.struct("t.repeat", "values").alias("donor")
     )
+    # A place gets one donor per repeat.
+    donors = sent.groupBy("series_id", "place").agg(F.collect_list("donor").alias("__donors"))
+    return valid.join(donors, ["series_id", "place"])
 
 
-def _with_trial(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+def _trials(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Every row once per repeat and feature, with that feature's value from the donor."""
+    names = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("i")) for i, f in enumerate(features)])
+    one = rows.withColumn("__d", F.explode("__donors")).withColumn("__f", F.explode(names))
+    value = F.col("__d.values")[F.col("__f.i")]
     swapped = {
-        f: F.when(F.col("__t.feature") == f, F.col("__t.value")).otherwise(F.col(f).cast("double"))
-        for f in features
+        f: F.when(F.col("__f.i") == i, value).otherwise(F.col(f).cast("double")) for i, f in enumerate(features)
     }
-    return rows.withColumns(swapped).withColumns(
-        {"feature": F.col("__t.feature"), "repeat": F.col("__t.repeat")}
-    ).drop("__t")
+    named = {"feature": F.col("__f.feature"), "repeat": F.col("__d.repeat")}
+    return one.withColumns(swapped | named).drop("__d", "__f", "__donors")
 
 
 def _error_growth(scored: DataFrame, base: DataFrame, target: str, by: Sequence[str]) -> DataFrame:
@@ -94,16 +84,15 @@ def permutation_importance(
     rows = materialise(positioned)
     if window is None:
         train = rows
-        valid = rows.withColumn("place", F.col("pos"))
+        valid = rows.withColumns({"place": F.col("pos"), "size": F.col("n")})
     else:
         size = F.least(F.lit(max(window, MIN_WINDOW)), F.greatest(F.lit(MIN_WINDOW), F.col("n") - 1))
         first = F.greatest(F.col("n") - size, F.lit(0))
         train = rows.where(F.col("pos") < first)
-        valid = rows.where(F.col("pos") >= first).withColumn("place", F.col("pos") - first)
+        valid = rows.where(F.col("pos") >= first)
+        valid = valid.withColumns({"place": F.col("pos") - first, "size": F.col("n") - first})
     fitted = model.fit(train, target, features)
-    return shuffle_and_score(
-        fitted, valid, target, features, repeats=repeats, seed=seed, by=by, whole=window is None
-    )
+    return shuffle_and_score(fitted, valid, target, features, repeats=repeats, seed=seed, by=by)
 
 
 def shuffle_and_score(
@@ -115,12 +104,13 @@ def shuffle_and_score(
     repeats: int,
     seed: int = 42,
     by: Sequence[str] = (),
-    whole: bool = False,
 ) -> DataFrame:
-    """Importance of a fitted row-wise model on rows with a ``place`` (0-based per series)."""
-    trials = _shuffled_values(valid, features, repeats, seed, whole)
-    joined = valid.join(trials, ["series_id", "place"]).withColumn("__t", F.explode("__trials"))
-    scored = fitted.predict(_with_trial(joined.drop("__trials"), features))
+    """Importance of a fitted model on rows with a ``place`` (0-based per series) and ``size``.
+
+    The rows of a trial form a series of their own for models that read a row's past.
+    """
+    trials = _trials(with_donors(valid, features, repeats, seed), features)
+    scored = fitted.predict(trials, series=["series_id", "feature", "repeat"])
     return _error_growth(scored, fitted.predict(valid), target, by)
 
 
@@ -144,14 +134,13 @@ def window_importance(
     start = F.col("n") - window
     rows = positioned.where((F.col("n") > window) & (F.col("pos") >= start - context))
     rows = materialise(rows)
-    valid = rows.where(F.col("pos") >= start).withColumn("place", F.col("pos") - start)
-    trials = _shuffled_values(valid, features, repeats, seed, whole=False)
-    tested = valid.join(trials, ["series_id", "place"]).withColumn("__t", F.explode("__trials"))
+    valid = rows.where(F.col("pos") >= start).withColumns({"place": F.col("pos") - start, "size": F.lit(window)})
+    tested = _trials(with_donors(valid, features, repeats, seed), features)
     names = F.array(*[F.lit(f) for f in features])
     idle = rows.where(F.col("pos") < start).withColumn("feature", F.explode(names)).withColumn(
         "repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))
     )
-    every = _with_trial(tested.drop("__trials", "place"), features).unionByName(idle)
+    every = tested.drop("place", "size").unionByName(idle)
     scored = fitted.predict(every, series=["series_id", "feature", "repeat"])
     base = fitted.predict(rows)
     keep = F.col("pos") >= F.col("n") - window

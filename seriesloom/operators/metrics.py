@@ -107,10 +107,19 @@ def walk_forward_ranking(predictions: DataFrame, *, series: Sequence[str] = ("se
 
 
 def pooled_ranking(predictions: DataFrame, *, series: Sequence[str] = ("series_id",)) -> DataFrame:
-    """Block backtest score: metrics over all complete pairs, ranked by MAE per series."""
-    complete = predictions.where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
-    scores = accuracy(complete, [*series, "model"])
-    order = Window.partitionBy(*series).orderBy("MAE", "model")
+    """Block backtest score: metrics over all complete pairs, ranked by MAE per series.
+
+    ``n_rows`` pairs were scored and ``n_failed`` had no forecast, so a model that was
+    spared the hard rows can be told from one that was not. A model without any forecast
+    has no metrics and comes last.
+    """
+    keys = [*series, "model"]
+    known = predictions.where(F.col("y").isNotNull())
+    counts = known.groupBy(*keys).agg(
+        F.count("yhat").alias("n_rows"), F.count_if(F.col("yhat").isNull()).alias("n_failed")
+    )
+    scores = counts.join(accuracy(known.where(F.col("yhat").isNotNull()), keys), keys, "left")
+    order = Window.partitionBy(*series).orderBy(F.col("MAE").asc_nulls_last(), "model")
     return scores.withColumn("rank", F.row_number().over(order))
 
 

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_columns
 from ..session import materialise
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, finite
 
 # Threshold of a high correlation, quantiles of the summary, and the
 # price pair of which the first is always kept.
 HIGH_CORRELATION = 0.95
 SUMMARY_QUANTILES = (0.25, 0.5, 0.75)
 KEEP_FIRST_OF = ("fixing_i_price", "fixing_ii_price")
-CORRELATIONS_PER_PASS = 60
+SUMMARY = "column_name string, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
 
 
 def missing_report(df: DataFrame) -> DataFrame:
@@ -50,16 +52,22 @@ def unpivot_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """mean, std, min, exact quartiles and max of each numeric column."""
     names = list(columns or numeric_columns(df))
-    long = unpivot_numeric(df, names)
-    moments = long.groupBy("column_name").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    if not names:
+        return df.sparkSession.createDataFrame([], SUMMARY)
+    # One wide scan for the moments and the extent of all columns, then the long table for ranks only.
+    cells = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"), F.max(v).alias("max"), F.count(finite(v)).alias("n"),
+            F.min(finite(v)).alias("low"), F.max(finite(v)).alias("high"),
+        )
+        for c, v in ((c, F.col(c).cast("double")) for c in names)
+    ]
+    moments = materialise(df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*"))
     found = exact_quantiles(
-        long, keys=["column_name"], value="value", qs=SUMMARY_QUANTILES, few_keys=True
-    )
+        unpivot_numeric(df, names), keys=["column_name"], value="value", qs=SUMMARY_QUANTILES, few_keys=True,
+        extent=moments.select("column_name", "n", "low", "high"),
+    )
     quartiles = found.groupBy("column_name").agg(
         *[
             F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(f"p{int(q * 100)}")
@@ -98,38 +106,51 @@ def drop_constant(
     return df.drop(*removed), [c for c in names if c in removed]
 
 
+def _cross_products(centre: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums over the rows that have both columns of a pair, less ``centre``.
+
+    Known values are a matrix with zeros elsewhere, and which are known is another; the
+    sums of all pairs are products of the two.
+    """
+    size = len(centre)
+    total = np.zeros((4, size, size))
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+        values = np.column_stack(columns) - centre
+        known = ~np.isnan(values)
+        values = np.where(known, values, 0.0)
+        there = known.astype(float)
+        total += [there.T @ there, values.T @ there, (values * values).T @ there, values.T @ values]
+    i, j = np.triu_indices(size, 1)
+    rows, first, squares, both = total
+    cells = [i.astype(np.int32), j.astype(np.int32), rows[i, j], first[i, j], first[j, i], squares[i, j], squares[j, i], both[i, j]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+
 def absolute_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``i, j, feature_1, feature_2, corr`` for i < j, pairwise complete.
+    """``i, j, feature_1, feature_2, corr`` for i < j, pairwise complete; NaN counts as missing.
 
-    One aggregate row per pass; wide tables take several passes so that the
-    generated code of a pass stays small.
+    Two scans whatever the number of columns: one for the means, so that the sums of
+    products lose no digits to a large level, and one in which every task adds up the
+    products of all pairs. A task sends a row per pair. Constant columns have no correlation.
     """
     names = list(columns or numeric_columns(df))
-    pairs = list(combinations(range(len(names)), 2))
-    parts = []
-    for at in range(0, len(pairs), CORRELATIONS_PER_PASS):
-        some = pairs[at : at + CORRELATIONS_PER_PASS]
-        row = df.agg(
-            *[
-                F.abs(F.corr(F.col(names[i]).cast("double"), F.col(names[j]).cast("double"))).alias(f"__{i}_{j}")
-                for i, j in some
-            ]
-        )
-        entries = [
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.lit(names[i]).alias("feature_1"),
-                F.lit(names[j]).alias("feature_2"),
-                F.col(f"__{i}_{j}").alias("corr"),
-            )
-            for i, j in some
-        ]
-        parts.append(row.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(names)])
+    means = numbers.agg(*[F.avg(c).alias(c) for c in numbers.columns]).first() if names else []
+    centre = np.array([m if m is not None and math.isfinite(m) else 0.0 for m in means])
+    kinds = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+    parts = numbers.mapInArrow(lambda batches: _cross_products(centre, batches), kinds)
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n, x, y, xx, yy = F.nullif("n", F.lit(0.0)), F.col("x"), F.col("y"), F.col("xx"), F.col("yy")
+    # What is left of equal values are rounding errors.
+    varies = (xx - x * x / n > xx * 1e-12) & (yy - y * y / n > yy * 1e-12)
+    spread = F.sqrt(xx - x * x / n) * F.sqrt(yy - y * y / n)
+    corr = F.least(F.abs((F.col("xy") - x * y / n) / spread), F.lit(1.0))
+    label = F.array(*[F.lit(c) for c in names])
+    return sums.select(
+        "i", "j", label[F.col("i")].alias("feature_1"), label[F.col("j")].alias("feature_2"),
+        F.when(varies, corr).alias("corr"),
+    )
 
 
 def correlated_pairs(

@@ -1,23 +1,80 @@
-"""Exact linear-interpolated quantiles that never gather a group's values.
+"""Exact linear-interpolated quantiles by distributed selection, without gathering a group's values.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one buffer.
-Here a bounded sketch first brackets each wanted rank, then only the values inside
-the bracket are counted (with map-side combine) and the two order statistics are
-read off a running count. The result is exact: the sketch only decides how little
-has to be counted, and a bracket that misses its rank fails the query.
+Spark's exact ``percentile`` keeps every distinct value of a group in one buffer. Here
+each wanted quantile has a bracket of values that holds its two order statistics, at
+first the whole range. The values in the bracket are counted in equal bins (with map-side
+combine), and the least and greatest value of the bins that hold the order statistics
+are the next bracket. It narrows until few values are left, which are then counted one
+by one. Counts are exact in every round, so a bracket never misses its rank, and no task
+sees more than the bins or the last few values of a quantile, however hot a key is.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .positions import attach_balanced
 
-ACCURACY = 2000
-SALTS = 256
+BINS = 1024
+FEW_VALUES = 1 << 16
+ROWS_PER_SALT = 1 << 20
+LARGEST = 1.7976931348623157e308
+
+
+def finite(value) -> Column:
+    """``value`` as a double, NULL for NaN, infinities as the largest doubles."""
+    v = F.col(value).cast("double") if isinstance(value, str) else value
+    # Bounds are taken of known values only: they would stand for a missing one.
+    return F.when(v.isNotNull() & ~F.isnan(v), F.greatest(F.least(v, F.lit(LARGEST)), F.lit(-LARGEST)))
+
+
+def _in_brackets(values: DataFrame, state: DataFrame, keys: list[str], few_keys: bool) -> DataFrame:
+    """Rows (keys, b, __v): each value once for every bracket of its key that it lies in."""
+    entry = F.struct("i", "low", "high", "below", "first", "second")
+    per_key = state.groupBy(*keys).agg(F.collect_list(entry).alias("__brackets"), F.max("n").alias("__n"))
+    if few_keys:
+        joined = values.join(F.broadcast(per_key.drop("__n")), keys)
+    else:
+        # Hot keys are spread by value, over as many tasks as the largest needs.
+        most = per_key.agg(F.max("__n")).first()[0] or 1
+        salt = F.pmod(F.xxhash64("__v"), F.lit(math.ceil(most / ROWS_PER_SALT)))
+        joined = attach_balanced(values, per_key.drop("__n"), keys=keys, bucket=salt)
+    v = F.col("__v")
+    mine = F.filter("__brackets", lambda b: (v >= b["low"]) & (v <= b["high"]))
+    return joined.select(*keys, "__v", F.explode(mine).alias("b"))
+
+
+def _bin(bins: int) -> Column:
+    """Bin of a value in its bracket; halves, so that no difference overflows."""
+    v, low, high = F.col("__v") / 2, F.col("b.low") / 2, F.col("b.high") / 2
+    return F.least(F.floor(F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0)) * bins), F.lit(bins - 1))
+
+
+def _narrowed(inside: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """The brackets after a round of counting; with both order statistics if bins tell them apart."""
+    quantile = [*keys, "i", "first", "second"]
+    counted = (
+        inside.groupBy(*keys, "b.i", "b.first", "b.second", "b.below", _bin(bins).alias("bin"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("least"), F.max("__v").alias("most"))
+    )
+    order = Window.partitionBy(*keys, "i").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counted.withColumn("upto", F.col("below") + F.sum("c").over(order))
+    before = F.col("upto") - F.col("c")
+    has_first = (before <= F.col("first")) & (F.col("first") < F.col("upto"))
+    has_second = (before <= F.col("second")) & (F.col("second") < F.col("upto"))
+    return running.groupBy(*quantile).agg(
+        F.max(F.when(has_first, F.col("least"))).alias("low"),
+        F.max(F.when(has_second, F.col("most"))).alias("high"),
+        F.max(F.when(has_first, before)).alias("below"),
+        F.sum(F.when(has_first | has_second, F.col("c"))).alias("inside"),
+        F.max(F.when(has_first & ~has_second, F.col("most"))).alias("a"),
+        F.max(F.when(has_second & ~has_first, F.col("least"))).alias("b"),
+    )
 
 
 def exact_quantiles(
@@ -26,89 +83,55 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     qs: Sequence[float],
-    accuracy: int = ACCURACY,
     few_keys: bool = False,
+    extent: DataFrame | None = None,
+    bins: int = BINS,
+    few_values: int = FEW_VALUES,
 ) -> DataFrame:
     """Rows ``keys…, q, n, quantile``.
 
-    ``few_keys`` states that the number of keys is bounded by the code (column
-    names, say), so the bracket table may be broadcast. Otherwise the join is
-    salted by value, so a hot key spreads over many tasks.
+    NULL and NaN are left out, infinities count as the largest doubles. ``few_keys`` states
+    that the number of keys is bounded by the code (column names, say), so the brackets may
+    be broadcast. Otherwise the join is salted by value, so a hot key spreads over many
+    tasks. ``extent`` (keys, n, low, high) saves the pass that counts the values of ``finite``.
     """
     keys, qs = list(keys), sorted(float(q) for q in qs)
-    values = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
-    margin = 4.0 / accuracy
-    low = [max(0.0, q - margin) for q in qs]
-    high = [min(1.0, q + margin) for q in qs]
-    sketch = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", low + high, accuracy).alias("__s"),
-    )
-    # In a small group the margin is less than a rank: take all of its values.
-    small = F.col("n") <= 2 * accuracy
-    edges = {}
-    for i in range(len(qs)):
-        lo = F.when(small | F.lit(low[i] == 0.0), F.col("__min")).otherwise(F.col("__s")[i])
-        hi = F.when(small | F.lit(high[i] == 1.0), F.col("__max"))
-        edges |= {f"__lo{i}": lo, f"__hi{i}": hi.otherwise(F.col("__s")[len(qs) + i])}
-    brackets = sketch.select(*keys, "n", *[c.alias(name) for name, c in edges.items()])
-    if few_keys:
-        bracketed = values.join(F.broadcast(brackets), keys)
-    else:
-        salt = F.pmod(F.xxhash64("__v"), F.lit(SALTS))
-        bracketed = attach_balanced(values, brackets, keys=keys, bucket=salt)
-    # Values outside all brackets collapse into one row per key and region, where the
-    # region is the number of brackets that start at or below the value.
-    v = F.col("__v")
-    region, inside = F.lit(0), F.lit(False)
-    for i in range(len(qs)):
-        region = region + (v >= F.col(f"__lo{i}")).cast("int")
-        inside = inside | ((v >= F.col(f"__lo{i}")) & (v <= F.col(f"__hi{i}")))
-    counted = bracketed.groupBy(
-        *keys, "n", *edges, region.alias("__region"), F.when(inside, v).alias("__v")
-    ).agg(F.count(F.lit(1)).alias("__c"))
-    entries = [
-        F.struct(
-            F.lit(q).alias("q"),
-            F.lit(i).alias("i"),
-            F.col(f"__lo{i}").alias("lo"),
-            F.col(f"__hi{i}").alias("hi"),
+    values = df.select(*keys, finite(value).alias("__v")).where("__v IS NOT NULL")
+    if extent is None:
+        extent = values.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high")
         )
-        for i, q in enumerate(qs)
-    ]
-    spread = counted.select(
-        *keys, "n", "__region", "__v", "__c", F.explode(F.array(*entries)).alias("b")
-    )
-    below = F.when(v.isNull(), F.col("__region") <= F.col("b.i")).otherwise(v < F.col("b.lo"))
-    within = (v >= F.col("b.lo")) & (v <= F.col("b.hi"))
-    group = [*keys, "q", "n"]
-    # Per quantile: the values of its bracket, and one NULL row that counts all below.
-    placed = (
-        spread.where(below | within)
-        .select(*keys, F.col("b.q").alias("q"), "n", F.when(within, v).alias("__v"), "__c")
-        .groupBy(*group, "__v")
-        .agg(F.sum("__c").alias("__c"))
+    number = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q")) for i, q in enumerate(qs)])
+    ranks = extent.select(*keys, "n", "low", "high", F.explode(number).alias("w")).withColumn(
+        "r", (F.col("n") - 1) * F.col("w.q")
     )
-    order = Window.partitionBy(*keys, "q").orderBy(F.col("__v").asc_nulls_first())
-    upto = F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    r = (F.col("n") - 1) * F.col("q")
+    state = materialise(
+        ranks.where("n > 0").select(
+            *keys, "w.i", "n", "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"),
+            F.floor("r").alias("first"), F.ceil("r").alias("second"),
+            F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"),
+        )
+    )
+    # Brackets that halves cannot tell apart hold two values at most.
+    wide = F.col("a").isNull() & (F.col("inside") > few_values) & (F.col("high") / 2 > F.col("low") / 2)
+    while not state.where(wide).isEmpty():
+        again = _narrowed(_in_brackets(values, state.where(wide), keys, few_keys), keys, bins)
+        sizes = state.where(wide).select(*keys, "i", "n")
+        state = materialise(state.where(~wide).unionByName(again.join(sizes, [*keys, "i"])))
+    inside = _in_brackets(values, state.where("a IS NULL"), keys, few_keys)
+    counted = inside.groupBy(*keys, "b.i", "b.first", "b.second", "b.below", "__v").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy(*keys, "i").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counted.withColumn("upto", F.col("below") + F.sum("c").over(order))
 
-    def order_statistic(rank):
-        holds = (F.col("__upto") - F.col("__c") <= rank) & (rank < F.col("__upto"))
+    def order_statistic(rank: str) -> Column:
+        holds = (F.col("upto") - F.col("c") <= F.col(rank)) & (F.col(rank) < F.col("upto"))
         return F.max(F.when(holds, F.col("__v")))
 
-    found = placed.withColumn("__upto", upto).groupBy(*group).agg(
-        order_statistic(F.floor(r)).alias("__a"), order_statistic(F.ceil(r)).alias("__b")
-    )
-    missed = F.col("__a").isNull() | F.col("__b").isNull()
-    exact = F.col("__a") + (F.col("__b") - F.col("__a")) * (r - F.floor(r))
+    last = running.groupBy(*keys, "i").agg(order_statistic("first").alias("a"), order_statistic("second").alias("b"))
+    told_apart = state.where("a IS NOT NULL").select(*keys, "i", "a", "b")
+    found = last.unionByName(told_apart).join(state.select(*keys, "i", "n"), [*keys, "i"])
+    q = F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("i") + 1)
+    r = (F.col("n") - 1) * q
     return found.select(
-        *keys,
-        "q",
-        "n",
-        F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .otherwise(exact)
-        .alias("quantile"),
+        *keys, q.alias("q"), "n", (F.col("a") + (F.col("b") - F.col("a")) * (r - F.floor(r))).alias("quantile")
     )

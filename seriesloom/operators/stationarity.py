@@ -1,9 +1,10 @@
 """KPSS and augmented Dickey–Fuller tests per series, as distributed sums.
 
 Neither test gathers a series: KPSS needs a few lag products and partial sums,
-which chunked windows give, and the Dickey–Fuller regression needs only the
-cross-product matrix of lagged values, which is summed over chunks and solved once
-per series.
+which chunked windows give, and the Dickey–Fuller regression needs only cross products
+of lagged values. These depend on the distance of the lags but for the ends of a series,
+so a chunk adds up two numbers for each lag, and one factorisation of the matrix that
+they make gives the fits of all lag orders.
 
 KPSS lag choice follows Hobijn, Franses and Ooms (1998); its p-value interpolates
 the table of Kwiatkowski et al. (1992). The Dickey–Fuller p-value uses the response
@@ -162,26 +163,56 @@ def adf_max_lag(n: int) -> int:
     return max(0, min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2))
 
 
-def _cross_products(pdf: pd.DataFrame, series: list[str]) -> pd.DataFrame:
-    """Cross products of [1, level, lagged differences, difference] over one chunk.
+def _lags_of(n: int, lags: int | None) -> int:
+    return adf_max_lag(n) if lags is None else max(0, min(lags, n // 2 - 2))
 
-    ``pdf`` holds a chunk and the rows before it that its lags reach.
+
+def _lag_sums(pdf: pd.DataFrame, series: list[str], lags: int | None) -> pd.DataFrame:
+    """Sums over one chunk: (i, v) with 2 (p + 1) + 2 numbers for p lags.
+
+    In order: the differences times those k steps back (k = 0..p, wherever both exist),
+    the level times the difference j steps before the target (j = 0..p), the level and its
+    square; the latter three over the rows that have p lags. ``pdf`` holds a chunk and the
+    rows before it that its lags reach.
     """
     pdf = pdf.sort_values("pos")
-    y, pos = pdf["y"].to_numpy(float), pdf["pos"].to_numpy()
-    p = adf_max_lag(int(pdf["n"].iloc[0]))
-    at = np.flatnonzero(pdf["home"].to_numpy() & (pos >= p + 1))
-    columns = [np.ones(at.size), y[at - 1]]
-    columns += [y[at - k] - y[at - k - 1] for k in range(1, p + 1)]
-    x = np.column_stack([*columns, y[at] - y[at - 1]])
-    gram = x.T @ x
-    i, j = np.triu_indices(gram.shape[0])
-    out = pd.DataFrame({"i": i, "j": j, "v": gram[i, j]})
+    y, pos, home = pdf["y"].to_numpy(float), pdf["pos"].to_numpy(), pdf["home"].to_numpy()
+    p = _lags_of(int(pdf["n"].iloc[0]), lags)
+    change = np.diff(y, prepend=np.nan)
+    at, full = np.flatnonzero(home & (pos >= 1)), np.flatnonzero(home & (pos >= p + 1))
+    level = y[full - 1]
+    banded = [change[back] @ change[back - k] for k in range(p + 1) for back in [at[pos[at] - k >= 1]]]
+    sums = [*banded, *[level @ change[full - j] for j in range(p + 1)], level.sum(), level @ level]
+    out = pd.DataFrame({"i": np.arange(len(sums)), "v": sums})
     for s in series:
         out.insert(0, s, pdf[s].iloc[0])
     return out
 
 
+def _gram(n: int, p: int, sums: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Cross products of [1, level, differences 1..p steps before, difference] over the rows with p lags.
+
+    A product of two differences depends on their distance only, but for the ends of the
+    series: those are taken off with the first and last values. Sums of differences telescope.
+    """
+    gram = np.zeros((p + 3, p + 3))
+    rows = n - 1 - p
+    gram[0, 0], gram[0, 1], gram[1, 1] = rows, sums[-2], sums[-1]
+    place = [p + 2, *range(2, p + 2)]  # of the difference j steps before the target
+    early, late = np.diff(head), np.diff(tail)[::-1]  # differences 1, 2, … and n - 1, n - 2, …
+    for j in range(p + 1):
+        gram[0, place[j]] = tail[len(tail) - 1 - j] - head[p - j]
+        gram[1, place[j]] = sums[p + 1 + j]
+    for k in range(p + 1):
+        # Products of distance k: the first ones in the order of time, the last ones backwards.
+        first = np.concatenate([[0.0], np.cumsum(early[k:p] * early[: p - k])])
+        last = np.concatenate([[0.0], np.cumsum(late[: p - k] * late[k:p])])
+        for i in range(p + 1 - k):
+            u, v = place[i], place[i + k]
+            gram[min(u, v), max(u, v)] = sums[k] - first[p - i - k] - last[i]
+    return gram + np.triu(gram, 1).T
+
+
 def _least_squares(gram: np.ndarray, k: int) -> tuple[float, float]:
     """Residual sum of squares and t-value of the level, using the first ``k`` regressors."""
     a, b, c = gram[:k, :k], gram[:k, -1], gram[-1, -1]
@@ -193,21 +224,30 @@ def _least_squares(gram: np.ndarray, k: int) -> tuple[float, float]:
     return ssr, float(beta[1] / spread) if spread > 0 else math.nan
 
 
-def _adf_of_series(n: int, gram: np.ndarray, head: np.ndarray) -> tuple[float, float, int, int]:
+def _residual_sums(gram: np.ndarray) -> np.ndarray:
+    """Residual sums of squares with the first 2, 3, … regressors, of one factorisation for all."""
+    p = gram.shape[0] - 3
+    scale = np.sqrt(np.diag(gram))
+    try:
+        lower = np.linalg.cholesky(gram[:-1, :-1] / np.outer(scale[:-1], scale[:-1]))
+        parts = np.linalg.solve(lower, gram[:-1, -1] / scale[:-1])
+    except np.linalg.LinAlgError:  # columns that depend on one another
+        return np.array([_least_squares(gram, k + 2)[0] for k in range(p + 1)])
+    return np.maximum(gram[-1, -1] - np.cumsum(parts * parts), 0.0)[1:]
+
+
+def _adf_of_series(n: int, gram: np.ndarray, head: np.ndarray, fixed: bool) -> tuple[float, float, int, int]:
     """Choose the lag by AIC on the common sample, then refit on all rows it allows.
 
     ``head`` holds the first values of the series, from which the extra rows of
-    the refit are built.
+    the refit are built. ``fixed`` takes the largest lag.
     """
-    p = adf_max_lag(n)
-    rows = gram[0, 0]
-    best, lag = math.inf, 0
-    for candidate in range(p + 1):
-        k = candidate + 2
-        ssr, _ = _least_squares(gram, k)
-        aic = rows * math.log(ssr / rows) + 2 * k if ssr > 0 else -math.inf
-        if aic < best:
-            best, lag = aic, candidate
+    p, rows = gram.shape[0] - 3, gram[0, 0]
+    lag = p
+    if not fixed:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            aic = rows * np.log(_residual_sums(gram) / rows) + 2 * np.arange(2, p + 3)
+        lag = int(np.argmin(np.where(np.isnan(aic), np.inf, aic)))
     k = lag + 2
     use = [*range(k), gram.shape[0] - 1]
     final = gram[np.ix_(use, use)].copy()
@@ -239,12 +279,13 @@ def adf(
     ts: str = "ts",
     step_seconds: int = HOUR,
     least: int = MIN_ROWS,
+    lags: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """``n, adf, adf_p, used_lag, nobs`` with a constant and AIC lag choice.
+    """``n, adf, adf_p, used_lag, nobs`` with a constant; the lag by AIC, or ``lags`` of them.
 
-    A task sees one chunk of a series; what meets per series is the summed
-    cross-product matrix (a few hundred numbers) and the first few values.
+    A task sees one chunk of a series and gives two numbers for each lag; what meets per
+    series is their sums and the first and last few values.
     """
     keys = list(series)
     complete = df.select(*keys, ts, F.col(column).cast("double").alias("__y")).where("__y IS NOT NULL")
@@ -256,35 +297,35 @@ def adf(
     rows = rows.select(*keys, "pos", "n", (F.col("__y") - F.col("__sum") / F.col("n")).alias("y"))
     rows = materialise(rows)  # read by three branches below
     longest = rows.agg(F.max("n")).first()[0] or 1
-    reach = adf_max_lag(longest) + 1
+    reach = _lags_of(longest, lags) + 1
     spread = spread_chunks(rows, before=reach, chunk_rows=max(chunk_rows, reach))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     prefix = ", ".join(f"`{s}` {kinds[s]}" for s in keys)
     parts = (
         spread.withColumnRenamed("__home", "home")
         .groupBy(*keys, "__chunk")
-        .applyInPandas(lambda pdf: _cross_products(pdf, keys), f"{prefix}, i int, j int, v double")
-    )
-    cells = parts.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
-    head = rows.where(F.col("pos") <= reach).select(
-        *keys, F.lit(-1).alias("i"), F.col("pos").cast("int").alias("j"), F.col("y").alias("v")
+        .applyInPandas(lambda pdf: _lag_sums(pdf, keys, lags), f"{prefix}, i int, v double")
     )
+    sums = parts.groupBy(*keys, "i").agg(F.sum("v").alias("v")).withColumn("part", F.lit(0))
+    position = F.col("pos").cast("int")
+    head = rows.where(F.col("pos") <= reach).select(*keys, position.alias("i"), F.col("y").alias("v"), F.lit(1).alias("part"))
+    back = (F.col("pos") - F.col("n")).cast("int")
+    tail = rows.where(back >= -reach - 1).select(*keys, back.alias("i"), F.col("y").alias("v"), F.lit(2).alias("part"))
     sizes = rows.where(F.col("pos") == 0).select(
-        *keys, F.lit(-2).alias("i"), F.lit(0).alias("j"), F.col("n").cast("double").alias("v")
+        *keys, F.lit(0).alias("i"), F.col("n").cast("double").alias("v"), F.lit(3).alias("part")
     )
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf.loc[pdf["i"] == -2, "v"].iloc[0])
-        first = pdf[pdf["i"] == -1].sort_values("j")["v"].to_numpy(float)
-        part = pdf[pdf["i"] >= 0]
-        gram = np.zeros((adf_max_lag(n) + 3,) * 2)
-        gram[part["i"], part["j"]] = part["v"]
-        gram = gram + np.triu(gram, 1).T
-        stat, p, lag, nobs = _adf_of_series(n, gram, first)
+        ordered = pdf.sort_values("i")
+        summed, first, last, size = (ordered.loc[ordered["part"] == k, "v"].to_numpy(float) for k in range(4))
+        n = int(size[0])
+        gram = _gram(n, _lags_of(n, lags), summed, first, last)
+        stat, p, lag, nobs = _adf_of_series(n, gram, first, lags is not None)
         keep = {s: [pdf[s].iloc[0]] for s in keys}
         return pd.DataFrame({**keep, "n": n, "adf": stat, "adf_p": p, "used_lag": lag, "nobs": nobs})
 
-    solved = cells.unionByName(head).unionByName(sizes).groupBy(*keys).applyInPandas(
+    parts = sums.unionByName(head).unionByName(tail).unionByName(sizes)
+    solved = parts.groupBy(*keys).applyInPandas(
         solve, f"{prefix}, n long, adf double, adf_p double, used_lag int, nobs long"
     )
     return nan_to_null(solved)

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.operators.autoregression import roll_out, seasonal_autoregression
-from seriesloom.operators.backtest import block_backtest, walk_forward
+from seriesloom.operators.backtest import block_backtest, failures, unfit_series, walk_forward
 from seriesloom.operators.baselines import baseline_predictions
+from seriesloom.operators.boosting import Booster, boost
 from seriesloom.operators.folds import (
     block_rows,
     fold_bounds,
@@ -225,10 +226,67 @@ def test_models_beat_nothing_and_keep_row_counts(model_rows):
     assert (errors < naive).all()
 
 
-def test_round_choice_with_patience():
-    model = CrossValidatedBoosting(patience=2)
-    assert model.best_rounds([[5, 4, 4.5, 4.6, 1], [5, 4, 4.5, 4.6, 1]]) == 2
-    assert model.best_rounds([[5, 4, 3]]) == 3
+def plain_rows(model_rows):
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="__x").transform(model_rows)
+    return materialise(
+        ready.select("__x", F.col("price").alias("__y"), (F.col("pos") >= F.col("n") - 40).alias("__valid"))
+    )
+
+
+def test_boosting_adds_trees_to_residuals_and_stops(model_rows):
+    rows = plain_rows(model_rows)
+    booster = Booster(rows, rate=0.5, seed=1, maxDepth=3)
+    best = boost([booster], 40, 3)
+    # Patience ends the fit: no more rounds than the best and the wait.
+    assert len(booster.trees) == len(booster.errors) <= best + 3 < 40
+    assert booster.errors[best - 1] == min(booster.errors) and booster.errors[0] > min(booster.errors)
+    scored = booster.model(best).transform(rows.where("__valid")).toPandas()
+    error = (scored["__y"] - booster.base - scored["__above"]).abs().mean()
+    assert error == pytest.approx(booster.errors[best - 1])
+    trained = rows.where("NOT __valid").agg(F.avg("__y")).first()[0]
+    assert booster.base == pytest.approx(trained)
+    # Without valid rows there is no error and no early end; deep trees at full rate leave little.
+    other = Booster(rows.drop("__valid"), rate=1.0, seed=1, maxDepth=10, featureSubsetStrategy="all")
+    before = other.rows.agg(F.avg(F.abs("__rest"))).first()[0]
+    assert boost([other], 2, None) == 1 and len(other.trees) == 2 and other.errors == [None, None]
+    assert other.rows.agg(F.avg(F.abs("__rest"))).first()[0] < 0.3 * before
+
+
+def test_folds_of_boosting_stop_together(model_rows):
+    rows = plain_rows(model_rows)
+    folds = [Booster(rows, rate=0.5, seed=s, maxDepth=2) for s in (1, 2)]
+    best = boost(folds, 30, 2)
+    mean = np.mean([f.errors for f in folds], axis=0)
+    assert len({len(f.errors) for f in folds}) == 1 and len(mean) <= best + 2
+    assert best == int(np.argmin(mean)) + 1
+    with pytest.raises(ValueError):
+        Booster(rows.limit(0), rate=0.1, seed=1)
+
+
+def test_bad_series_do_not_spoil_the_fits_of_others(model_rows):
+    broken = model_rows.withColumn(
+        "load", F.when((F.col("series_id") == "s1") & (F.col("pos") == 150), float("inf")).otherwise(F.col("load"))
+    )
+    models = {"GBR": GradientBoosting(max_rounds=3, learning_rate=0.5, min_leaf=3)}
+    found = materialise(block_backtest(broken, models, "price", FEATURES, block=24, blocks=3))
+    alone = block_backtest(model_rows.where("series_id = 's0'"), models, "price", FEATURES, block=24, blocks=3)
+    got, want = found.toPandas(), collected(alone, "ts")
+    sizes = {r.series_id: r.n for r in model_rows.select("series_id", "n").distinct().collect()}
+    s1 = got[got.series_id == "s1"]
+    spoilt = s1.fold.map(lambda f: sizes["s1"] - 24 * (3 - f) > 150)
+    assert s1[spoilt].yhat.isna().all() and s1[spoilt].error.eq("infinite value of load").all() and spoilt.any()
+    assert s1[~spoilt].yhat.notna().all() and s1[~spoilt].error.isna().all()
+    late = got[(got.series_id == "s0") & got.fold.isin(s1[spoilt].fold)].sort_values("ts")
+    np.testing.assert_allclose(late.yhat, want[want.fold.isin(late.fold)].yhat)
+    table = failures(found).toPandas()
+    assert table.rows.sum() == spoilt.sum() and set(table.series_id) == {"s1"}
+    ranked = pooled_ranking(found).toPandas().set_index("series_id")
+    assert ranked.n_failed["s1"] == spoilt.sum() and ranked.n_rows["s0"] == 72 and ranked.n_failed["s0"] == 0
+    empty = model_rows.withColumn("price", F.when(F.col("series_id") == "s0", F.col("price")))
+    faults = unfit_series(empty, "price", FEATURES).collect()
+    assert [(r.series_id, r["__unfit"]) for r in faults] == [("s1", "no complete row")]
 
 
 def test_cross_validated_rounds_and_random_search(model_rows):
@@ -281,22 +339,6 @@ def test_permutation_moves_only_the_used_feature(model_rows, window):
     assert top_importance(per_series, 1, by=["series_id"]).count() == 2
 
 
-def test_shuffling_is_a_permutation(model_rows):
-    from seriesloom.operators.importance import _shuffled_values
-
-    valid = model_rows.withColumn("place", F.col("pos"))
-    for whole in (False, True):
-        trials = _shuffled_values(valid, ["load"], 2, 7, whole)
-        flat = trials.select("series_id", "place", F.explode("__trials").alias("t")).select("series_id", "place", "t.*")
-        got = flat.toPandas()
-        want = valid.toPandas()
-        for (s, r), g in got.groupby(["series_id", "repeat"]):
-            mine = want[want.series_id == s].sort_values("pos").load.to_numpy()
-            moved = g.sort_values("place").value.to_numpy()
-            assert len(moved) == len(mine) and not (moved == mine).all()
-            np.testing.assert_array_equal(np.sort(moved), np.sort(mine))
-
-
 def test_window_importance_keeps_context(model_rows):
     model = WindowRegression(lookback=4)
     fitted = model.fit(model_rows.where("pos < n - 48"), "price", FEATURES)

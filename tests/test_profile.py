@@ -87,18 +87,18 @@ def test_pruning_rule(spark, wide):
 def test_exact_quantiles_equal_pandas(spark, values, accuracy):
     qs = [0.0, 0.11, 0.5, 0.95, 1.0]
     df = spark.createDataFrame([("k", float(v)) for v in values], "key string, v double")
-    got = exact_quantiles(df, keys=["key"], value="v", qs=qs, accuracy=max(accuracy, 5)).collect()
+    got = exact_quantiles(df, keys=["key"], value="v", qs=qs, bins=max(accuracy, 2), few_values=accuracy).collect()
     for r in got:
         assert r["quantile"] == pytest.approx(pd.Series(values).quantile(r.q))
 
 
-def test_exact_quantiles_use_the_sketch_for_large_groups(spark):
+def test_exact_quantiles_narrow_large_groups(spark):
     df = spark.range(60_000).select(
         F.when(F.col("id") < 40_000, "hot").otherwise("cold").alias("key"),
         F.pow(F.pmod(F.xxhash64("id"), F.lit(9_973)) / 100.0, F.lit(3.0)).alias("v"),
     )
     pdf = df.toPandas()
-    for r in exact_quantiles(df, keys=["key"], value="v", qs=[0.003, 0.5, 0.92], accuracy=500).collect():
+    for r in exact_quantiles(df, keys=["key"], value="v", qs=[0.003, 0.5, 0.92], bins=50, few_values=500).collect():
         assert r["quantile"] == pytest.approx(pdf[pdf.key == r.key].v.quantile(r.q))
 
 
