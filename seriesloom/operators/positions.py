@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import HOUR, floor_div, slot_of
+from ..session import materialise
 
 BUCKET_ROWS = 4096
 _BUCKET = "__bucket"
@@ -63,6 +64,36 @@ def rank_in_buckets(
     )
 
 
+def rank_sorted(
+    df: DataFrame, *, keys: Sequence[str], order: Sequence, position: str = "pos", size: str = "n"
+) -> DataFrame:
+    """Add the 0-based position inside ``keys`` by any order, and the size of the key.
+
+    Where no bucket follows from the order, one range shuffle sorts the rows by keys and
+    order; a hot key covers as many ranges as it needs. A row's position is its number in
+    its range plus the sizes of the key's earlier ranges, a table with at most a row per
+    range and key. The sorted rows are stored before they are numbered, so a lost task
+    cannot renumber them. Rows that are equal in ``order`` are numbered in any way.
+    """
+    keys = list(keys)
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    ranged = materialise(ranged.withColumn("__row", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__range", F.shiftright("__row", 33))
+    ranges = ranged.groupBy(*keys, "__range").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__size"))
+    renamed = {k: f"__key_{k}" for k in keys}
+    whole = Window.partitionBy(*renamed.values())
+    before = whole.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.withColumnsRenamed(renamed | {"__range": "__r"}).select(
+        *renamed.values(), "__r", (F.coalesce(F.sum("__size").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
+        F.sum("__size").over(whole).alias(size),
+    )
+    same = F.col("__range") == F.col("__r")
+    for key, other in renamed.items():
+        same = same & F.col(key).eqNullSafe(F.col(other))
+    placed = ranged.join(offsets, same).withColumn(position, F.col("__row") + F.col("__shift"))
+    return placed.drop("__row", "__range", "__r", "__shift", *renamed.values())
+
+
 def with_positions(
     df: DataFrame,
     *,

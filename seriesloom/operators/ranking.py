@@ -11,7 +11,7 @@ from ..functions.numeric import to_number
 from ..functions.text import canonical_model, clean_label
 from ..functions.time import floor_div
 from ..session import materialise
-from .positions import BUCKET_ROWS, rank_in_buckets
+from .positions import BUCKET_ROWS, rank_in_buckets, rank_sorted
 
 # Constant of reciprocal rank fusion, plot size, metric rounding.
 RRF_K = 60
@@ -56,8 +56,8 @@ def rank_lists(
         first = cleaned.groupBy("model", "feature").agg(
             F.min(F.struct("__order", pos)).alias("__at")
         ).select("model", "feature", "__at.*")
-        order = Window.partitionBy("model").orderBy("__order", pos)
-        return first.select("model", "feature", F.row_number().over(order).alias("rank"))
+        ranked = rank_sorted(first, keys=["model"], order=["__order", pos, "feature"], position="__place", size="__size")
+        return ranked.select("model", "feature", (F.col("__place") + 1).cast("int").alias("rank"))
     first = cleaned.groupBy("model", "feature").agg(F.min(pos).alias(pos))
     ranked = rank_in_buckets(
         first, keys=["model"], bucket=floor_div(F.col(pos), BUCKET_ROWS), order=[pos],

@@ -12,24 +12,27 @@ from ..functions.calendar import calendar_columns, season_columns, season_name
 from ..functions.numeric import to_number
 from ..functions.text import BOM
 from ..functions.time import DAY, truncate
+from ..operators.arma import SARIMAX_ORDER, SARIMAX_SEASONAL, SeasonalArma
 from ..operators.autoregression import seasonal_autoregression
-from ..operators.backtest import block_backtest, walk_forward
+from ..operators.backtest import block_backtest, failures, walk_forward
 from ..operators.baselines import baseline_predictions
 from ..operators.chunks import forward_fill
-from ..operators.comparison import diebold_mariano, dm_summary, wide_predictions
+from ..operators.comparison import diebold_mariano, dm_summary, sorted_summary, wide_predictions
 from ..operators.decompose import seasonal_decompose
 from ..operators.features import add_families, feature_table
 from ..operators.folds import HORIZONS, N_SPLITS, block_rows, fold_bounds, fold_table, holdout, lookback_windows
 from ..operators.forecasters import (
     CrossValidatedBoosting,
     GradientBoosting,
+    LeastSquares,
     RandomSearch,
     WindowRegression,
+    exogenous_columns,
 )
 from ..operators.grid import duplicate_report, head_and_tail, keep_first, last_hours, last_rows, regularise
 from ..operators.importance import permutation_importance, top_importance, window_importance
 from ..operators.imputation import ForestSettings, impute_forest
-from ..operators.merge import merge_blocks, merge_forecasts, side_by_side, union_rankings
+from ..operators.merge import merge_blocks, merge_forecasts, side_by_side, sort_rankings, union_rankings
 from ..operators.metrics import (
     accuracy,
     common_timestamps,
@@ -41,7 +44,7 @@ from ..operators.metrics import (
     walk_forward_ranking,
 )
 from ..operators.peaks import best_peak_models, month_view, peak_metrics, peak_thresholds
-from ..operators.positions import with_positions
+from ..operators.positions import rank_sorted, with_positions
 from ..operators.profile import (
     constant_columns,
     correlated_pairs,
@@ -61,8 +64,17 @@ from ..operators.scaling import scale_signed_log
 from ..operators.stationarity import adf, kpss
 from ..session import materialise, shared_dir
 from ..sources.files import resolve_predictions
-from ..sources.readers import coerce_time, read_importance_lists, read_model_table, read_predictions
-from ..sources.writers import write_complete, write_forecasts, write_summary
+from ..sources.readers import (
+    coerce_time,
+    parse_time,
+    read_features,
+    read_importance_lists,
+    read_model_table,
+    read_predictions,
+    read_smart_csv,
+    read_table,
+)
+from ..sources.writers import iso_time, write_complete, write_forecasts, write_summary
 from .inputs import (
     BASELINES,
     events_panel,
@@ -74,6 +86,7 @@ from .inputs import (
     tidy,
     user_lists,
 )
+from .jobs import ConsolidationInputs, consolidate_job
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -181,6 +194,55 @@ def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_lists(read_importance_lists(spark, path))
 
 
+@register
+def loaded_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as CSV, with header rows in its middle, and as Parquet, both loaded by suffix."""
+    panel = events_panel(spark, sf_dir).select(F.col("ts").alias("datetime"), "series_id", "price", "load")
+    text = panel.withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
+    header = text.limit(1).select(F.lit(" DateTime ").alias("datetime"), "series_id", "price", "load")
+    paths = {kind: _scratch(spark, f"panel.{kind}") for kind in ("csv", "parquet")}
+    text.unionByName(header).write.option("header", True).csv(paths["csv"])
+    panel.write.parquet(paths["parquet"])
+    parts = [
+        read_table(spark, path).select(F.lit(kind).alias("source"), F.col("datetime").alias("ts"), "series_id", "price",
+                                       F.col("load").cast("double").alias("load"))
+        for kind, path in paths.items()
+    ]
+    return tidy(parts[0].unionByName(parts[1]))
+
+
+@register
+def feature_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature file put on its hourly grid, complete rows only."""
+    path = _scratch(spark, "features.parquet")
+    events_panel(spark, sf_dir).withColumnRenamed("ts", "datetime").write.parquet(path)
+    return tidy(read_features(spark, path, series=["series_id"]))
+
+
+@register
+def typed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with semicolons, text cells and gaps, its number columns recognised."""
+    path = _scratch(spark, "panel.csv")
+    panel = events_panel(spark, sf_dir).select("series_id", "ts", "load", "wind", "solar")
+    text = {c: F.concat(F.lit("  "), F.col(c).cast("string"), F.lit(" ")) for c in ("load", "wind", "solar")}
+    shown = panel.withColumns(text | {"ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")})
+    shown.write.option("header", True).option("sep", ";").csv(path)
+    good, _ = read_smart_csv(spark, path, typed=True)
+    return tidy(good.withColumn("ts", parse_time("ts")))
+
+
+@register
+def exogenous_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of the columns that an exogenous model uses: numeric, not the target, not listed."""
+    panel = events_panel(spark, sf_dir)
+    return missing_report(panel.select(exogenous_columns(panel, "price", ["load", "total_gen"])))
+
+
+@register
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", iso_time("ts").alias("at"))
+
+
 @register
 def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold summaries written as JSON and read back, a row per fold."""
@@ -461,7 +523,7 @@ def _two_forecast_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
     names = {"y": "Observed", "ts": "timestamp"}
     first = wide_predictions(found.where("horizon = 24"), ["persistence", "mean24"])
     second = wide_predictions(
-        found.where("horizon = 72 AND fold < 4"), ["seasonal_naive", "mean24"]
+        found.where("horizon = 72"), ["seasonal_naive", "mean24"]
     )
     return first.withColumnsRenamed(names), second.withColumnsRenamed(names)
 
@@ -493,6 +555,41 @@ def union_of_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(union_rankings([short, long]))
 
 
+def _with_place(ordered: DataFrame) -> DataFrame:
+    """A sorted report (a row per model or pair) with the number of each row."""
+    stored = materialise(ordered.withColumn("__at", F.monotonically_increasing_id()))
+    return rank_sorted(stored.withColumn("__all", F.lit(0)), keys=["__all"], order=["__at"], position="place").drop("__at", "__all", "n")
+
+
+@register
+def rankings_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stacked rankings in the order of their report."""
+    scores = tidy(walk_forward_ranking(events_predictions(spark, sf_dir, (24, 72))))
+    named = scores.withColumn("HorizonHours", F.col("horizon").cast("string")).drop("horizon")
+    stacked = union_rankings([named.where("HorizonHours = '72'").drop("R2"), named.where("HorizonHours = '24'")])
+    wanted = stacked.withColumn("model", F.concat_ws("/", "model", "series_id"))
+    return _with_place(sort_rankings(materialise(wanted)).select("HorizonHours", "model"))
+
+
+@register
+def consolidated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two block forecast files and two ranking files, consolidated by the job and read back."""
+    folder = _scratch(spark, "runs")
+    found = events_predictions(spark, sf_dir, (24, 72)).where("series_id = 'view'")
+    for name, horizon, models in (("short", 24, ["persistence", "mean24"]), ("long", 72, ["seasonal_naive", "mean24"])):
+        wide = tidy(wide_predictions(found.where(F.col("horizon") == horizon), models)).drop("series_id")
+        write_forecasts(wide.withColumnRenamed("y", "Observed"), f"{folder}/{name}.csv")
+    inputs = ConsolidationInputs(forecasts={"all": ("short.csv", "long.csv")})
+    out = f"{folder}/out"
+    consolidate_job(spark, folder, inputs, out)
+    back = spark.read.csv(f"{out}/forecasts_all", header=True)
+    numbers = [c for c in back.columns if c != "timestamp"]
+    return back.select(
+        F.col("timestamp").try_cast("timestamp_ntz").alias("timestamp"),
+        *[F.round(F.col(c).try_cast("double"), 5).alias(c) for c in numbers],
+    )
+
+
 # ---- peaks and comparisons ---------------------------------------------------------------
 
 
@@ -512,6 +609,14 @@ def peak_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(_peaks(events_predictions(spark, sf_dir)))
 
 
+@register
+def peaks_over_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peak metrics over one fixed threshold for all series."""
+    found = events_predictions(spark, sf_dir)
+    limits = peak_thresholds(found.where("model = 'mean24'"), fixed=60.0)
+    return tidy(peak_metrics(found, limits))
+
+
 @register
 def month_peaks_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events_predictions(spark, sf_dir)
@@ -528,6 +633,24 @@ def dm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(tests.withColumns({c: F.col(c).cast("double") for c in ("n", "nw_lags")}))
 
 
+@register
+def dm_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests of forecasts a day ahead with h - 1 lags, and with three lags and no correction."""
+    wide = wide_predictions(events_predictions(spark, sf_dir), BASELINES)
+    ahead = diebold_mariano(wide, list(BASELINES), h=24, auto_lags=False)
+    raw = diebold_mariano(wide, list(BASELINES), lags=3, corrected=False)
+    both = ahead.withColumn("variant", F.lit("h24")).unionByName(raw.withColumn("variant", F.lit("raw")))
+    return tidy(both.withColumns({c: F.col(c).cast("double") for c in ("n", "nw_lags")}))
+
+
+@register
+def dm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of the pairwise tests in the order of its report."""
+    wide = wide_predictions(events_predictions(spark, sf_dir), BASELINES)
+    shown = tidy(dm_summary(diebold_mariano(wide, list(BASELINES))))
+    return _with_place(sorted_summary(materialise(shown)).select("series_id", "pair", "loss", "sig"))
+
+
 @register
 def dm_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = wide_predictions(events_predictions(spark, sf_dir), BASELINES)
@@ -537,18 +660,20 @@ def dm_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- rank fusion ---------------------------------------------------------------------------
 
 
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 def _weights(spark: SparkSession, sf_dir: str, lists: DataFrame) -> DataFrame:
     """Weights from the walk-forward error of the series a list is named after."""
     scores = walk_forward_ranking(events_predictions(spark, sf_dir, (72,)))
-    rankings = scores.where("model = 'mean24' AND series_id != 'view'").select(
+    rankings = scores.where("model = 'mean24'").select(
         F.col("series_id").alias("model"), F.col("horizon").alias("HorizonHours"), "MAE"
     )
     return model_weights(lists.select("model"), metric_table(rankings, horizon=72))
 
 
+def _models(lists: DataFrame) -> list[str]:
+    """Names of the lists, a row per model to the driver."""
+    return [r["model"] for r in lists.select("model").distinct().orderBy("model").collect()]
+
+
 @register
 def rank_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = user_lists(spark, sf_dir)
@@ -556,6 +681,13 @@ def rank_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_lists(lists.withColumn("feature", odd), aliases={"7": "8"})
 
 
+@register
+def rank_by_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists ranked by their importances instead of their order, which is by name here."""
+    lists = user_lists(spark, sf_dir).withColumn("pos", F.col("feature").cast("long"))
+    return rank_lists(lists, rank_by="importance")
+
+
 @register
 def weights_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(_weights(spark, sf_dir, user_lists(spark, sf_dir)))
@@ -573,19 +705,18 @@ def heatmap_of_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = materialise(rank_lists(lists))
     fused = fuse(ranks, model_weights(ranks.select("model")))
     top = top_features(fused.withColumn("final_score", F.round("final_score", 9)))
-    cells = rank_heatmap(ranks, top, EVENT_TYPES)
-    return cells.withColumns({m: F.col(m).cast("double") for m in EVENT_TYPES})
+    models = _models(ranks)
+    return rank_heatmap(ranks, top, models).withColumns({m: F.col(m).cast("double") for m in models})
 
 
 @register
 def lists_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = user_lists(spark, sf_dir)
-    sizes = {"click": 20, "error": 12, "view": 7}
     frames = [
-        lists.where((F.col("model") == m) & (F.col("pos") <= k)).select(
+        lists.where(F.col("model") == m).select(
             "pos", F.col("feature").alias(f"{m}_feature"), F.col("importance").alias(f"{m}_importance")
         )
-        for m, k in sizes.items()
+        for m in _models(lists)
     ]
     return tidy(side_by_side(frames))
 
@@ -613,10 +744,21 @@ def adf_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(adf(orders_panel(spark, sf_dir, by_priority=True), "price", step_seconds=DAY))
 
 
+@register
+def adf_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dickey-Fuller tests with no lag and with one."""
+    panel = materialise(orders_panel(spark, sf_dir, by_priority=True))
+    parts = [adf(panel, "price", step_seconds=DAY, lags=k) for k in (0, 1)]
+    return tidy(parts[0].unionByName(parts[1]))
+
+
 # ---- models ------------------------------------------------------------------------------------
 #
-# Small forests and few rounds: the sizes are parameters of the operators, the rows
-# are all rows of the panel.
+# Boosting learns fast here and stops after four rounds without gain; depths, sampling, folds
+# and repeats are the operators' own. Forests and searches are small: their sizes are parameters.
+# The rows are all rows of the panel.
+
+_RATE = 0.3
 
 _MODEL_FEATURES = [
     "hour", "day_of_week", "sin24", "cos24", "price_roll24_mean", "price_roll24_std",
@@ -641,28 +783,24 @@ def impute_with_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = {"GBR": GradientBoosting(max_rounds=6, learning_rate=0.3)}
-    return walk_forward(
-        _model_rows(spark, sf_dir), models, "price", _MODEL_FEATURES, [24], 2
-    )
+    models = {"GBR": GradientBoosting(learning_rate=_RATE, patience=4)}
+    return walk_forward(_model_rows(spark, sf_dir), models, "price", _MODEL_FEATURES, HORIZONS, N_SPLITS)
 
 
 @register
 def boosted_cv_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    search = {"stepSize": 0.3, "maxDepth": 3, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.6"}
-    model = CrossValidatedBoosting(max_rounds=5, patience=3, folds=2, search=search, final=search)
-    return walk_forward(
-        _model_rows(spark, sf_dir), {"XGB": model}, "price", _MODEL_FEATURES, [24], 1
+    fast = CrossValidatedBoosting()
+    model = CrossValidatedBoosting(
+        patience=4, search=fast.search | {"stepSize": _RATE}, final=fast.final | {"stepSize": _RATE}
     )
+    return walk_forward(_model_rows(spark, sf_dir), {"XGB": model}, "price", _MODEL_FEATURES, [24], N_SPLITS)
 
 
 @register
 def block_backtest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block backtest of a fitted model; predictions per block."""
-    models = {"window": WindowRegression(lookback=6)}
-    return block_backtest(
-        _model_rows(spark, sf_dir), models, "price", _MODEL_FEATURES, block=24, blocks=2
-    )
+    """Block backtest of a lookback model; predictions per block."""
+    rows = orders_positions(spark, sf_dir)
+    return block_backtest(rows, {"window": WindowRegression()}, "price", ["price", "load"])
 
 
 @register
@@ -684,26 +822,78 @@ def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register
-def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = GradientBoosting(max_rounds=4, learning_rate=0.3)
-    found = permutation_importance(
-        _model_rows(spark, sf_dir), model, "price", _MODEL_FEATURES, repeats=3
+def arma_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seasonal models with moving-average terms, all series, horizons and folds."""
+    rows = materialise(events_positions(spark, sf_dir))
+    plain = walk_forward(rows, {"SARIMA": SeasonalArma()}, "price", [], [72], N_SPLITS)
+    more = walk_forward(
+        rows, {"SARIMAX": SeasonalArma(SARIMAX_ORDER, SARIMAX_SEASONAL)}, "price", ["load", "net_import"], [72], N_SPLITS
     )
+    return plain.unionByName(more)
+
+
+@register
+def perm_importance_sarimax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of the exogenous columns of the seasonal model."""
+    model = SeasonalArma(SARIMAX_ORDER, SARIMAX_SEASONAL)
+    found = permutation_importance(events_positions(spark, sf_dir), model, "price", ["load", "net_import", "up_reserve"])
     return top_importance(found)
 
 
+_PLANE = ["load", "net_import"]
+
+
+@register
+def perm_importance_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance in the last week of a linear model, per series."""
+    rows = events_positions(spark, sf_dir)
+    return tidy(permutation_importance(rows, LeastSquares(), "price", _PLANE, by=["series_id"]))
+
+
+@register
+def perm_importance_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance over all rows of a linear model, fitted on the same."""
+    return tidy(permutation_importance(events_positions(spark, sf_dir), LeastSquares(), "price", _PLANE, window=None))
+
+
+@register
+def walk_forward_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward forecasts of a linear model over all series, every horizon and fold."""
+    rows = events_positions(spark, sf_dir)
+    return tidy(walk_forward(rows, {"plane": LeastSquares()}, "price", _PLANE, HORIZONS, N_SPLITS).drop("error", "y"))
+
+
+@register
+def block_backtest_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten weeks, a linear model refitted before each."""
+    rows = orders_positions(spark, sf_dir)
+    return tidy(block_backtest(rows, {"line": LeastSquares()}, "price", ["load"]).drop("error", "y"))
+
+
+@register
+def failed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block backtest in which two series carry infinite values; the forecasts that fail for it."""
+    rows = events_positions(spark, sf_dir)
+    at = F.when(F.col("series_id") == "click", F.lit(0)).when(F.col("series_id") == "view", F.col("n") - 200)
+    spoilt = rows.withColumn("load", F.when(F.col("pos") == at, F.lit(float("inf"))).otherwise(F.col("load")))
+    return failures(block_backtest(spoilt, {"plane": LeastSquares()}, "price", _PLANE, block=48, blocks=5))
+
+
+@register
+def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = GradientBoosting(learning_rate=_RATE, patience=4)
+    return top_importance(permutation_importance(_model_rows(spark, sf_dir), model, "price", _MODEL_FEATURES))
+
+
 @register
 def perm_importance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = GradientBoosting(max_rounds=3, learning_rate=0.3)
-    found = permutation_importance(
-        _model_rows(spark, sf_dir), model, "price", _MODEL_FEATURES, window=None, repeats=2
-    )
-    return top_importance(found)
+    model = GradientBoosting(learning_rate=_RATE, patience=4)
+    return top_importance(permutation_importance(_model_rows(spark, sf_dir), model, "price", _MODEL_FEATURES, window=None))
 
 
 @register
 def perm_importance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
-    model = WindowRegression(lookback=6)
+    model = WindowRegression()
     fitted = model.fit(rows.where(F.col("pos") < F.col("n") - 168), "price", _MODEL_FEATURES)
     return window_importance(fitted, rows, "price", _MODEL_FEATURES, context=model.context)

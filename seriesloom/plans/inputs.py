@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import DAY
 from ..operators.baselines import baseline_predictions
 from ..operators.grid import to_panel
-from ..operators.positions import with_positions
+from ..operators.positions import rank_sorted, with_positions
 from ..session import materialise
 
 # Results are shown with about ten significant digits: the order of additions, which Spark does not
@@ -87,14 +87,12 @@ def events_predictions(
     return materialise(baseline_predictions(rows, "price", list(horizons), splits))
 
 
-def user_lists(spark: SparkSession, sf_dir: str, top: int = 20) -> DataFrame:
-    """Per event type the users with the largest value sum, as ranked lists."""
+def user_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per event type its users by value sum, as ranked lists."""
     sums = (
         table(spark, sf_dir, "events")
         .groupBy(F.col("event_type").alias("model"), F.col("user_id").cast("string").alias("feature"))
         .agg(exact_sum(F.col("value")).alias("importance"))
     )
-    order = Window.partitionBy("model").orderBy(F.col("importance").desc(), F.col("feature").cast("long"))
-    # The rank filter reaches the map side, so a task sends ``top`` rows per model.
-    ranked = sums.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= top)
-    return materialise(ranked.select("model", "pos", "feature", "importance"))
+    ranked = rank_sorted(sums, keys=["model"], order=[F.col("importance").desc(), F.col("feature").cast("long")])
+    return materialise(ranked.select("model", (F.col("pos") + 1).alias("pos"), "feature", "importance"))

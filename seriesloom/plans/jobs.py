@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import calendar_columns, season_columns
 from ..operators.backtest import block_backtest, walk_forward
 from ..operators.baselines import to_long
+from ..operators.arma import SARIMAX_ORDER, SARIMAX_SEASONAL, SeasonalArma
 from ..operators.autoregression import seasonal_autoregression
 from ..operators.chunks import CHUNK_ROWS, forward_fill
 from ..operators.comparison import diebold_mariano, dm_summary, sorted_summary, wide_predictions
@@ -190,14 +191,17 @@ def backtest_job(
             "series_id", "ts", *labels, F.col("y").alias("Observed")
         )
         write_forecasts(wide, f"{folder}/forecasts_h{h}_hours")
+    importance_of = models | {"SARIMAX": SeasonalArma(SARIMAX_ORDER, SARIMAX_SEASONAL)}
     tail = block_backtest(rows, models, target, names, block=block, blocks=blocks)
     tail = materialise(tail.unionByName(autoregressions([block], blocks, 0)))
     wide = wide_predictions(tail, labels).withColumnRenamed("y", "Observed")
     write_forecasts(wide, f"{folder}/recursive_blocks_h{block}x{blocks}")
     pooled = pooled_ranking(tail)
     write_table(pooled.orderBy("series_id", "rank"), f"{folder}/ranking_recursive_blocks")
-    for name, model in models.items():
-        grown = permutation_importance(rows, model, target, names, repeats=importance_repeats)
+    for name, model in importance_of.items():
+        # The seasonal model is judged by its exogenous columns.
+        columns = exogenous if name == "SARIMAX" else names
+        grown = permutation_importance(rows, model, target, columns, repeats=importance_repeats)
         write_report(top_importance(grown, TOP), f"{folder}/feature_importance_{name.lower()}")
     scores = walk_forward_ranking(found)
     blocks_row = pooled.select(
@@ -236,27 +240,27 @@ def kfold_job(
     return summary
 
 
-def _optional(spark: SparkSession, path: str, position: bool = False) -> DataFrame | None:
+def _optional(spark: SparkSession, path: str, position: bool = False, rejected: str | None = None) -> DataFrame | None:
     if not exists(spark, path):
         log.warning("skipped, not found: %s", path)
         return None
     good, bad = read_smart_csv(spark, path, position=position)
-    report_rejected(path, bad)
+    report_rejected(path, bad, rejected and f"{rejected}/{path.rstrip('/').rsplit('/', 1)[-1]}")
     return good
 
 
-def merged_forecasts(spark: SparkSession, left: str, right: str) -> DataFrame | None:
-    """Outer merge of two forecast files by timestamp."""
-    tables = [_optional(spark, p) for p in (left, right)]
+def merged_forecasts(spark: SparkSession, left: str, right: str, rejected: str | None = None) -> DataFrame | None:
+    """Outer merge of two forecast files by timestamp; ``rejected`` is a folder for malformed lines."""
+    tables = [_optional(spark, p, rejected=rejected) for p in (left, right)]
     if None in tables:
         return None
     ready = [parse_timestamps(coerce_columns(t, ["Observed", *FORECAST_MODELS])) for t in tables]
     return merge_forecasts(*ready)
 
 
-def merged_blocks(spark: SparkSession, left: str, right: str) -> DataFrame | None:
+def merged_blocks(spark: SparkSession, left: str, right: str, rejected: str | None = None) -> DataFrame | None:
     """Inner merge of two block forecast files."""
-    tables = [_optional(spark, p) for p in (left, right)]
+    tables = [_optional(spark, p, rejected=rejected) for p in (left, right)]
     if None in tables:
         return None
     ready = [
@@ -266,12 +270,12 @@ def merged_blocks(spark: SparkSession, left: str, right: str) -> DataFrame | Non
 
 
 def merged_importance(
-    spark: SparkSession, folder: str, files: dict[str, tuple[str, ...]]
+    spark: SparkSession, folder: str, files: dict[str, tuple[str, ...]], rejected: str | None = None
 ) -> DataFrame | None:
     """Importance files side by side; missing files are skipped."""
     frames = []
     for name, prefixes in files.items():
-        lists = _optional(spark, f"{folder}/{name}", position=True)
+        lists = _optional(spark, f"{folder}/{name}", position=True, rejected=rejected)
         if lists is None:
             continue
         wanted = [f"{p}_{kind}" for p in prefixes for kind in ("feature", "importance")]
@@ -285,9 +289,11 @@ def consolidate_job(
 ) -> list[str]:
     """Merge forecasts, importances, blocks and rankings; returns the tables written.
 
-    An output whose inputs are missing is skipped with a warning.
+    An output whose inputs are missing is skipped with a warning. Lines with a wrong
+    field count are kept by file name under ``rejected`` next to the outputs.
     """
     done = []
+    rejected = f"{out}/rejected"
 
     def save(df: DataFrame | None, name: str, write=write_report) -> None:
         if df is not None:
@@ -298,12 +304,12 @@ def consolidate_job(
         write_table(df.orderBy("timestamp"), path)
 
     for label, pair in inputs.forecasts.items():
-        save(merged_forecasts(spark, *[f"{folder}/{f}" for f in pair]), f"forecasts_{label}", by_time)
-    wide = merged_importance(spark, folder, inputs.importance)
+        save(merged_forecasts(spark, *[f"{folder}/{f}" for f in pair], rejected), f"forecasts_{label}", by_time)
+    wide = merged_importance(spark, folder, inputs.importance, rejected)
     save(wide.orderBy("pos").drop("pos") if wide is not None else None, "feature_importance")
     for label, pair in inputs.blocks.items():
-        save(merged_blocks(spark, *[f"{folder}/{f}" for f in pair]), label, by_time)
-    rankings = [_optional(spark, f"{folder}/{f}") for f in inputs.rankings]
+        save(merged_blocks(spark, *[f"{folder}/{f}" for f in pair], rejected), label, by_time)
+    rankings = [_optional(spark, f"{folder}/{f}", rejected=rejected) for f in inputs.rankings]
     if rankings and None not in rankings:
         save(sort_rankings(union_rankings(rankings)), "ranking_models")
     return done

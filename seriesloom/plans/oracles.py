@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from ..functions.permute import round_keys, shuffled_place_sql
 from .inputs import PRECISION
 
 EPS = "1e-9"
@@ -125,8 +126,12 @@ def _simpson(f: str, upper: str, steps: int = 2000) -> str:
     return f"(({upper}) / {steps}.0 / 3 * list_sum([{weight} * {g} FOR k IN range(0, {steps + 1})]))"
 
 
-def dm(models: list[str], h: int = 1) -> str:
+NW_LAGS = "floor(4 * pow(count(*) / 100.0, 2.0 / 9.0))"
+
+
+def dm(models: list[str], h: int = 1, lags: str = NW_LAGS, corrected: bool = True) -> str:
     """CTEs ending in ``tests``: all pairs of the wide forecasts in ``wide_models``."""
+    factor = f"sqrt((n + 1 - 2 * {h} + {h} * ({h} - 1) / n) / n)" if corrected else "1"
     pairs = ", ".join(f"('{a}', '{b}')" for a, b in combinations(models, 2))
     p_norm = "greatest(0, 1 - 2 * 0.3989422804014327 * " + _simpson("exp(-u * u / 2)", "least(abs(dm), 9)") + ")"
     density = "pow(cos(u), n - 2)"
@@ -144,7 +149,7 @@ d AS (
     ON z.model = p.b AND z.series_id = x.series_id AND z.t = x.t CROSS JOIN losses l),
 stats AS (
   SELECT series_id, a, b, loss, count(*) AS n, count(d) AS full_n, avg(d) AS mean_diff,
-    floor(4 * pow(count(*) / 100.0, 2.0 / 9.0))::INTEGER AS nw_lags
+    ({lags})::INTEGER AS nw_lags
   FROM d GROUP BY ALL),
 dc AS (SELECT d.series_id, d.a, d.b, d.loss, t, d - mean_diff AS dc, n, nw_lags
   FROM d JOIN stats s USING (series_id, a, b, loss)),
@@ -157,27 +162,94 @@ cov AS (
 raw AS (
   SELECT s.*, CASE WHEN full_n = n AND s > 0 THEN mean_diff / sqrt(s / n / n) END AS dm_raw
   FROM stats s JOIN cov USING (series_id, a, b, loss)),
-corrected AS (SELECT *, dm_raw * sqrt((n + 1 - 2 * {h} + {h} * ({h} - 1) / n) / n) AS dm FROM raw),
+corrected AS (SELECT *, dm_raw * {factor} AS dm FROM raw),
 tests AS (
   SELECT series_id, a || ' vs ' || b AS pair, loss, CASE WHEN dm IS NOT NULL THEN n::DOUBLE END AS n,
     {h}::INTEGER AS h, CASE WHEN dm IS NOT NULL THEN nw_lags::DOUBLE END AS nw_lags, dm_raw, dm,
     CASE WHEN dm IS NOT NULL THEN {p_norm} END AS p_norm,
-    CASE WHEN dm IS NOT NULL THEN {p_t} END AS p_t,
+    {f"CASE WHEN dm IS NOT NULL THEN {p_t} END" if corrected else "NULL::DOUBLE"} AS p_t,
     CASE WHEN dm IS NOT NULL THEN mean_diff END AS mean_diff,
     CASE WHEN dm IS NULL THEN 'NA' WHEN mean_diff < 0 THEN a ELSE b END AS better
   FROM corrected)"""
 
 
+def _phi(z: str) -> str:
+    """Distribution function of the standard normal."""
+    half = "0.3989422804014327 * " + _simpson("exp(-u * u / 2)", f"least(abs({z}), 9)")
+    return f"greatest(0, 0.5 + sign({z}) * {half})"
+
+
+PRIORITIES = f"""
+panel AS (
+  SELECT o_orderpriority AS series_id, o_orderdate::TIMESTAMP AS ts,
+    {total('o_totalprice')} / count(o_totalprice) AS price
+  FROM orders GROUP BY 1, 2)"""
+
+#: Least squares of y on x1 and x2 from covariances (S11, S22, S12, S1y, S2y, Syy) and means.
+COVARIANCES = """covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y,
+  covar_pop(x2, y) AS s2y, covar_pop(y, y) AS syy, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, count(*) AS rows"""
+
+
+def adf_sql(lags: int) -> str:
+    """Dickey-Fuller regressions with a constant and no lag or one."""
+    x2 = "lag(price) OVER w - lag(price, 2) OVER w"
+    if lags == 0:
+        fit = "s1y / s11 AS b, syy - s1y * s1y / s11 AS ssr, 1 / s11 AS inv"
+    else:
+        det = "(s11 * s22 - s12 * s12)"
+        b1, b2 = f"((s22 * s1y - s12 * s2y) / {det})", f"((s11 * s2y - s12 * s1y) / {det})"
+        fit = f"{b1} AS b, syy - {b1} * s1y - {b2} * s2y AS ssr, s22 / {det} AS inv"
+    small, large = "2.1659 + 1.4412 * adf + 0.038269 * adf ** 2", "1.7339 + 0.93202 * adf - 0.12745 * adf ** 2 - 0.010368 * adf ** 3"
+    return f"""
+SELECT series_id, n, adf, CASE WHEN adf > 2.74 THEN 1 WHEN adf < -18.83 THEN 0 ELSE {_phi("z")} END AS adf_p,
+  {lags}::INTEGER AS used_lag, rows AS nobs
+FROM (SELECT *, CASE WHEN adf <= -1.61 THEN {small} ELSE {large} END AS z
+  FROM (SELECT series_id, n, rows, b / sqrt(ssr * inv / (rows - {lags + 2})) AS adf
+    FROM (SELECT *, {fit} FROM (
+      SELECT series_id, any_value(n) AS n, {COVARIANCES}
+      FROM (SELECT series_id, n, pos, lag(price) OVER w AS x1, {x2} AS x2, price - lag(price) OVER w AS y
+        FROM placed {W}) WHERE pos > {lags} AND n >= 100 GROUP BY 1))))"""
+
+
+def shuffled_sql(size: str, first: str, repeats: int = 10, seed: int = 42) -> str:
+    """CTEs ``valid`` (placed rows of the window) and ``moved`` (its features by place and repeat), fitted as ``plane``."""
+    moves = " UNION ALL ".join(
+        f"SELECT series_id, {r} AS repeat, {shuffled_place_sql('place', 'size', round_keys(seed, r))} AS place, load, net_import FROM valid"
+        for r in range(1, repeats + 1)
+    )
+    return f"""
+windowed AS (SELECT *, {size} AS size, {first} AS first_ FROM placed),
+plane AS (
+  SELECT w1, w2, my - w1 * m1 - w2 * m2 AS w0 FROM (
+    SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS w1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS w2
+    FROM (SELECT {COVARIANCES} FROM (SELECT load AS x1, net_import AS x2, price AS y FROM fitted_rows)))),
+valid AS (SELECT series_id, pos - first_ AS place, size, price, load, net_import FROM windowed WHERE pos >= first_),
+moved AS (SELECT m.series_id, repeat, v.price, m.load AS load_, m.net_import AS net_import_, v.load, v.net_import
+  FROM ({moves}) m JOIN valid v ON m.series_id = v.series_id AND m.place = v.place)"""
+
+
+def importance_sql(by: str) -> str:
+    key = f"{by}, " if by else ""
+    tests = " UNION ALL ".join(
+        f"SELECT {key}'{c}' AS feature, repeat, avg(abs(price - (w0 + w1 * {a} + w2 * {b}))) AS e FROM moved, plane GROUP BY ALL"
+        for c, a, b in (("load", "load_", "net_import"), ("net_import", "load", "net_import_"))
+    )
+    base = f"SELECT {key}avg(abs(price - (w0 + w1 * load + w2 * net_import))) AS base FROM valid, plane GROUP BY ALL"
+    joined = f"JOIN ({base}) USING ({by})" if by else f"CROSS JOIN ({base})"
+    return f"SELECT {key}feature, avg(e) - any_value(base) AS importance FROM ({tests}) {joined} GROUP BY {key}feature"
+
+
 USERS = f"""
 sums AS (SELECT event_type AS model, user_id, {total('value')} AS importance FROM events GROUP BY 1, 2),
 lists AS (
   SELECT model, pos, user_id::VARCHAR AS feature, importance FROM (
-    SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC, user_id) AS pos FROM sums)
-  WHERE pos <= 20)"""
+    SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC, user_id) AS pos FROM sums))"""
+BASELINES = ["persistence", "seasonal_naive", "mean24"]
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 WEIGHTS = f"""
 errors AS (
   SELECT series_id AS model, {'round(avg(MAE), 6)'} AS e FROM (
-    SELECT series_id, fold, avg(abs(y - yhat)) AS MAE FROM pred WHERE model = 'mean24' AND series_id <> 'view'
+    SELECT series_id, fold, avg(abs(y - yhat)) AS MAE FROM pred WHERE model = 'mean24'
     GROUP BY 1, 2) GROUP BY 1),
 weights AS (
   SELECT l.model, CASE WHEN e IS NULL THEN 1.0 / count(*) OVER ()
@@ -329,7 +401,7 @@ first_ AS (SELECT series_id, ts AS timestamp, max(y) AS Observed,
   FROM pred WHERE horizon = 24 GROUP BY 1, 2),
 second_ AS (SELECT series_id, ts AS timestamp, max(y) AS Observed,
   max(yhat) FILTER (model = 'seasonal_naive') AS seasonal_naive, max(yhat) FILTER (model = 'mean24') AS mean24
-  FROM pred WHERE horizon = 72 AND fold < 4 GROUP BY 1, 2)"""
+  FROM pred WHERE horizon = 72 GROUP BY 1, 2)"""
 
 
 def rankings_sql() -> str:
@@ -386,8 +458,7 @@ def oracle_sql() -> dict[str, str]:
               down_reserve, total_gen FROM panel""",
             "price load wind solar net_import up_reserve down_reserve total_gen", PANEL,
         ),
-        "list_files": f"""WITH {USERS} SELECT model, feature, pos::INTEGER AS rank FROM lists
-            WHERE model = 'click' OR (model = 'error' AND pos <= 12) OR (model = 'view' AND pos <= 7)""",
+        "list_files": f"WITH {USERS} SELECT model, feature, pos::INTEGER AS rank FROM lists",
         "summary_files": tidied(
             f"""SELECT series_id, model, avg(MAE) OVER w AS MAE, fold, RMSE
               FROM (SELECT series_id, model, fold, {STRICT} FROM pred GROUP BY ALL)
@@ -510,7 +581,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "block_backtest_rank": tidied(
             f"""SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY MAE, model)::INTEGER AS rank
-              FROM (SELECT series_id, model, {STRICT} FROM pred GROUP BY ALL)""",
+              FROM (SELECT series_id, model, count(yhat) AS n_rows, count(*) - count(yhat) AS n_failed, {STRICT} FROM pred GROUP BY ALL)""",
             METRICS, f"{DAILY}, {predictions([168], 10, 0)}",
         ),
         "health_of_predictions": tidied(
@@ -586,18 +657,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT feature, """
         + ", ".join(
             f"(min(rank) FILTER (model = '{m}'))::DOUBLE AS {m}"
-            for m in ("click", "error", "purchase", "signup", "view")
+            for m in EVENT_TYPES
         )
         + """ FROM ranks WHERE feature IN (
               SELECT feature FROM fused ORDER BY round(final_score, 9) DESC, feature LIMIT 15) GROUP BY 1""",
         "lists_side_by_side": tidied(
-            """SELECT pos, c.feature AS click_feature, c.importance AS click_importance,
-              e.feature AS error_feature, e.importance AS error_importance,
-              v.feature AS view_feature, v.importance AS view_importance
-              FROM (SELECT * FROM lists WHERE model = 'click') c
-              FULL JOIN (SELECT * FROM lists WHERE model = 'error' AND pos <= 12) e USING (pos)
-              FULL JOIN (SELECT * FROM lists WHERE model = 'view' AND pos <= 7) v USING (pos)""",
-            "click_importance error_importance view_importance", USERS,
+            "SELECT pos, "
+            + ", ".join(f"{m}.feature AS {m}_feature, {m}.importance AS {m}_importance" for m in EVENT_TYPES)
+            + " FROM "
+            + " FULL JOIN ".join(
+                f"(SELECT * FROM lists WHERE model = '{m}') {m}" + (" USING (pos)" if i else "")
+                for i, m in enumerate(EVENT_TYPES)
+            ),
+            " ".join(f"{m}_importance" for m in EVENT_TYPES), USERS,
         ),
         "decomposition": tidied(
             """SELECT series_id, ts, price, trend, seasonal, round(price - trend - seasonal, 9) AS resid
@@ -617,6 +689,82 @@ def oracle_sql() -> dict[str, str]:
               places AS (SELECT series_id, place, avg(price - trend) AS m FROM trended GROUP BY 1, 2),
               season AS (SELECT series_id, place, m - avg(m) OVER (PARTITION BY series_id) AS seasonal FROM places)""",
         ),
+        "dm_options": tidied(
+            " UNION ALL ".join(
+                f"SELECT '{v}' AS variant, * FROM (WITH {E72}, wide_models AS (SELECT * FROM pred), {ctes} SELECT * FROM tests)"
+                for v, ctes in (
+                    ("h24", dm(BASELINES, 24, "23")), ("raw", dm(BASELINES, 1, "3", corrected=False)),
+                )
+            ),
+            "dm_raw dm p_norm p_t mean_diff",
+        ),
+        "dm_sorted": f"""WITH {E72}, wide_models AS (SELECT * FROM pred), {dm(BASELINES)},
+            rounded AS (SELECT series_id, pair, loss, {shown('p_t')} AS p_t, {shown('mean_diff')} AS mean_diff FROM tests)
+            SELECT series_id, pair, loss, CASE WHEN p_t < 0.001 THEN '***' WHEN p_t < 0.01 THEN '**' WHEN p_t < 0.05 THEN '*' ELSE '' END AS sig,
+              row_number() OVER (ORDER BY series_id, p_t NULLS LAST, abs(mean_diff) DESC NULLS LAST, pair, loss) - 1 AS place FROM rounded""",
+        "rankings_sorted": f"""WITH {E24_72} SELECT horizon::BIGINT AS HorizonHours, model || '/' || series_id AS model,
+            row_number() OVER (ORDER BY horizon, {shown('MAE')}, model || '/' || series_id) - 1 AS place FROM ({rankings_sql()})""",
+        "consolidated_files": f"""WITH {E24_72}, {TWO_TABLES}
+            SELECT timestamp, round(round(coalesce(f.Observed, s.Observed), 6), 5) AS Observed,
+              round(round(coalesce(f.mean24, s.mean24), 6), 5) AS mean24, round(round(persistence, 6), 5) AS persistence,
+              round(round(seasonal_naive, 6), 5) AS seasonal_naive
+            FROM (SELECT * FROM first_ WHERE series_id = 'view') f FULL JOIN (SELECT * FROM second_ WHERE series_id = 'view') s
+            USING (timestamp)""",
+        "peaks_over_fixed": tidied(
+            "SELECT * FROM peaks", "q threshold MAE_peaks MAE_nonpeaks WMAE precision_peak recall_peak f1_peak",
+            f"""{E72}, limits AS (SELECT series_id, q, 60.0::DOUBLE AS threshold FROM (SELECT DISTINCT series_id FROM pred),
+              (VALUES (0.95::DOUBLE), (0.92), (0.89)) v(q)), {PEAKS[PEAKS.index('scored AS'):]}""",
+        ),
+        "rank_by_importance": f"WITH {USERS} SELECT model, feature, pos::INTEGER AS rank FROM lists",
+        "loaded_tables": tidied(
+            " UNION ALL ".join(f"SELECT '{k}' AS source, ts, series_id, price, load FROM panel" for k in ("csv", "parquet")),
+            "price load", PANEL,
+        ),
+        "feature_file": tidied(
+            "SELECT * FROM panel WHERE wind IS NOT NULL AND solar IS NOT NULL",
+            "price load wind solar net_import up_reserve down_reserve total_gen", PANEL,
+        ),
+        "typed_file": tidied("SELECT series_id, ts, load, wind, solar FROM panel", "load wind solar", PANEL),
+        "exogenous_table": f"WITH {PANEL}, filled AS (SELECT * FROM panel) "
+        + missing_sql(["wind", "solar", "net_import", "up_reserve", "down_reserve"]),
+        "iso_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events",
+        "adf_fixed": tidied(
+            " UNION ALL ".join(adf_sql(k) for k in (0, 1)), "adf adf_p", f"{PRIORITIES}, {POSITIONS}",
+        ),
+        "perm_importance_linear": tidied(
+            importance_sql("series_id"), "importance",
+            f"""{PANEL}, {POSITIONS}, fitted_rows AS (
+              SELECT * FROM placed WHERE pos < n - least(168, greatest(24, n - 1))),
+              {shuffled_sql("least(168, greatest(24, n - 1))", "n - least(168, greatest(24, n - 1))")}""",
+        ),
+        "perm_importance_all_rows": tidied(
+            importance_sql(""), "importance",
+            f"{PANEL}, {POSITIONS}, fitted_rows AS (SELECT * FROM placed), {shuffled_sql('n', '0')}",
+        ),
+        "walk_forward_linear": tidied(
+            """SELECT series_id, horizon, fold, ts, 'plane' AS model, my + w1 * (load - m1) + w2 * (net_import - m2) AS yhat
+              FROM folds JOIN planes USING (horizon, fold) WHERE pos >= start_ AND pos < start_ + horizon""",
+            "yhat",
+            f"""{PANEL}, {POSITIONS}, folds AS (
+              SELECT p.*, horizon, fold::INTEGER AS fold, n - horizon * (5 - fold) AS start_
+              FROM placed p, (VALUES (24), (168), (336), (744)) h(horizon), range(0, 5) f(fold) WHERE n > horizon * 6),
+              planes AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS w1,
+                (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS w2
+                FROM (SELECT horizon, fold, {COVARIANCES} FROM (
+                  SELECT horizon, fold, load AS x1, net_import AS x2, price AS y FROM folds WHERE pos < start_) GROUP BY 1, 2))""",
+        ),
+        "block_backtest_linear": tidied(
+            """SELECT series_id, 168 AS horizon, fold, ts, 'line' AS model, my + s1y / s11 * (load - m1) AS yhat
+              FROM folds JOIN (SELECT fold, covar_pop(load, price) AS s1y, covar_pop(load, load) AS s11, avg(load) AS m1,
+                avg(price) AS my FROM folds WHERE pos < start_ GROUP BY 1) USING (fold) WHERE pos >= start_ AND pos < start_ + 168""",
+            "yhat",
+            f"""{DAILY}, {POSITIONS}, folds AS (SELECT p.*, fold::INTEGER AS fold, n - 168 * (10 - fold) AS start_
+              FROM placed p, range(0, 10) f(fold) WHERE n > 1680)""",
+        ),
+        "failed_series": f"""WITH {PANEL}, {POSITIONS}
+            SELECT series_id, 'plane' AS model, 48 AS horizon, fold::INTEGER AS fold, 'infinite value of load' AS error, 48::BIGINT AS rows
+            FROM (SELECT DISTINCT series_id, n, CASE series_id WHEN 'click' THEN 0 WHEN 'view' THEN n - 200 END AS at_ FROM placed),
+              range(0, 5) f(fold) WHERE n > 240 AND at_ < n - 48 * (5 - fold)""",
         "kpss_levels": tidied(
             f"SELECT series_id, n, lags, kpss, {KPSS_P} AS kpss_p FROM stat", "kpss kpss_p",
             f"{PANEL}, {POSITIONS}, {KPSS}",

@@ -200,11 +200,13 @@ def _with_line_numbers(raw: DataFrame) -> DataFrame:
     )
 
 
-def report_rejected(path: str, bad: DataFrame) -> int:
-    """Number of rejected lines of a file; they are logged, not dropped in silence."""
+def report_rejected(path: str, bad: DataFrame, keep: str | None = None) -> int:
+    """Number of rejected lines of a file; they are logged, and kept as a text table in ``keep``."""
     count = bad.count()
     if count:
         log.warning("%s: %s lines with a wrong field count rejected, first: %s", path, count, bad.first()["line"])
+        if keep:
+            bad.write.mode("append").text(keep)
     return count
 
 

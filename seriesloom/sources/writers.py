@@ -1,11 +1,13 @@
 """Writers: complete Parquet tables, forecast CSVs, JSON fold summaries.
 
-Output folders are Spark folders; the committer makes a write appear whole or not
-at all, so no lock handling is needed.
+Output folders are Spark folders; the committer makes a write appear whole or not at
+all. Tables refuse a name that is taken, reports go to a second one.
 """
 
 from __future__ import annotations
 
+import logging
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +16,10 @@ from pyspark.sql import types as T
 
 from ..functions.text import BOM
 from ..functions.time import as_column
+from .files import move_to_free_name
 
 DECIMALS = 6
+log = logging.getLogger(__name__)
 
 
 def iso_time(c) -> Column:
@@ -67,13 +71,21 @@ def write_table(df: DataFrame, path: str, *, mode: str = "errorifexists") -> Non
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_report(df: DataFrame, path: str, *, bom: bool = False, mode: str = "errorifexists") -> None:
-    """Report as one CSV part, for tables of a row per model or feature.
+def write_report(df: DataFrame, path: str, *, bom: bool = False) -> str:
+    """Report as CSV, ordered part files if the input is ordered; returns where it is.
 
-    With ``bom`` the first header carries a byte order mark.
+    With ``bom`` the first header carries a byte order mark. The report is written beside
+    its target and renamed when it is whole. An older report is neither overwritten nor
+    mixed with: if the name is taken, the new one gets the time as a suffix.
     """
     shown = df.withColumnRenamed(df.columns[0], BOM + df.columns[0]) if bom else df
-    shown.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    staged = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    shown.write.option("header", True).csv(staged)
+    written = move_to_free_name(df.sparkSession, staged, path)
+    if written != path.rstrip("/"):
+        log.warning("%s is taken, the report is %s", path, written)
+    return written
 
 
 def write_summary(summary: DataFrame, path: str, *, mode: str = "errorifexists") -> None:

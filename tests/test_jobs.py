@@ -106,6 +106,7 @@ def test_backtest_and_kfold_jobs(spark, features, tmp_path):
     table = read_csv(spark, tmp_path / "forecasts_h12_hours")
     assert table.columns == ["timestamp", "series_id", "GBR", "SARIMA", "SARIMAX", "Observed"] and table.count() == 24
     assert read_csv(spark, tmp_path / "feature_importance_gbr").count() == 3
+    assert read_csv(spark, tmp_path / "feature_importance_sarimax").columns == ["feature", "importance"]
     summary = kfold_job(some, "price", str(tmp_path / "k"), WindowRegression(lookback=3), "WIN", horizons=[12], splits=2)
     assert all(len(r.folds.MAE) == 2 for r in summary.collect())
     assert spark.read.json(str(tmp_path / "k" / "kfold_summary")).count() == 2
@@ -135,6 +136,8 @@ def test_consolidate_rank_and_evaluate(spark, tmp_path):
     merged = read_csv(spark, f"{out}/forecasts_24h")
     assert merged.columns == ["timestamp", "Observed", "GBR", "TiDE", "XGB"] and merged.count() == 60
     assert read_csv(spark, f"{out}/ranking_models").count() == 2
+    # The malformed line of the second ranking file is kept next to the outputs.
+    assert [r.value for r in spark.read.text(f"{out}/rejected/r2.csv").collect()] == ["GBR,168,47,004"]
     fused = ranking_job(spark, f"{out}/feature_importance".replace("feature_importance", "feature_importance/"), f"{out}/ranking_models", f"{out}/rank")
     scores = {r.feature: r.final_score for r in fused.collect()}
     assert max(scores, key=scores.get) == "load" and scores["sun"] == 0.0

@@ -155,3 +155,14 @@ def test_line_numbers_run_over_splits_and_part_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     want = [(p * 3000 + i, f"f{p}_{i}") for p in range(2) for i in range(3000) if i != 7]
     assert [(r.pos, r.name) for r in rows] == want
+
+
+def test_a_taken_report_gets_a_second_name(spark, tmp_path):
+    target = str(tmp_path / "report")
+    old, new = (spark.createDataFrame([(i,) for i in rows], "x int") for rows in ((1, 2), (3, 4, 5)))
+    assert write_report(old, target) == target
+    second = write_report(new.orderBy("x"), target)
+    assert second.startswith(f"{target}_2") and write_report(old, target) not in (target, second)
+    assert sorted(r.x for r in spark.read.csv(target, header=True).collect()) == ["1", "2"]
+    assert sorted(r.x for r in spark.read.csv(second, header=True).collect()) == ["3", "4", "5"]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".")]
