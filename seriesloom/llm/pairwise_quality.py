@@ -12,6 +12,7 @@ labels; scores are reported as probabilities on either side of it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -133,11 +134,45 @@ def fit_bradley_terry(pairs: DataFrame, size: int, *, ridge: float = 1.0, rounds
     return weights
 
 
-def linear(weights: np.ndarray) -> Column:
-    total = F.lit(0.0)
+@dataclass(frozen=True)
+class QualityModel:
+    """Weights of the features and the raw score at which a text is as likely good as bad."""
+
+    weights: tuple[float, ...]
+    cut: float
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(np.clip(self.cut - features @ np.array(self.weights), -50, 50)))
+
+
+def is_held_out(id_column: str) -> Column:
+    """Whether the crc32 of the id, modulo 3, is 1."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def fit_quality(
+    features: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", label: str = "quality", partners: int = PARTNERS
+) -> QualityModel:
+    """The ranking of ``features`` (id, features) learnt from the labels that are not held out.
+
+    An id with labels that contradict one another is not learnt from.
+    """
+    held = is_held_out(id_column)
+    known = labels.where(~held).groupBy(id_column).agg(F.min(label).alias(label), F.max(label).alias("__other"))
+    known = known.where(F.col(label) == F.col("__other")).drop("__other")
+    labelled = materialise(features.where(~held).join(known, id_column))
+    pairs = materialise(preference_pairs(labelled, id_column=id_column, label=label, partners=partners))
+    weights = fit_bradley_terry(pairs, len(FEATURES))
+    raw = F.lit(0.0)
     for i, w in enumerate(weights.tolist()):
-        total = total + F.lit(w) * F.col("features")[i]
-    return total
+        raw = raw + F.lit(w) * F.col("features")[i]
+    # Quantile of the training scores at the share of bad labels; accuracy 1e-4 of the ranks.
+    trained = labelled.where(F.col(label).isin(0, 1)).select(raw.alias("s"), F.col(label).alias("y"))
+    share = trained.agg(F.avg(F.when(F.col("y") == 0, 1.0).otherwise(0.0))).first()[0]
+    cut = 0.0
+    if share is not None:
+        cut = trained.agg(F.percentile_approx("s", float(share), 10_000)).first()[0]
+    return QualityModel(tuple(weights.tolist()), float(cut))
 
 
 def score_quality(
@@ -153,25 +188,42 @@ def score_quality(
 
     Documents whose crc32 of the id, modulo 3, is 1 are held out: their labels are
     never read. Scores come from the text alone. Null and empty texts have the
-    features of a text without words and get its score. Labels other than 0 and 1
-    and null ids are not learnt from; with no pair of labels every score is 0.5.
-    Repeated rows are each returned; ties get equal scores; further columns are
-    ignored; an empty table gives an empty result.
+    features of a text without words and get its score. Labels other than 0 and 1,
+    contradicting labels of one id and null ids are not learnt from; with no pair of
+    labels every score is 0.5. Repeated rows are each returned; ties get equal scores;
+    further columns are ignored; an empty table gives an empty result.
     """
     features = materialise(text_features(documents, id_column=id_column, text=text))
-    held = (F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1)
-    known = labels.select(id_column, label).where(~held).dropDuplicates([id_column])
-    labelled = materialise(features.where(~held).join(known, id_column))
-    pairs = materialise(preference_pairs(labelled, id_column=id_column, label=label, partners=partners))
-    weights = fit_bradley_terry(pairs, len(FEATURES))
-    raw = linear(weights)
-    # Quantile of the training scores at the share of bad labels; accuracy 1e-4 of the ranks.
-    trained = labelled.where(F.col(label).isin(0, 1)).select(raw.alias("s"), F.col(label).alias("y"))
-    share = trained.agg(F.avg(F.when(F.col("y") == 0, 1.0).otherwise(0.0))).first()[0]
-    cut = 0.0
-    if share is not None:
-        cut = trained.agg(F.percentile_approx("s", float(share), 10_000)).first()[0]
-    score = 1 / (1 + F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.lit(cut) - raw))))
-    return features.select(
-        id_column, F.coalesce(held, F.lit(False)).alias("held_out"), score.alias("score")
-    ).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    model = fit_quality(features, labels, id_column=id_column, label=label, partners=partners)
+    kind = features.schema[id_column].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = model.scores(batch.column(2).flatten().to_numpy().reshape(-1, len(FEATURES)))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found)], names=[id_column, "held_out", "score"])
+
+    scored = features.select(id_column, is_held_out(id_column).alias("held_out"), "features")
+    scored = scored.mapInArrow(score, f"{id_column} {kind}, held_out boolean, score double")
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def keep_good(
+    documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "quality"
+) -> DataFrame:
+    """The documents with a score of one half or more; columns are those of the input.
+
+    Learnt as in ``score_quality``. Texts are scored where they are read, so only
+    features are ever shuffled; rows are judged by their own text, repeated or not.
+    """
+    features = materialise(text_features(documents, id_column=id_column, text=text))
+    model = fit_quality(features, labels, id_column=id_column, label=label)
+    columns = documents.columns
+    place = columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in word_slices(batch.column(place), VISIBLE, lower=False):
+                good = model.scores(_features(words)) >= 0.5
+                yield batch.slice(words.rows.start, len(words.rows)).filter(pa.array(good))
+
+    return documents.mapInArrow(keep, documents.schema)

@@ -15,7 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
+KEPT_POWERS = 1 << 18
 _U = np.uint64
 
 
@@ -47,21 +48,26 @@ def salted(values, salt: int) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, kept as far as they were needed."""
+    """Powers of an odd base and of its inverse modulo 2**64, the first ``KEPT_POWERS`` of them kept."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 2**64)
         self.up = self.down = np.ones(1, dtype=_U)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > KEPT_POWERS:  # a single long text; the worker goes on without its table
+            return self._powers(self.base, n), self._powers(self.inverse, n)
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, dtype=_U)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=_U))
+            size = min(KEPT_POWERS, max(n, 2 * len(self.up)))
+            self.up, self.down = self._powers(self.base, size), self._powers(self.inverse, size)
         return self.up[:n], self.down[:n]
 
+    @staticmethod
+    def _powers(base: int, size: int) -> np.ndarray:
+        steps = np.full(size, base, dtype=_U)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=_U)
+
 
 _LETTERS, _WORDS = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
 _LETTERS2, _WORDS2 = Powers(0xA0761D6478BD642F), Powers(0xE7037ED1A0B428DB)
