@@ -7,25 +7,21 @@ kept; the result is written as Parquet and read again as the next stage's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seriesloom.llm.decontaminate import remove_contaminated
 from seriesloom.llm.minhash import keep_first_of_class
 from seriesloom.llm.mixing import documents_in_mix
-from seriesloom.llm.pairwise_quality import score_quality
+from seriesloom.llm.pairwise_quality import keep_good
 from seriesloom.llm.sharding import shard_documents
 from seriesloom.session import materialise
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise quality classifier accepts (null and empty texts are judged too).
+    """Documents that the pairwise quality classifier accepts, each row by its own text.
 
-    A document id that occurs several times, with different texts or not, is judged by
-    its best-scored row.
+    Null and empty texts are judged as texts without words.
     """
-    scores = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    accepted = scores.where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(accepted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
