@@ -41,31 +41,58 @@ FURNITURE = frozenset(
     "breadcrumbs pagination pager comment comments disqus respond replies reply login search widget toolbar toc "
     "skip masthead hidden paywall contentinfo complementary".split()
 )
+#: A class with one of these parts tells what a layout has, not what the element is.
+MODIFIERS = frozenset("has no not with without layout".split())
+#: Between the containers of a path; white space, so no class can hold it.
+STEP = "\x1f"
 _DIGITS = re.compile(r"\d+")
 
 
 class _Page(HTMLParser):
-    """Blocks of a page: (container path, text, furniture, characters inside links)."""
+    """Blocks of a page: (container path, text, furniture, characters inside links).
+
+    Elements that are never article text are furniture for certain. A form, and an element
+    whose names say so, is furniture unless it turns out to hold most of the page's plain
+    text; an element marked by its names must also hold the page's heading or article.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple]] = []  # tag, furniture, container path
-        self.blocks: list[tuple[tuple, str, bool, int]] = []
+        self.stack: list[tuple[str, bool, tuple, tuple]] = []  # tag, furniture, doubtful elements around it, path
+        self.found: list[tuple[tuple, str, bool, tuple, int]] = []
+        self.doubtful: list[bool] = []  # whether such an element is a form or holds a heading or article
         self.text: list[str] = []
         self.links = self.inside_links = 0
 
+    @property
+    def around(self) -> tuple[str, bool, tuple, tuple]:
+        return self.stack[-1] if self.stack else ("", False, (), ())
+
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                _, furniture, path = self.stack[-1] if self.stack else ("", False, ())
-                self.blocks.append((path, text, furniture, self.links))
+                _, furniture, doubts, path = self.around
+                self.found.append((path, text, furniture, doubts, self.links))
             self.text, self.links = [], 0
 
+    def blocks(self) -> list[tuple[tuple, str, bool, int]]:
+        total, held = 0, [0] * len(self.doubtful)
+        for _, text, furniture, doubts, links in self.found:
+            plain = 0 if furniture else max(0, len(text) - links)
+            total += plain
+            for d in doubts:
+                held[d] += plain
+        cleared = [may and 2 * own > total for may, own in zip(self.doubtful, held, strict=True)]
+        return [
+            (path, text, furniture or not all(cleared[d] for d in doubts), links)
+            for path, text, furniture, doubts, links in self.found
+        ]
+
     def pop(self, to: int) -> None:
-        if any(tag in BLOCKS or tag in SKIPPED for tag, _, _ in self.stack[to:]):
+        if any(tag in BLOCKS or tag in SKIPPED for tag, *_ in self.stack[to:]):
             self.flush()
-        for tag, _, _ in self.stack[to:]:
+        for tag, *_ in self.stack[to:]:
             self.inside_links -= tag == "a"
         del self.stack[to:]
 
@@ -89,29 +116,41 @@ class _Page(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        _, furniture, path = self.stack[-1] if self.stack else ("", False, ())
+        _, furniture, doubts, path = self.around
         names = dict(attrs)
         marks = " ".join(filter(None, (names.get("class"), names.get("id"), names.get("role"))))
-        if not furniture:
-            furniture = (
-                tag in SKIPPED
-                or "hidden" in names
-                or names.get("aria-hidden") == "true"
-                or re.search(r"display\s*:\s*none", names.get("style") or "") is not None
-                or (tag not in ("html", "body", "article", "main") and self.is_furniture(marks))
-                or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack))
-            )
-            if tag in ("div", "section") and not any(t in ("article", "main") for t, _, _ in self.stack):
-                furniture = furniture or "header" in re.split(r"[^a-z]+", marks.lower())
+        inner = any(t in ("article", "main") for t, *_ in self.stack)
+        furniture = (
+            furniture
+            or (tag in SKIPPED and tag != "form")
+            or "hidden" in names
+            or names.get("aria-hidden") == "true"
+            or re.search(r"display\s*:\s*none", names.get("style") or "") is not None
+            or (tag == "header" and not inner)
+        )
+        if not furniture and tag not in ("html", "body", "article", "main"):
+            parts = self.parts(marks)
+            if tag == "form" or parts & FURNITURE or (tag in ("div", "section") and not inner and "header" in parts):
+                doubts = (*doubts, len(self.doubtful))
+                self.doubtful.append(tag == "form")
+        if tag in ("h1", "main") or (tag == "article" and not self.parts(marks) & FURNITURE):
+            for d in doubts:
+                self.doubtful[d] = True
         if tag in CONTAINERS:
             classes = ".".join(sorted({_DIGITS.sub("#", c.lower()) for c in (names.get("class") or "").split()}))
             path = (*path, f"{tag}.{classes}" if classes else tag)
         self.inside_links += tag == "a"
-        self.stack.append((tag, furniture, path))
+        self.stack.append((tag, furniture, doubts, path))
 
     @staticmethod
-    def is_furniture(marks: str) -> bool:
-        return any(part.lower() in FURNITURE for part in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", marks))
+    def parts(marks: str) -> set[str]:
+        """Lower-cased parts of all names but those with a modifier."""
+        found: set[str] = set()
+        for name in marks.split():
+            own = {part.lower() for part in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", name)}
+            if not own & MODIFIERS:
+                found |= own
+        return found
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -137,7 +176,7 @@ def page_blocks(html: str | None) -> list[tuple[tuple, str, bool, int]]:
     page.feed(html or "")
     page.close()
     page.flush()
-    return page.blocks
+    return page.blocks()
 
 
 def best_container(blocks: list[tuple[tuple, str, bool, int]]) -> tuple[tuple, float]:
@@ -179,7 +218,7 @@ def extract_main_text(pages: DataFrame, *, id_column: str = "page_id", url: str
             paths, weights = [], []
             for page in batch.column(1):
                 path, score = best_container(page_blocks(page.as_py()))
-                paths.append("/".join(path))
+                paths.append(STEP.join(path))
                 weights.append(math.log1p(max(score, 0.0)))
             yield pa.record_batch(
                 [batch.column(0), pa.array(paths, pa.string()), pa.array(weights, pa.float64())], names=["host", "path", "weight"]
@@ -204,7 +243,7 @@ def extract_main_text(pages: DataFrame, *, id_column: str = "page_id", url: str
             texts = []
             for page, path in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 blocks = page_blocks(page.as_py())
-                text = main_text(blocks, tuple(path.split("/"))) if path else ""
+                text = main_text(blocks, tuple(path.split(STEP))) if path else ""
                 texts.append(text or main_text(blocks, best_container(blocks)[0]))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

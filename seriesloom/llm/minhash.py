@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 from .graph import connected_components
-from .text import mix, ragged, sequence_hashes, signed, text_bytes, salted, window_hashes, word_slices
+from .text import mix, ragged, sequence_hashes, signed, salted, window_hashes, word_slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -117,11 +117,10 @@ def signatures(documents: DataFrame, *, text: str, id_column: str, bands: int, r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(1))
             missing = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             nodes, checks, sizes, sig = [], [], [], []
             for w in word_slices(batch.column(1)):
-                one, two = _identity(w, texts)
+                one, two = _identity(w)
                 shingles, ends = _shingles(w, k)
                 for i in range(len(w.counts)):
                     own = shingles[ends[i] : ends[i + 1]]
@@ -156,7 +155,7 @@ def signatures(documents: DataFrame, *, text: str, id_column: str, bands: int, r
     )
 
 
-def _identity(words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _identity(words) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes per text: of its word sequence, or of its bytes where it has no word."""
     one, two = sequence_hashes(words)
     bare = np.flatnonzero(words.counts == 0)
@@ -173,9 +172,8 @@ def with_node(documents: DataFrame, *, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(place))
             missing = batch.column(place).is_null().to_numpy(zero_copy_only=False)
-            nodes = [_identity(w, texts)[0] for w in word_slices(batch.column(place))]
+            nodes = [_identity(w)[0] for w in word_slices(batch.column(place))]
             if nodes:
                 yield pa.record_batch(
                     [*batch.columns, pa.array(signed(np.concatenate(nodes)), mask=missing)],
@@ -192,7 +190,6 @@ def _shingle_sets(documents: DataFrame, *, text: str, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(0))
             for w in word_slices(batch.column(0)):
                 shingles, ends = _shingles(w, k)
                 for i in range(len(w.counts)):
@@ -202,7 +199,7 @@ def _shingle_sets(documents: DataFrame, *, text: str, k: int) -> DataFrame:
                     nth = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
                     shingles[ends[i] : ends[i + 1]] = own ^ salted(nth, 10)
                 yield pa.record_batch(
-                    [pa.array(signed(_identity(w, texts)[0])), ragged(signed(shingles), ends, pa.int64())],
+                    [pa.array(signed(_identity(w)[0])), ragged(signed(shingles), ends, pa.int64())],
                     names=["node", "shingles"],
                 )
 

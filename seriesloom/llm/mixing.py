@@ -29,6 +29,7 @@ from ..session import materialise
 
 PERIOD, BLOCK_ROWS = 1000, 4
 MAX_SOURCES = 1000
+ADDED = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "in_mix")
 
 
 def integer_shares(weights: DataFrame, period: int) -> DataFrame:
@@ -203,9 +204,8 @@ def mix_sources(
     count = totals.count()
     if count > MAX_SOURCES or 2 * count > period:
         raise ValueError(f"{count} sources; at most {min(MAX_SOURCES, period // 2)} fit a period of {period}")
-    added = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "in_mix")
     if not count:
-        nothing = {c: F.lit(None).cast("long") for c in added[:4]} | {"in_mix": F.lit(False)}
+        nothing = {c: F.lit(None).cast("long") for c in ADDED[:4]} | {"in_mix": F.lit(False)}
         return documents.withColumns(nothing).where(F.lit(False))
     if weights is None:
         weighed = totals.select("source_key", F.pow(F.col("rows").cast("double"), F.lit(temper)).alias("weight"))
@@ -249,7 +249,7 @@ def mix_sources(
         (F.col("__key") == F.col("__of")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__stop")),
     )
     return placed.select(
-        *[c for c in documents.columns if c not in added],
+        *[c for c in documents.columns if c not in ADDED],
         F.col("__block").alias("mix_block"),
         (F.col("__start") + F.floor(turn / F.col("__weight"))).cast("long").alias("mix_release"),
         (F.col("__start") + F.ceil((turn + 1) / F.col("__weight"))).cast("long").alias("mix_deadline"),
@@ -259,7 +259,10 @@ def mix_sources(
 
 
 def documents_in_mix(documents: DataFrame, **options) -> DataFrame:
-    """All documents in mixed order: the columns of the input and ``mix_slot``, sorted by it."""
+    """All documents in mixed order: the columns of the input and ``mix_slot``, sorted by it.
+
+    A column of that name, or of one that ``mix_sources`` adds, is replaced or left out.
+    """
     mixed = mix_sources(documents, **options)
-    kept = [c for c in documents.columns if c in mixed.columns]
+    kept = [c for c in documents.columns if c in mixed.columns and c not in ADDED]
     return mixed.select(*kept, "mix_slot").orderBy("mix_slot")

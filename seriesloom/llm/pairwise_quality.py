@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .quality_rules import MEASURES, measure
+from .quality_rules import measure
 from .text import VISIBLE, word_slices
 
 FEATURES = (

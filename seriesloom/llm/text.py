@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 17
 KEPT_POWERS = 1 << 18
@@ -165,10 +166,16 @@ def slices(texts: list[bytes], size: int = SLICE_BYTES) -> Iterator[range]:
 def word_slices(
     column: pa.Array, table: np.ndarray = ALNUM, lower: bool = True, size: int = SLICE_BYTES
 ) -> Iterator[Words]:
-    """Words of all texts of an Arrow column, slice by slice."""
-    texts = text_bytes(column)
-    for rows in slices(texts, size):
-        yield words_of(texts[rows.start : rows.stop], rows, table, lower)
+    """Words of all texts of an Arrow column, slice by slice; only one slice is taken out at a time."""
+    if not len(column):
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    begin = 0
+    while begin < len(upto):
+        before = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + size, side="right")))
+        yield words_of(text_bytes(column.slice(begin, end - begin)), range(begin, end), table, lower)
+        begin = end
 
 
 def sequence_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:

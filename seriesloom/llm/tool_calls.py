@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator, Mapping
 from typing import Any
 
@@ -23,12 +24,26 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
+DEPTH = 200
+_SURROGATE = re.compile("[\ud800-\udfff]")
 TURNS_PER_BUCKET = 512
 
 
 def canonical(value: Any) -> str:
-    """JSON text that equal values share: sorted keys, no blanks, whole floats as integers."""
-    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON text that equal values share: sorted keys, no blanks, whole floats as integers.
+
+    Halves of surrogate pairs, which UTF-8 cannot hold, are written as escapes.
+    """
+    return escaped(json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def escaped(text: str) -> str:
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _named(value: Any) -> str | None:
+    """An id or a name as text, whatever JSON value it is."""
+    return None if value is None else escaped(value) if isinstance(value, str) else canonical(value)
 
 
 def _plain(value: Any) -> Any:
@@ -43,15 +58,61 @@ def _plain(value: Any) -> Any:
     return value
 
 
+def too_deep(value: Any) -> bool:
+    """Whether lists and objects are nested more than ``DEPTH`` times."""
+    stack = [(value, 1)]
+    while stack:
+        item, depth = stack.pop()
+        if isinstance(item, (dict, list)):
+            if depth > DEPTH:
+                return True
+            stack += [(v, depth + 1) for v in (item.values() if isinstance(item, dict) else item)]
+    return False
+
+
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float),
 }
+_CHECKED = {
+    "type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength",
+    "pattern", "items", "minItems", "maxItems", "uniqueItems", "properties", "required", "additionalProperties", "anyOf",
+}
+_NOTES = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
+
+
+def check_schema(schema: Mapping[str, Any], at: str = "$") -> None:
+    """Raises if a schema asks for something that ``problems`` does not check."""
+    if not isinstance(schema, Mapping):
+        raise ValueError(f"{at}: a schema has to be an object")
+    if unknown := sorted(set(schema) - _CHECKED - _NOTES):
+        raise ValueError(f"{at}: unsupported in a schema: {', '.join(unknown)}")
+    names = schema.get("type", [])
+    if wrong := [n for n in ([names] if isinstance(names, str) else names) if n not in _TYPES]:
+        raise ValueError(f"{at}: unknown type {wrong[0]!r}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: additionalProperties has to be true or false")
+    if "pattern" in schema:
+        re.compile(schema["pattern"])
+    for name, inner in schema.get("properties", {}).items():
+        check_schema(inner, f"{at}.{name}")
+    for i, inner in enumerate(schema.get("anyOf", [])):
+        check_schema(inner, f"{at}.anyOf[{i}]")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
+def _is(value: Any, name: str) -> bool:
+    if isinstance(value, bool):
+        return name == "boolean"
+    if name == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, _TYPES[name])
 
 
 def problems(value: Any, schema: Mapping[str, Any], at: str = "$") -> list[str]:
-    """Ways in which a value breaks a schema (type, enum, bounds, lengths, items, properties).
+    """Ways in which a value breaks a schema of the keywords that ``check_schema`` lets pass.
 
-    A reference to another call's result stands for any value.
+    A reference to another call's result stands for any value. Whole floats are integers.
     """
     if isinstance(value, dict) and set(value) == {"$ref"}:
         return []
@@ -59,20 +120,30 @@ def problems(value: Any, schema: Mapping[str, Any], at: str = "$") -> list[str]:
     names = schema.get("type")
     if names is not None:
         names = [names] if isinstance(names, str) else names
-        wrong_bool = isinstance(value, bool) and "boolean" not in names
-        if wrong_bool or not any(isinstance(value, _TYPES[n]) for n in names):
+        if not any(_is(value, n) for n in names):
             return [f"{at}: not {'/'.join(names)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in [canonical(v) for v in schema["enum"]]:
         found.append(f"{at}: not one of the allowed values")
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        found.append(f"{at}: not the required value")
+    if "anyOf" in schema and all(problems(value, s, at) for s in schema["anyOf"]):
+        found.append(f"{at}: fits none of the alternatives")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        if value < schema.get("minimum", value):
+        if value < schema.get("minimum", value) or value <= schema.get("exclusiveMinimum", value - 1):
             found.append(f"{at}: below the minimum")
-        if value > schema.get("maximum", value):
+        if value > schema.get("maximum", value) or value >= schema.get("exclusiveMaximum", value + 1):
             found.append(f"{at}: above the maximum")
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
-        found.append(f"{at}: length out of range")
-    if isinstance(value, list) and "items" in schema:
-        for i, v in enumerate(value):
+    if isinstance(value, str):
+        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+            found.append(f"{at}: length out of range")
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            found.append(f"{at}: does not match the pattern")
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            found.append(f"{at}: number of items out of range")
+        if schema.get("uniqueItems") and len({canonical(v) for v in value}) < len(value):
+            found.append(f"{at}: repeated items")
+        for i, v in enumerate(value if "items" in schema else []):
             found += problems(v, schema["items"], f"{at}[{i}]")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -82,13 +153,13 @@ def problems(value: Any, schema: Mapping[str, Any], at: str = "$") -> list[str]:
                 found += problems(v, known[k], f"{at}.{k}")
             elif schema.get("additionalProperties") is False:
                 found.append(f"{at}.{k}: unknown")
-    return found
+    return [escaped(f) for f in found]
 
 
 def _refs(value: Any) -> list[str]:
     if isinstance(value, dict):
         if set(value) == {"$ref"}:
-            return [str(value["$ref"])]
+            return [_named(value["$ref"]) or ""]
         return [r for v in value.values() for r in _refs(v)]
     return [r for v in value for r in _refs(v)] if isinstance(value, list) else []
 
@@ -112,18 +183,20 @@ def parse_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -
             for raw in batch.column(3).to_pylist():
                 call = _load(raw)
                 call = call if isinstance(call, dict) else {}
-                name, arguments = call.get("name"), call.get("arguments")
                 wrong = [] if call.get("id") is not None else ["no id"]
-                if name not in schemas:
+                if too_deep(call):  # kept as it was written
+                    wrong.append("nested too deeply")
+                    call = {k: v for k, v in call.items() if k in ("id", "name") and isinstance(v, (str, int, float))}
+                    call["arguments"] = raw
+                    refs: list[str] = []
+                else:
+                    refs = sorted(set(_refs(call.get("arguments"))))
+                name, arguments = call.get("name"), call.get("arguments")
+                if not isinstance(name, str) or name not in schemas:
                     wrong.append("unknown tool")
                 else:
                     wrong += problems(arguments, schemas[name])
-                out.append(
-                    (
-                        None if call.get("id") is None else str(call["id"]), None if name is None else str(name),
-                        canonical(arguments), sorted(set(_refs(arguments))), sorted(wrong),
-                    )
-                )
+                out.append((_named(call.get("id")), _named(name), canonical(arguments), refs, sorted(wrong)))
             text, many = pa.string(), pa.list_(pa.string())
             yield pa.record_batch(
                 [*batch.columns[:3], *[pa.array([r[i] for r in out], k) for i, k in enumerate((text, text, text, many, many))]],
@@ -145,7 +218,10 @@ def parse_results(messages: DataFrame) -> DataFrame:
             for raw in batch.column(2).to_pylist():
                 result = _load(raw)
                 linked = isinstance(result, dict) and result.get("tool_call_id") is not None
-                ids.append(str(result["tool_call_id"]) if linked else None)
+                if linked and too_deep(result):  # linked, but kept as it was written
+                    linked = isinstance(result["tool_call_id"], (str, int, float))
+                    result["content"] = raw
+                ids.append(_named(result["tool_call_id"]) if linked else None)
                 contents.append(canonical(result.get("content")) if linked else canonical(raw))
             yield pa.record_batch(
                 [*batch.columns[:2], pa.array(ids, pa.string()), pa.array(contents, pa.string())],
@@ -196,6 +272,13 @@ def order_calls(calls: DataFrame) -> DataFrame:
     return state.select("conv_id", "call_id", F.coalesce("level", F.lit(-1)).alias("level"), "at")
 
 
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Number the rows of an id in a conversation as ``nth``; rows without an id, of which there may be many, are all first."""
+    nth = F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(*order))
+    named = rows.where(F.col("call_id").isNotNull()).withColumn("nth", nth)
+    return named.unionByName(rows.where(F.col("call_id").isNull()).withColumn("nth", F.lit(1)))
+
+
 def format_chat(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> DataFrame:
     """Records of all conversations: conv_id, position, kind, status, level, json.
 
@@ -208,10 +291,14 @@ def format_chat(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -
     of a conversation from 0 without gaps.
 
     Null conversation ids form one conversation; null turns come first; null roles and
-    texts are written as null. Exactly repeated messages are one message; different
+    texts are written as null. Calls and results nested more than ``DEPTH`` times are kept
+    as text, the calls as ``invalid``; JSON that cannot be read is a call without id. Schemas
+    with keywords or types that are not checked are an error. Exactly repeated messages are one message; different
     messages of one turn are ordered by role and text. Further columns are ignored;
     an empty table gives an empty result.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     # A joined null would match nothing, so the key of conversations is never null.
     key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("-"))
     plain = materialise(
@@ -219,14 +306,10 @@ def format_chat(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -
         .distinct()
     )
     parsed = materialise(parse_calls(plain, schemas))
-    numbered = parsed.withColumn(
-        "nth", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", "place", "name", "arguments"))
-    )
+    numbered = _numbered(parsed, ["turn", "place", "name", "arguments"])
     owners = numbered.where("nth = 1 and call_id is not null")
     levels = order_calls(owners)
-    results = materialise(parse_results(plain)).withColumn(
-        "nth", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", "content"))
-    )
+    results = _numbered(materialise(parse_results(plain)), ["turn", "content"])
     first = results.where("nth = 1 and call_id is not null").select("conv_id", "call_id", "content")
     linked = (
         owners.join(first, ["conv_id", "call_id"], "left").join(levels, ["conv_id", "call_id"])
