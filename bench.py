@@ -16,7 +16,8 @@ HEADLINE = (
     "lookback", "baseline_forecasts", "walkforward_metrics", "multi_horizon_metrics",
     "block_backtest_rank", "merge_forecasts_outer", "peak_scores", "month_peaks_view", "dm_pairs",
     "rank_fusion", "decomposition", "kpss_levels", "adf_levels", "linear_ar_forecast",
-    "gbt_forecast", "perm_importance",
+    "gbt_forecast", "perm_importance", "hourly_frames", "walk_forward_linear", "block_backtest_linear",
+    "block_backtest_models", "perm_importance_linear", "perm_importance_sarimax", "ar_one_lag",
 )
 
 

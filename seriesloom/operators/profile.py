@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,6 +18,7 @@ from .quantiles import exact_quantiles, finite
 HIGH_CORRELATION = 0.95
 SUMMARY_QUANTILES = (0.25, 0.5, 0.75)
 KEEP_FIRST_OF = ("fixing_i_price", "fixing_ii_price")
+CORRELATIONS = "i int, j int, feature_1 string, feature_2 string, corr double"
 SUMMARY = "column_name string, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
 
 
@@ -106,51 +106,70 @@ def drop_constant(
     return df.drop(*removed), [c for c in names if c in removed]
 
 
-def _cross_products(centre: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sums over the rows that have both columns of a pair, less ``centre``.
+def _cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's moments over the rows that have both columns of a pair: count, means, spreads.
 
-    Known values are a matrix with zeros elsewhere, and which are known is another; the
-    sums of all pairs are products of the two.
+    Known values, less the means of the task's first rows, are a matrix with zeros
+    elsewhere, and which are known is another; the sums of all pairs are products of the two.
     """
-    size = len(centre)
-    total = np.zeros((4, size, size))
+    centre, total = None, None
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
-        values = np.column_stack(columns) - centre
+        values = np.column_stack(columns)
         known = ~np.isnan(values)
-        values = np.where(known, values, 0.0)
+        if centre is None:
+            centre = np.where(known, values, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+            total = np.zeros((4, len(centre), len(centre)))
+        values = np.where(known, values - centre, 0.0)
         there = known.astype(float)
         total += [there.T @ there, values.T @ there, (values * values).T @ there, values.T @ values]
-    i, j = np.triu_indices(size, 1)
-    rows, first, squares, both = total
-    cells = [i.astype(np.int32), j.astype(np.int32), rows[i, j], first[i, j], first[j, i], squares[i, j], squares[j, i], both[i, j]]
+    if centre is None:
+        return
+    i, j = np.triu_indices(len(centre), 1)
+    n, first, squares, both = (t[i, j] for t in total)
+    other, other_squares = total[1][j, i], total[2][j, i]
+    some = n > 0
+    i, j, n, first, other = i[some], j[some], n[some], first[some], other[some]
+    cells = [
+        i.astype(np.int32), j.astype(np.int32), n, centre[i] + first / n, centre[j] + other / n,
+        squares[some] - first * first / n, other_squares[some] - other * other / n, both[some] - first * other / n,
+    ]
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
 
 
 def absolute_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``i, j, feature_1, feature_2, corr`` for i < j, pairwise complete; NaN counts as missing.
 
-    Two scans whatever the number of columns: one for the means, so that the sums of
-    products lose no digits to a large level, and one in which every task adds up the
-    products of all pairs. A task sends a row per pair. Constant columns have no correlation.
+    One scan whatever the number of columns: every task gives the moments of all pairs
+    around its own means, and these rows, one per pair and task, are put together around
+    the common means, so no digits are lost to a large level. Constant columns, and pairs
+    without a common row, have no correlation.
     """
     names = list(columns or numeric_columns(df))
     numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(names)])
-    means = numbers.agg(*[F.avg(c).alias(c) for c in numbers.columns]).first() if names else []
-    centre = np.array([m if m is not None and math.isfinite(m) else 0.0 for m in means])
     kinds = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
-    parts = numbers.mapInArrow(lambda batches: _cross_products(centre, batches), kinds)
-    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    n, x, y, xx, yy = F.nullif("n", F.lit(0.0)), F.col("x"), F.col("y"), F.col("xx"), F.col("yy")
-    # What is left of equal values are rounding errors.
-    varies = (xx - x * x / n > xx * 1e-12) & (yy - y * y / n > yy * 1e-12)
-    spread = F.sqrt(xx - x * x / n) * F.sqrt(yy - y * y / n)
-    corr = F.least(F.abs((F.col("xy") - x * y / n) / spread), F.lit(1.0))
-    label = F.array(*[F.lit(c) for c in names])
-    return sums.select(
-        "i", "j", label[F.col("i")].alias("feature_1"), label[F.col("j")].alias("feature_2"),
-        F.when(varies, corr).alias("corr"),
+    parts = materialise(numbers.mapInArrow(_cross_products, kinds))
+    n = F.sum("n")
+    common = parts.groupBy("i", "j").agg(
+        (F.sum(F.col("n") * F.col("x")) / n).alias("mx"), (F.sum(F.col("n") * F.col("y")) / n).alias("my")
+    )
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    # What is left of equal values are rounding errors, of the order of the values' own last digits.
+    noise = 1e-12
+    sums = parts.join(common, ["i", "j"]).groupBy("i", "j").agg(
+        F.sum(F.col("xx") + F.col("n") * dx * dx).alias("xx"), F.sum(F.col("yy") + F.col("n") * dy * dy).alias("yy"),
+        F.sum(F.col("xy") + F.col("n") * dx * dy).alias("xy"),
+        (n * F.max(F.col("mx") * F.col("mx")) * noise**2).alias("zx"), (n * F.max(F.col("my") * F.col("my")) * noise**2).alias("zy"),
     )
+    varies = (F.col("xx") > F.col("zx")) & (F.col("yy") > F.col("zy"))
+    corr = F.least(F.abs(F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))), F.lit(1.0))
+    pairs = [(i, j) for j in range(len(names)) for i in range(j)]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], CORRELATIONS)
+    every = df.sparkSession.createDataFrame(
+        [(i, j, names[i], names[j]) for i, j in pairs], "i int, j int, feature_1 string, feature_2 string"
+    )
+    return every.join(sums.select("i", "j", F.when(varies, corr).alias("corr")), ["i", "j"], "left")
 
 
 def correlated_pairs(

@@ -188,7 +188,7 @@ def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked lists side by side in a file with semicolons and marked headers, read back."""
     path = _scratch(spark, "lists.csv")
-    lists_side_by_side(spark, sf_dir).coalesce(1).orderBy("pos").drop("pos").withColumnRenamed(
+    lists_side_by_side(spark, sf_dir).orderBy("pos").drop("pos").withColumnRenamed(
         "click_feature", f"{BOM}click_feature"
     ).write.option("header", True).option("sep", ";").csv(path)
     return rank_lists(read_importance_lists(spark, path))
@@ -812,6 +812,14 @@ def linear_ar_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.unionByName(more)
 
 
+@register
+def ar_one_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seasonal autoregression with one lag, which plain SQL can roll out too."""
+    rows = materialise(events_positions(spark, sf_dir))
+    found = seasonal_autoregression(rows, "price", [24, 72], N_SPLITS, lags=(1,))
+    return tidy(found.select("series_id", "horizon", "fold", "ts", "model", "yhat"))
+
+
 @register
 def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = {"maxIter": (2, 4), "stepSize": (0.1, 0.3), "maxDepth": (2, 3)}

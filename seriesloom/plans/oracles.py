@@ -741,6 +741,22 @@ def oracle_sql() -> dict[str, str]:
             importance_sql(""), "importance",
             f"{PANEL}, {POSITIONS}, fitted_rows AS (SELECT * FROM placed), {shuffled_sql('n', '0')}",
         ),
+        "ar_one_lag": tidied(
+            "SELECT series_id, horizon, fold, ts, 'linear_ar' AS model, yhat FROM rolled JOIN placed USING (series_id, pos)", "yhat",
+            f"""RECURSIVE {PANEL}, {POSITIONS},
+              gaps AS (SELECT *, price - lag(price, 24) OVER w AS g FROM placed {W}),
+              pairs AS (SELECT *, lag(g) OVER w AS g1 FROM gaps {W}),
+              folds AS (SELECT DISTINCT series_id, horizon, fold::INTEGER AS fold, n - horizon * (5 - fold) AS start_
+                FROM placed, (VALUES (24), (72)) h(horizon), range(0, 5) f(fold) WHERE n > horizon * 6),
+              fits AS (SELECT f.series_id, horizon, fold, any_value(start_) AS start_, covar_pop(g1, g) / var_pop(g1) AS b,
+                avg(g) - covar_pop(g1, g) / var_pop(g1) * avg(g1) AS a
+                FROM folds f JOIN pairs p ON p.series_id = f.series_id AND pos < start_ WHERE g1 IS NOT NULL GROUP BY 1, 2, 3),
+              rolled(series_id, horizon, fold, start_, a, b, gap, past, pos, yhat) AS (
+                SELECT f.series_id, horizon, fold, start_, a, b, max_by(g, pos), list(price ORDER BY pos), start_ - 1, NULL::DOUBLE
+                FROM fits f JOIN gaps p ON p.series_id = f.series_id AND pos >= start_ - 24 AND pos < start_ GROUP BY ALL
+                UNION ALL SELECT series_id, horizon, fold, start_, a, b, a + b * gap, list_append(past[2:], past[1] + a + b * gap),
+                  pos + 1, past[1] + a + b * gap FROM rolled WHERE pos + 1 < start_ + horizon)""",
+        ).replace("FROM rolled JOIN", "FROM (SELECT * FROM rolled WHERE yhat IS NOT NULL) JOIN"),
         "walk_forward_linear": tidied(
             """SELECT series_id, horizon, fold, ts, 'plane' AS model, my + w1 * (load - m1) + w2 * (net_import - m2) AS yhat
               FROM folds JOIN planes USING (horizon, fold) WHERE pos >= start_ AND pos < start_ + horizon""",
