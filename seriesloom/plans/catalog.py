@@ -19,7 +19,7 @@ from ..operators.baselines import baseline_predictions
 from ..operators.chunks import forward_fill
 from ..operators.comparison import diebold_mariano, dm_summary, sorted_summary, wide_predictions
 from ..operators.decompose import seasonal_decompose
-from ..operators.features import add_families, feature_table
+from ..operators.features import Roles, add_families, feature_table
 from ..operators.folds import HORIZONS, N_SPLITS, block_rows, fold_bounds, fold_table, holdout, lookback_windows
 from ..operators.forecasters import (
     CrossValidatedBoosting,
@@ -86,7 +86,7 @@ from .inputs import (
     tidy,
     user_lists,
 )
-from .jobs import ConsolidationInputs, consolidate_job
+from .jobs import ConsolidationInputs, FeatureJob, build_features, consolidate_job
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -515,6 +515,13 @@ def shared_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(kept.select("series_id", "ts", "model", "fold", "yhat"))
 
 
+@register
+def shared_timestamps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps that all models forecast, of forecasts without made gaps."""
+    kept = common_timestamps(events_predictions(spark, sf_dir), len(BASELINES))
+    return tidy(kept.select("series_id", "ts", "model", "fold", "yhat"))
+
+
 # ---- merging --------------------------------------------------------------------------
 
 
@@ -781,6 +788,16 @@ def impute_with_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impute_forest(panel, "price", columns=numbers, settings=small)
 
 
+@register
+def features_imputed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature job: imputed, engineered, and imputed again."""
+    small = ForestSettings(num_trees=5, max_depth=5, target_depth=5, max_iter=1)
+    # Without these roles three feature families stay out, which keeps the second imputation small.
+    roles = Roles(wind="none", up_reserve="none", wind_generation="none")
+    panel = regularise(events_panel(spark, sf_dir))
+    return build_features(panel, FeatureJob(roles=roles, forest=small))
+
+
 @register
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = {"GBR": GradientBoosting(learning_rate=_RATE, patience=4)}

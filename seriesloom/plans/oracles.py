@@ -594,6 +594,11 @@ def oracle_sql() -> dict[str, str]:
               HAVING count(yhat) / count(*) >= 0.5""",
             "coverage", E72,
         ),
+        "shared_timestamps_all": tidied(
+            """SELECT series_id, ts, model, fold, yhat FROM (
+              SELECT *, count(*) OVER (PARTITION BY series_id, ts) AS c FROM pred) WHERE c = 3""",
+            "yhat", E72,
+        ),
         "shared_timestamps": tidied(
             """SELECT series_id, ts, model, fold, yhat FROM (
               SELECT *, count(*) OVER (PARTITION BY series_id, ts) AS c, bool_or(full_) OVER (PARTITION BY series_id) AS any_
