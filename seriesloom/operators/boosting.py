@@ -9,6 +9,7 @@ of rounds and no tree is evaluated twice on the same rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
@@ -72,10 +73,12 @@ def boost(boosters: Sequence[Booster], max_rounds: int, patience: int | None) ->
     Returns the number of rounds of least mean error. Without patience all rounds are trained.
     """
     best, least = 0, np.inf
-    for number in range(1, max_rounds + 1):
-        error = np.mean([np.nan if e is None else e for e in [b.step() for b in boosters]])
-        if error < least:
-            best, least = number, error
-        elif patience is not None and number - best >= patience:
-            break
+    with ThreadPoolExecutor(len(boosters)) as pool:
+        for number in range(1, max_rounds + 1):
+            errors = pool.map(Booster.step, boosters)
+            error = np.mean([np.nan if e is None else e for e in errors])
+            if error < least:
+                best, least = number, error
+            elif patience is not None and number - best >= patience:
+                break
     return max(best, 1)
