@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from seriesloom.llm.language import detect_languages
 from seriesloom.llm.minhash import dart_signature, keep_first_of_class, near_duplicates
 from seriesloom.llm.mixing import documents_in_mix, integer_shares, mix_sources, period_schedule
 from seriesloom.llm.pairwise_quality import score_quality
-from seriesloom.llm.passages import chains, remove_repeated_passages, shared_passages
+from seriesloom.llm.passages import _matches_of_common, chains, remove_repeated_passages, shared_passages, wording_classes
 from seriesloom.llm.quality_rules import weak_quality
 from seriesloom.llm.sharding import shard_documents, shard_rows
 from seriesloom.llm.tool_calls import format_chat
@@ -293,6 +294,40 @@ def test_passages_with_many_changed_words(spark):
     assert by[0] == 40 and by[1] >= 39 and by[2] >= 34
 
 
+def test_passages_whose_every_seed_is_frequent(spark):
+    rng = random.Random(14)
+    parts = [prose(rng, 18).rstrip(".") for _ in range(3)]
+    rows = [(i, " ".join([prose(rng, 40), *parts, prose(rng, 40)])) for i in range(3)]
+    rows += [(3 + 50 * p + i, " ".join([prose(rng, 60), parts[p], prose(rng, 60)])) for p in range(3) for i in range(50)]
+    got = shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(1, 0), (2, 0), (2, 1)}
+    assert all(r.n_words >= 54 and r.kind == "passage" for r in got)
+
+
+def test_texts_of_a_wording_class_agree_pairwise():
+    rng = np.random.default_rng(15)
+    wording = rng.integers(1, 60_000, 95).astype(np.uint16)
+    around = np.stack([np.where(rng.random(95) < share, rng.integers(1, 60_000, 95), wording) for share in rng.uniform(0, 0.3, 80)])
+    around = np.concatenate((around, rng.integers(1, 60_000, (40, 95)))).astype(np.uint16)
+    classes = wording_classes(around, 50, 45)
+    assert classes[:80].any(axis=1).sum() > 25 and not classes[80:].any()
+    for members in classes.T:
+        rows = around[members]
+        most = [max(same[k : k + 50].sum() for k in range(46)) for a in rows for same in a == rows]
+        assert min(most) >= 40
+    # Every other pair that agrees well enough about the seed is found by itself.
+    around[:, 45:50] = wording[45:50]
+    table = pa.table({"node": np.arange(120), "place": np.full(120, 45, dtype=np.int32), "words": [r.tobytes() for r in around]})
+    matches = _matches_of_common(table, 50, 0.8).to_pydict()
+    found = set(zip(matches["x"], matches["y"], strict=True))
+    classes = wording_classes(around, 50, 45)
+    for i in range(120):
+        for j in range(i + 1, 120):
+            same = around[i] == around[j]
+            if max(same[k : k + 50].sum() for k in range(46)) >= 40:
+                assert (i, j) in found or (classes[i] & classes[j]).any()
+
+
 def test_only_the_smallest_id_keeps_a_passage(spark):
     rng = random.Random(13)
     passage = prose(rng, 70).rstrip(".")
