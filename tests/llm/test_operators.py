@@ -294,6 +294,14 @@ def test_passages_with_many_changed_words(spark):
     assert by[0] == 40 and by[1] >= 39 and by[2] >= 34
 
 
+def test_all_pairs_of_a_passage_are_linked(spark):
+    rng = random.Random(16)
+    passage = prose(rng, 70).rstrip(".")
+    rows = [(i, " ".join([prose(rng, 40), passage, prose(rng, 40)])) for i in range(8)]
+    got = shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(j, i) for i in range(8) for j in range(i + 1, 8)}
+
+
 def test_passages_whose_every_seed_is_frequent(spark):
     rng = random.Random(14)
     parts = [prose(rng, 18).rstrip(".") for _ in range(3)]
