@@ -18,6 +18,7 @@ from seriesloom.llm.language import detect_languages
 from seriesloom.llm.minhash import dart_signature, keep_first_of_class, near_duplicates
 from seriesloom.llm.mixing import documents_in_mix, integer_shares, mix_sources, period_schedule
 from seriesloom.llm.pairwise_quality import score_quality
+from seriesloom.llm import passages
 from seriesloom.llm.passages import _matches_of_common, chains, remove_repeated_passages, shared_passages, wording_classes
 from seriesloom.llm.quality_rules import weak_quality
 from seriesloom.llm.sharding import shard_documents, shard_rows
@@ -336,6 +337,47 @@ def test_texts_of_a_wording_class_agree_pairwise():
                 assert (i, j) in found or (classes[i] & classes[j]).any()
 
 
+def test_matches_of_runs_of_one_word_do_not_grow_with_their_square():
+    rng = np.random.default_rng(17)
+    around = rng.integers(2, 60_000, (300, 95)).astype(np.uint16)
+    for i, row in enumerate(around):  # runs of 20 to 95 words about the seed
+        size = 20 + i % 76
+        begin = max(0, min(45, 95 - size) - int(rng.integers(0, min(size - 4, 45))))
+        row[begin : begin + size] = 1
+        row[45:50] = 1
+    table = pa.table({"node": np.arange(300), "place": np.full(300, 145, dtype=np.int32), "words": [r.tobytes() for r in around]})
+    matches = _matches_of_common(table, 50, 0.8).to_pydict()
+    long = {i for i in range(300) if max(np.convolve(around[i] == 1, np.ones(50), "valid")) >= 45}
+    assert len(long) > 100 and long <= {*matches["x"], *matches["y"]}
+    assert sum(len(m) // 2 for m in matches["m"]) < 3 * 300
+
+
+def test_texts_with_runs_of_one_word_are_linked(spark):
+    rng = random.Random(18)
+    rows = [(i, " ".join([prose(rng, 20 + i), *["zz"] * (60 + i % 30), prose(rng, 40)])) for i in range(60)]
+    got = shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} | {r.other_id for r in got} == set(range(60))
+    assert len(got) < 60 * 59 // 4 and all(r.n_words >= 50 and r.identity >= 0.8 for r in got)
+
+
+def test_seeds_without_a_passage_are_left_before_texts_are_read_again(spark, monkeypatch):
+    rng = random.Random(19)
+    rows = []
+    for i in range(40):
+        common = prose(rng, 7).rstrip(".")
+        rows += [(2 * i + j, " ".join([prose(rng, 60), common, prose(rng, 60)])) for j in range(2)]
+    stored = []
+
+    def kept(df, materialise=passages.materialise):
+        stored.append(materialise(df))
+        return stored[-1]
+
+    monkeypatch.setattr(passages, "materialise", kept)
+    assert shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    (chained,) = (df for df in stored if "chain" in df.columns)
+    assert chained.count() < 20
+
+
 def test_only_the_smallest_id_keeps_a_passage(spark):
     rng = random.Random(13)
     passage = prose(rng, 70).rstrip(".")
