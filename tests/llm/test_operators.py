@@ -19,7 +19,9 @@ from seriesloom.llm.minhash import dart_signature, keep_first_of_class, near_dup
 from seriesloom.llm.mixing import documents_in_mix, integer_shares, mix_sources, period_schedule
 from seriesloom.llm.pairwise_quality import score_quality
 from seriesloom.llm import passages
-from seriesloom.llm.passages import _matches_of_common, chains, remove_repeated_passages, shared_passages, wording_classes
+from seriesloom.llm.passages import (
+    _linked, _matches_of_common, _packed_matches, chains, remove_repeated_passages, shared_passages, wording_classes,
+)
 from seriesloom.llm.quality_rules import weak_quality
 from seriesloom.llm.sharding import shard_documents, shard_rows
 from seriesloom.llm.tool_calls import format_chat
@@ -352,6 +354,36 @@ def test_matches_of_runs_of_one_word_do_not_grow_with_their_square():
     assert sum(len(m) // 2 for m in matches["m"]) < 3 * 300
 
 
+def test_links_of_near_copies_do_not_grow_with_their_square():
+    rng = np.random.default_rng(20)
+    wording, rows = rng.integers(2, 60_000, 95).astype(np.uint16), []
+    for i in range(400):
+        row = np.where(rng.random(95) < 0.05, rng.integers(2, 60_000, 95), wording).astype(np.uint16)
+        if i % 4 == 0:  # a word put in, or left out, on one side of the seed
+            cut = int(rng.integers(30, 44))
+            row[: cut - 1] = row[1:cut]
+        if i % 4 == 1:
+            cut = int(rng.integers(51, 65))
+            row[cut + 1 :] = row[cut:-1].copy()
+        row[45:50] = wording[45:50]
+        rows.append(row.tobytes())
+    table = pa.table({"node": np.arange(400), "place": np.full(400, 145, dtype=np.int32), "words": rows})
+    matches = _matches_of_common(table, 50, 0.8).to_pydict()
+    assert sum(len(m) // 2 for m in matches["m"]) < 16 * 400
+    group = list(range(400))
+    for x, y in zip(matches["x"], matches["y"], strict=True):
+        a, b = group[x], group[y]
+        group = [a if g == b else g for g in group]
+    assert len(set(group)) == 1
+
+
+def test_chains_keep_the_ends_of_runs_of_matches():
+    places = [(a, a + 7) for a in range(0, 60, 3)] + [(a, a + 9) for a in range(90, 120, 5)] + [(130, 160)]
+    x, y, (a, b) = np.zeros(len(places), dtype=np.int64), np.ones(len(places), dtype=np.int64), np.array(places).T
+    (chain,) = _linked(_packed_matches(x, y, a, b, 1), 5).column("chain").to_pylist()
+    assert chain == [0, 7, 57, 64, 90, 99, 115, 124, 130, 160]
+
+
 def test_texts_with_runs_of_one_word_are_linked(spark):
     rng = random.Random(18)
     rows = [(i, " ".join([prose(rng, 20 + i), *["zz"] * (60 + i % 30), prose(rng, 40)])) for i in range(60)]
