@@ -419,6 +419,20 @@ def test_only_the_smallest_id_keeps_a_passage(spark):
     assert all(75 <= len(left[i].split()) <= 85 for i in range(1, 30))
 
 
+def test_only_the_smallest_id_of_many_near_copies_keeps_a_passage(spark):
+    rng = random.Random(5)
+    ids, passage, rows = rng.sample(range(120), 120), prose(rng, 80).rstrip(".").split(), []
+    for i in range(120):
+        words = [f"q{i}x{j}" if rng.random() < 0.05 else w for j, w in enumerate(passage)]
+        if i % 3 == 0:
+            words.insert(rng.randrange(20, 60), f"more{i}")
+        if i % 3 == 1:
+            del words[rng.randrange(20, 60)]
+        rows.append((ids[i], " ".join([prose(rng, 40), *words, prose(rng, 40)])))
+    left = {r.doc_id: r.text for r in remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[0] == dict(rows)[0] and all(len(left[i].split()) < 110 for i in range(1, 120))
+
+
 def test_chains_respect_order_and_gaps():
     line = [(i, i + 100) for i in range(0, 80, 8)]
     noise = [(40, 5), (41, 900)]
